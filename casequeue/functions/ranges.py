@@ -78,16 +78,20 @@ def continuous_quantiles(df: DataFrame, value: str, fractions: dict[str, float])
 
 
 def top_per_group(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rn"
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    k: int | Column,
+    rank: str = "rn",
 ) -> DataFrame:
     """First `k` rows of each group, numbered from 1 in `rank`.
 
-    Small `k` relies on the optimizer's group limit before the shuffle. Larger
-    `k` first takes `k` rows from each of 64 slices of a group, so that a hot
+    A small fixed `k` relies on the optimizer's group limit before the shuffle. A
+    larger or per-group `k` first takes `k` rows from each of 64 slices of a group, so that a hot
     group is sorted by many tasks and the last one sees at most `64 * k` rows.
     """
     candidates = df
-    if k > GROUP_LIMIT:
+    if not isinstance(k, int) or k > GROUP_LIMIT:
         # Content and input partition: a retried task rebuilds the same slices,
         # and equal rows still spread.
         content = F.xxhash64(*[F.col(c) for c in df.columns])
