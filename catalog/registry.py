@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("views", "queue", "volume", "sampling")
+MODULES = ("views", "queue", "volume", "sampling", "intake")
 
 
 def _merged(attribute: str) -> dict:
