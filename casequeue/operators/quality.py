@@ -81,6 +81,7 @@ def _blank(c: Column) -> Column:
 
 def duplicate_ids(rows: DataFrame) -> DataFrame:
     """One row: how many rows repeat an id that another row already has."""
+    # Lines that are no rows have no id, so they need no filter of their own.
     ids = rows.select(strip(F.col("complaint_id")).alias("id")).where(F.col("id") != "")
     per_id = ids.groupBy("id").agg(F.count("*").alias("n"))
     return per_id.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
@@ -113,7 +114,7 @@ def quality_counters(parsed: DataFrame, as_of: date) -> DataFrame:
     counts = parsed.agg(
         *[count_where(F.coalesce(c, F.lit(False))).alias(n) for n, c in conditions.items()]
     )
-    return counts.withColumn("duplicate_rows", duplicate_ids(snapshot_rows(parsed)).scalar())
+    return counts.withColumn("duplicate_rows", duplicate_ids(parsed).scalar())
 
 
 def _check(
@@ -264,43 +265,33 @@ def column_profile(rows: DataFrame, cap: int = DISTINCT_CAP) -> DataFrame:
         *[F.approx_count_distinct(F.nullif(F.col(c), F.lit(""))).alias(c) for c in PROFILE_COLUMNS]
     ).first()
     beyond = [c for c in PROFILE_COLUMNS if sketch[c] >= 2 * cap]
-    exact = [c for c in PROFILE_COLUMNS if c not in beyond]
-    nulls = rows.agg(
-        F.count("*").alias("_rows"), *[count_where(_blank(F.col(c))).alias(c) for c in PROFILE_COLUMNS]
-    ).select(
-        F.greatest(F.col("_rows"), F.lit(1)).alias("_rows"),
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("column"), F.col(c).alias("null_count"))
-                    for c in PROFILE_COLUMNS
-                ]
-            )
-        ),
-    )
+
+    def digest(name: str) -> Column:
+        value = F.nullif(F.col(name), F.lit(""))
+        return F.when(value.isNotNull(), F.lit("")) if name in beyond else F.md5(value)
+
     digests = rows.select(
         F.inline(
             F.array(
                 *[
-                    F.struct(
-                        F.lit(c).alias("column"),
-                        F.md5(F.nullif(F.col(c), F.lit(""))).alias("digest"),
-                    )
-                    for c in exact
+                    F.struct(F.lit(c).alias("column"), digest(c).alias("digest"))
+                    for c in PROFILE_COLUMNS
                 ]
             )
         )
     )
-    counted = (
-        digests.where(F.col("digest").isNotNull())
-        .distinct()
-        .groupBy("column")
-        .agg(F.count("*").alias("_distinct"))
+    per_value = digests.groupBy("column", "digest").agg(F.count("*").alias("n"))
+    counted = per_value.groupBy("column").agg(
+        F.sum("n").alias("_rows"),
+        F.coalesce(F.sum(F.when(F.col("digest").isNull(), F.col("n"))), F.lit(0)).alias(
+            "null_count"
+        ),
+        F.count("digest").alias("_distinct"),
     )
     found = F.when(F.col("column").isin(beyond), F.lit(cap)).otherwise(
-        F.least(F.coalesce("_distinct", F.lit(0)), F.lit(cap))
+        F.least("_distinct", F.lit(cap))
     )
-    return nulls.join(counted, "column", "left").select(
+    return counted.select(
         "column",
         "null_count",
         F.round(F.col("null_count") / F.col("_rows"), 6).alias("null_rate"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("views", "queue", "volume", "sampling", "intake")
+MODULES = ("views", "queue", "volume", "sampling", "intake", "metrics")
 
 
 def _merged(attribute: str) -> dict:
