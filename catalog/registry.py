@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("views", "queue", "volume", "sampling", "intake", "metrics")
+MODULES = (
+    "views",
+    "queue",
+    "volume",
+    "sampling",
+    "intake",
+    "metrics",
+    "evidence",
+    "review",
+)
 
 
 def _merged(attribute: str) -> dict:
