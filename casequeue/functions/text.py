@@ -107,3 +107,44 @@ def folded_text(c: Column) -> Column:
 def narrative_group(c: Column) -> Column:
     """Identity of a narrative up to case, width and whitespace."""
     return F.sha2(folded_text(c), 256)
+
+
+def _strip_accents_udf():
+    def plain(texts: pd.Series) -> pd.Series:
+        def one(text):
+            if text is None:
+                return None
+            split = unicodedata.normalize("NFKD", text)
+            return "".join(c for c in split if not unicodedata.combining(c))
+
+        return texts.map(one)
+
+    return F.pandas_udf(plain, StringType())
+
+
+def accent_free(c: Column) -> Column:
+    """Lower case without accents; ASCII text stays in the JVM."""
+    lowered = F.lower(c)
+    other_form = _strip_accents_udf()(F.when(~is_ascii(c), lowered))
+    return F.when(is_ascii(c), lowered).otherwise(other_form)
+
+
+# Letters, digits and underscore, two or more in a row.
+_WORD = r"[\p{L}\p{N}_]{2,}"
+
+
+def words(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit(_WORD), F.lit(0))
+
+
+def with_bigrams(tokens: Column) -> Column:
+    """Tokens followed by pairs of neighbours joined by a space."""
+    pairs = F.greatest(F.size(tokens) - 1, F.lit(0))
+    return F.concat(
+        tokens,
+        F.zip_with(
+            F.slice(tokens, F.lit(1), pairs),
+            F.slice(tokens, F.lit(2), pairs),
+            lambda a, b: F.concat(a, F.lit(" "), b),
+        ),
+    )

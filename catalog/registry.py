@@ -13,6 +13,7 @@ MODULES = (
     "metrics",
     "evidence",
     "review",
+    "router",
 )
 
 
