@@ -291,11 +291,12 @@ def draw_sample(
     population: DataFrame,
     plan: SelectionPlan,
     *,
-    created: str = "date_received",
+    received: str = "date_received",
+    created: str | None = None,
     key: str = "complaint_id",
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sample with window columns, caps per stratum, totals per window)."""
-    windowed = assign_stratum(assign_window(population, plan))
+    windowed = assign_stratum(assign_window(population, plan, received), received)
     caps = allocate_caps(stratum_totals(windowed, selection_windows(spark, plan)))
-    taken = stratified_take(windowed, caps, created=created, key=key)
+    taken = stratified_take(windowed, caps, created=created or received, key=key)
     return taken, caps, window_totals(windowed)
