@@ -25,7 +25,7 @@ def canonical_json(columns: Sequence[str]) -> Column:
         lowered = F.regexp_replace(
             lowered, rf"(?<!\\)((?:\\\\)*)\\u{code}", rf"$1\\u{code.lower()}"
         )
-    return F.when(text.rlike(r"\\u00[01][A-F]"), lowered).otherwise(text)
+    return F.when(F.contains(text, F.lit("\\u00")), lowered).otherwise(text)
 
 
 def row_sha256(columns: Sequence[str]) -> Column:

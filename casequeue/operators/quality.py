@@ -35,56 +35,80 @@ class QualityGateError(RuntimeError):
     """A critical or high check failed."""
 
 
+# Text fields keep the JSON spelling of other types; two keep their JSON type.
+_LINE = ", ".join(
+    [
+        *[f"{c} string" for c in PROFILE_COLUMNS if c not in ("narrative", "has_narrative")],
+        "date_sent_to_company string",
+        "narrative variant",
+        "has_narrative variant",
+        "_corrupt_record string",
+    ]
+)
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Snapshot lines (`value`) as text columns with what JSON alone can tell.
 
-    Blank lines are dropped. `is_object` is false for lines that are not one
-    JSON object; those are not rows. A later stage can read the result many
-    times, so large jobs write it as parquet first.
+    `is_object` is false for a line that is not one JSON object, which makes it
+    no row, and NULL for a blank line, which counts as nothing. A later stage
+    can read the result many times, so large jobs write it as parquet first.
     """
-    parsed = lines.where(strip(F.col("value")) != "").select(
-        "value", F.when(F.col("value").rlike(r"\}\s*$"), F.try_parse_json("value")).alias("v")
+    bare = strip(F.col("value"))
+    shaped = F.startswith(bare, F.lit("{")) & F.endswith(bare, F.lit("}"))
+    record = F.from_json(
+        F.when(shaped, F.col("value")), _LINE, {"columnNameOfCorruptRecord": "_corrupt_record"}
     )
-    is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
-    keys = F.json_object_keys("value")
-    required = F.array(*[F.lit(name) for name in REQUIRED_COLUMNS])
+    parsed = lines.select(
+        "value", shaped.alias("shaped"), (bare == "").alias("blank"), record.alias("r")
+    )
+    is_object = F.when(
+        ~F.col("blank"), F.col("shaped") & F.col("r").isNotNull() & F.col("r._corrupt_record").isNull()
+    )
+    required = [F.lit(name) for name in REQUIRED_COLUMNS]
+    filled = F.lit(True)
+    for name in REQUIRED_COLUMNS:
+        filled = filled & F.col(f"r.{name}").isNotNull()
+    # Only rows with a NULL need a second look for whether the key itself exists.
+    keyed = F.size(F.array_except(F.array(*required), F.json_object_keys("value"))) == 0
 
     def text(name: str) -> Column:
-        return F.try_variant_get("v", f"$.{name}", "string")
+        return F.try_variant_get(f"r.{name}", "$", "string")
 
-    def kind(name: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get("v", f"$.{name}", "variant"))
-
-    flag_kind, flag_text = kind("has_narrative"), text("has_narrative")
+    flag_kind, flag_text = F.schema_of_variant("r.has_narrative"), text("has_narrative")
     truthy = (
         F.when(flag_kind == "BOOLEAN", flag_text == "true")
         .when(flag_kind == "STRING", flag_text != "")
         .otherwise(flag_text.isNotNull() & (flag_text.try_cast("double") != 0))
     )
+    narrative_kind = F.schema_of_variant("r.narrative")
     return parsed.select(
         is_object.alias("is_object"),
-        (F.size(F.array_except(required, keys)) == 0).alias("has_required_keys"),
-        *[text(name).alias(name) for name in PROFILE_COLUMNS],
-        text("date_sent_to_company").alias("date_sent_to_company"),
-        F.coalesce(kind("narrative") == "STRING", F.lit(False)).alias("narrative_is_text"),
+        F.when(filled, F.lit(True)).otherwise(keyed).alias("has_required_keys"),
+        *[
+            (text(name) if name in ("narrative", "has_narrative") else F.col(f"r.{name}")).alias(name)
+            for name in PROFILE_COLUMNS
+        ],
+        F.col("r.date_sent_to_company").alias("date_sent_to_company"),
+        F.coalesce(narrative_kind == "STRING", F.lit(False)).alias("narrative_is_text"),
         F.coalesce(truthy, F.lit(False)).alias("claims_narrative"),
     )
 
 
-def snapshot_rows(parsed: DataFrame) -> DataFrame:
-    return parsed.where("is_object")
-
-
 def _blank(c: Column) -> Column:
     return F.coalesce(c, F.lit("")) == ""
 
 
-def duplicate_ids(rows: DataFrame) -> DataFrame:
+def duplicate_ids(parsed: DataFrame) -> DataFrame:
     """One row: how many rows repeat an id that another row already has."""
-    # Lines that are no rows have no id, so they need no filter of their own.
-    ids = rows.select(strip(F.col("complaint_id")).alias("id")).where(F.col("id") != "")
+    # Blank ids form a group that is not counted; a filter on the id would move
+    # below the aggregate and parse every line twice.
+    ids = parsed.select(
+        F.when(F.col("is_object"), strip(F.col("complaint_id"))).alias("id")
+    )
     per_id = ids.groupBy("id").agg(F.count("*").alias("n"))
-    return per_id.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
+    repeats = F.when(F.coalesce("id", F.lit("")) != "", F.col("n") - 1)
+    return per_id.agg(F.coalesce(F.sum(repeats), F.lit(0)).alias("duplicate_rows"))
 
 
 def quality_counters(parsed: DataFrame, as_of: date) -> DataFrame:
@@ -253,7 +277,7 @@ def gate(report: DataFrame) -> None:
         raise QualityGateError("failed checks: " + ", ".join(names))
 
 
-def column_profile(rows: DataFrame, cap: int = DISTINCT_CAP) -> DataFrame:
+def column_profile(parsed: DataFrame, cap: int = DISTINCT_CAP) -> DataFrame:
     """Null counts and distinct counts, the latter reported up to `cap`.
 
     A sketch pass finds columns that are far beyond the cap (twice the cap is
@@ -261,8 +285,11 @@ def column_profile(rows: DataFrame, cap: int = DISTINCT_CAP) -> DataFrame:
     have few distinct values, so map-side deduplication keeps the exact pass
     small: only value digests move.
     """
-    sketch = rows.agg(
-        *[F.approx_count_distinct(F.nullif(F.col(c), F.lit(""))).alias(c) for c in PROFILE_COLUMNS]
+    sketch = parsed.agg(
+        *[
+            F.approx_count_distinct(F.when(F.col("is_object"), F.nullif(F.col(c), F.lit("")))).alias(c)
+            for c in PROFILE_COLUMNS
+        ]
     ).first()
     beyond = [c for c in PROFILE_COLUMNS if sketch[c] >= 2 * cap]
 
@@ -270,16 +297,11 @@ def column_profile(rows: DataFrame, cap: int = DISTINCT_CAP) -> DataFrame:
         value = F.nullif(F.col(name), F.lit(""))
         return F.when(value.isNotNull(), F.lit("")) if name in beyond else F.md5(value)
 
-    digests = rows.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("column"), digest(c).alias("digest"))
-                    for c in PROFILE_COLUMNS
-                ]
-            )
-        )
+    pairs = F.array(
+        *[F.struct(F.lit(c).alias("column"), digest(c).alias("digest")) for c in PROFILE_COLUMNS]
     )
+    # A line that is no row has no pairs; a filter would parse every line twice.
+    digests = parsed.select(F.inline(F.when(F.col("is_object"), pairs)))
     per_value = digests.groupBy("column", "digest").agg(F.count("*").alias("n"))
     counted = per_value.groupBy("column").agg(
         F.sum("n").alias("_rows"),

@@ -114,9 +114,15 @@ def stratum_calendar(windows: DataFrame) -> DataFrame:
     )
 
 
-def stratum_totals(population: DataFrame, windows: DataFrame) -> DataFrame:
+def daily_counts(population: DataFrame, created: str = "date_received") -> DataFrame:
+    """Rows per stratum and creation day: the one aggregate all totals come from."""
+    day = F.to_date(F.col(created)).alias("day")
+    return population.groupBy(*STRATUM, day).agg(F.count("*").alias("rows"))
+
+
+def stratum_totals(daily: DataFrame, windows: DataFrame) -> DataFrame:
     """Population rows of every stratum in the calendar, 0 where there are none."""
-    counts = population.groupBy(*STRATUM).agg(F.count("*").alias("rows"))
+    counts = daily.groupBy(*STRATUM).agg(F.sum("rows").alias("rows"))
     return (
         stratum_calendar(windows)
         .join(counts, list(STRATUM), "left")
@@ -126,9 +132,9 @@ def stratum_totals(population: DataFrame, windows: DataFrame) -> DataFrame:
     )
 
 
-def window_totals(population: DataFrame) -> DataFrame:
-    return population.groupBy("window_name").agg(
-        F.count("*").alias("window_total"), F.lit("eq").alias("window_relation")
+def window_totals(daily: DataFrame) -> DataFrame:
+    return daily.groupBy("window_name").agg(
+        F.sum("rows").alias("window_total"), F.lit("eq").alias("window_relation")
     )
 
 
@@ -199,47 +205,38 @@ def allocate_caps(strata: DataFrame) -> DataFrame:
 def stratified_take(
     population: DataFrame,
     caps: DataFrame,
+    daily: DataFrame,
     *,
     created: str = "date_received",
     key: str = "complaint_id",
 ) -> DataFrame:
     """Newest rows of every stratum up to its cap.
 
-    Daily counts decide which days are taken whole, which day is cut and which
-    are left out, so only the cut day of a stratum is ranked, and that ranking
-    is sliced. The day table has at most one row per sampled record.
+    Daily counts decide how many rows each day still gives. Days that give none
+    are left out before the shuffle, days that fit are taken whole, and the
+    ranking of a cut day is sliced, so no task sorts a whole busy day.
     """
-    day = F.to_date(F.col(created))
-    dated = population.withColumn("_day", day)
     newer = (
         Window.partitionBy(*STRATUM)
-        .orderBy(F.desc("_day"))
+        .orderBy(F.desc("day"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
+    # At most one row per sampled record, so within the sampling contract's cap.
     days = (
-        dated.groupBy(*STRATUM, "_day")
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(newer), F.lit(0)))
-        .join(F.broadcast(caps.select(*STRATUM, "stratum_cap")), list(STRATUM))
+        daily.withColumn("_before", F.coalesce(F.sum("rows").over(newer), F.lit(0)))
+        .join(caps.select(*STRATUM, "stratum_cap"), list(STRATUM))
         .where(F.col("_before") < F.col("stratum_cap"))
         .select(
             *STRATUM,
-            "_day",
+            F.col("day").alias("_day"),
             (F.col("stratum_cap") - F.col("_before")).alias("_need"),
-            (F.col("_n") > F.col("stratum_cap") - F.col("_before")).alias("_cut"),
         )
     )
-    # At most one row per sampled record, so within the sampling contract's cap.
-    marked = dated.join(F.broadcast(days), [*STRATUM, "_day"])
-    ranked = top_per_group(
-        marked.where(F.col("_cut")),
-        [*STRATUM, "_day"],
-        [F.desc(created), F.desc(key)],
-        F.col("_need"),
-        rank="_rn",
-    )
-    whole = marked.where(~F.col("_cut"))
-    return whole.unionByName(ranked.drop("_rn")).drop("_day", "_need", "_cut")
+    dated = population.withColumn("_day", F.to_date(F.col(created)))
+    offered = dated.join(F.broadcast(days), [*STRATUM, "_day"])
+    order = [F.desc(created), F.desc(key)]
+    taken = top_per_group(offered, [*STRATUM, "_day"], order, F.col("_need"), rank="_rn")
+    return taken.drop("_day", "_need", "_rn")
 
 
 def dedup_global(
@@ -297,6 +294,7 @@ def draw_sample(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sample with window columns, caps per stratum, totals per window)."""
     windowed = assign_stratum(assign_window(population, plan, received), received)
-    caps = allocate_caps(stratum_totals(windowed, selection_windows(spark, plan)))
-    taken = stratified_take(windowed, caps, created=created or received, key=key)
-    return taken, caps, window_totals(windowed)
+    daily = daily_counts(windowed, created or received)
+    caps = allocate_caps(stratum_totals(daily, selection_windows(spark, plan)))
+    taken = stratified_take(windowed, caps, daily, created=created or received, key=key)
+    return taken, caps, window_totals(daily)

@@ -86,7 +86,7 @@ def check_snapshot(
         fingerprint=rowset_fingerprint(rows),
     )
     report.write.mode("overwrite").parquet(paths.of("quality"))
-    quality.column_profile(quality.snapshot_rows(parsed)).write.mode("overwrite").parquet(
+    quality.column_profile(parsed).write.mode("overwrite").parquet(
         paths.of("profile")
     )
     stored = spark.read.parquet(paths.of("quality"))

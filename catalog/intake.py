@@ -115,7 +115,7 @@ def quality_overall(spark, sf_dir):
 
 
 def column_profile(spark, sf_dir):
-    return quality.column_profile(quality.snapshot_rows(_parsed(spark, sf_dir)))
+    return quality.column_profile(_parsed(spark, sf_dir))
 
 
 def _manifest(spark, sf_dir):

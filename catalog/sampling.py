@@ -24,9 +24,8 @@ def _drawn(spark, sf_dir):
 
 
 def _strata(spark, sf_dir):
-    return sampling.stratum_totals(
-        _population(spark, sf_dir), sampling.selection_windows(spark, PLAN)
-    )
+    daily = sampling.daily_counts(_population(spark, sf_dir))
+    return sampling.stratum_totals(daily, sampling.selection_windows(spark, PLAN))
 
 
 def window_membership(spark, sf_dir):
@@ -36,7 +35,7 @@ def window_membership(spark, sf_dir):
 
 
 def reconcile_totals(spark, sf_dir):
-    totals = sampling.window_totals(_population(spark, sf_dir))
+    totals = sampling.window_totals(sampling.daily_counts(_population(spark, sf_dir)))
     return sampling.require_reconciled(sampling.reconcile_totals(_strata(spark, sf_dir), totals))
 
 
@@ -75,7 +74,9 @@ def sampling_report(spark, sf_dir):
 
 QUERIES = {
     "selection_windows": lambda s, d: sampling.selection_windows(s, PLAN).join(
-        sampling.window_totals(_population(s, d)).drop("window_relation"), "window_name", "left"
+        sampling.window_totals(sampling.daily_counts(_population(s, d))).drop("window_relation"),
+        "window_name",
+        "left",
     ),
     "window_membership": window_membership,
     "weekly_strata": lambda s, d: _population(s, d).select(
