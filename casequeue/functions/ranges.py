@@ -28,7 +28,7 @@ def running_totals(
     """
     keyed = df.withColumn("_order", F.col(order).cast("double"))
     cuts = keyed.approxQuantile("_order", [i / ranges for i in range(1, ranges)], 0.001)
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    splits = [float("-inf"), *sorted(set(cuts) or {0.0}), float("inf")]
     ranged = Bucketizer(splits=splits, inputCol="_order", outputCol="_range").transform(keyed)
     direction = F.desc if descending else F.asc
     before = Window.orderBy(direction("_range")).rowsBetween(Window.unboundedPreceding, -1)

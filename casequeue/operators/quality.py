@@ -95,6 +95,10 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def snapshot_rows(parsed: DataFrame) -> DataFrame:
+    return parsed.where("is_object")
+
+
 def _blank(c: Column) -> Column:
     return F.coalesce(c, F.lit("")) == ""
 
@@ -224,18 +228,23 @@ def quality_report(
 
 
 def _manifest_checks(manifest: DataFrame, fingerprint: DataFrame | None) -> list[Column]:
-    header = manifest.select(F.struct("snapshot_sha256", "windows").alias("m")).scalar()
-    expected, windows = header.getField("snapshot_sha256"), header.getField("windows")
+
+    def flagged(name: str) -> Column:
+        hit = F.exists("windows", lambda w: w["source_meta"][name].eqNullSafe(True))
+        return F.coalesce(hit, F.lit(False)).alias(name)
+
+    header = manifest.select(
+        F.struct(
+            "snapshot_sha256",
+            (F.coalesce(F.array_size("windows"), F.lit(0)) > 0).alias("reported"),
+            flagged("has_data_issue"),
+            flagged("is_data_stale"),
+        ).alias("m")
+    ).scalar()
+    expected, reported = header.getField("snapshot_sha256"), header.getField("reported")
     actual = (
         fingerprint.select("rowset_sha256").scalar() if fingerprint is not None else F.lit(None)
     )
-    reported = F.coalesce(F.size(windows), F.lit(0)) > 0
-
-    def flagged(name: str) -> Column:
-        return F.coalesce(
-            F.exists(windows, lambda w: w["source_meta"][name].eqNullSafe(True)), F.lit(False)
-        )
-
     same = expected == actual
     return [
         _check(
@@ -250,9 +259,9 @@ def _manifest_checks(manifest: DataFrame, fingerprint: DataFrame | None) -> list
             _check(
                 name,
                 "high",
-                flagged(field).cast("int"),
+                header.getField(field).cast("int"),
                 "0",
-                reported & ~flagged(field),
+                reported & ~header.getField(field),
                 detail,
             )
             for name, field, detail in (
