@@ -105,7 +105,9 @@ def vocabulary(
     """`term, term_count, document_count, idf` of the kept terms.
 
     Occurrences are flagged once per document by sorting its terms, so counts
-    and document counts come from one shuffle keyed by term.
+    and document counts come from one shuffle keyed by term. The count that the
+    last kept term must reach comes from a histogram of counts, so the final
+    ordering sees little more than the terms it keeps.
     """
     least = minimum_documents or (2 if rows >= MANY_TRAINING_ROWS else 1)
     ordered = terms.select(F.sort_array(column).alias("t"))
@@ -128,7 +130,17 @@ def vocabulary(
         & (F.col("document_count") <= F.lit(MAX_DOCUMENT_SHARE) * rows)
     )
     idf = F.log(F.lit(1.0 + rows) / (F.lit(1.0) + F.col("document_count"))) + F.lit(1.0)
-    return kept.orderBy(F.desc("term_count"), "term").limit(MAX_FEATURES).withColumn("idf", idf)
+    # T occurrences have at most sqrt(2 T) different counts: a short table.
+    above = Window.orderBy(F.desc("term_count")).rowsBetween(Window.unboundedPreceding, -1)
+    histogram = kept.groupBy("term_count").agg(F.count("*").alias("n"))
+    reached = histogram.withColumn("above", F.coalesce(F.sum("n").over(above), F.lit(0)))
+    cutoff = reached.where(F.col("above") < MAX_FEATURES).agg(F.min("term_count").alias("c"))
+    return (
+        kept.where(F.col("term_count") >= cutoff.scalar())
+        .orderBy(F.desc("term_count"), "term")
+        .limit(MAX_FEATURES)
+        .withColumn("idf", idf)
+    )
 
 
 def tfidf_stages(train: DataFrame, rows: int, text: str = "narrative") -> list[Transformer]:

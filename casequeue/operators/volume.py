@@ -8,6 +8,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casequeue.sources.snapshot import in_months
+
 # Fixed values of the anomaly rule.
 PUBLICATION_LAG_DAYS = 15
 WINDOW_DAYS = 7
@@ -34,7 +36,8 @@ def trends(complaints: DataFrame, dimension: str, days: int, as_of: date | None
     newest = (
         F.lit(as_of) if as_of else complaints.agg(F.max("date_received").alias("newest")).scalar()
     )
-    recent = complaints.where(F.col("date_received") >= F.date_sub(newest, days - 1))
+    first = F.date_sub(newest, days - 1)
+    recent = in_months(complaints, first, newest).where(F.col("date_received") >= first)
     return (
         recent.groupBy(F.col("date_received").alias("date"), F.col(dimension).alias("label"))
         .agg(F.count("*").alias("count"))
@@ -59,8 +62,10 @@ def window_counts(
     span = WINDOW_DAYS * (BASELINE_WINDOWS + 1)
     received = F.col("date_received")
     slot = F.floor(F.datediff(cutoff, received) / F.lit(WINDOW_DAYS)).cast("int")
+    before = F.date_sub(cutoff, span)
     combined = (
-        complaints.where((received > F.date_sub(cutoff, span)) & (received <= cutoff))
+        in_months(complaints, before, cutoff)
+        .where((received > before) & (received <= cutoff))
         .groupBy(slot.alias("slot"), *dimensions)
         .agg(F.sum(weight if weight is not None else F.lit(1)).alias("n"))
     )

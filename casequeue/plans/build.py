@@ -118,7 +118,7 @@ def route_complaints(
     for name, report in trained.reports.items():
         report.write.mode("overwrite").parquet(paths.of(f"router_reports/{name}"))
     snapshot.write_complaints(
-        trained.model.score(complaints).drop("received_month"), paths.of("scored_complaints")
+        trained.model.score(complaints).drop(snapshot.MONTH), paths.of("scored_complaints")
     )
     return snapshot.read_complaints(spark, paths.of("scored_complaints"))
 

@@ -36,7 +36,14 @@ def _split(batch: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataF
 
 def check_route_reviews(batch: DataFrame, cases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) decisions; approve and override must name a route."""
-    known = cases.select("complaint_id").distinct().withColumn("known_case", F.lit(True))
+    # Cases are reduced to the batch's ids before anything is deduplicated.
+    asked = batch.select("complaint_id").distinct()
+    known = (
+        cases.select("complaint_id")
+        .join(asked, "complaint_id", "left_semi")
+        .distinct()
+        .withColumn("known_case", F.lit(True))
+    )
     given = F.coalesce(F.col("approved_route"), F.lit("")) != ""
     accepted, rejected = _split(
         batch.join(known, "complaint_id", "left"),

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from casequeue.functions.hashing import canonical_json
 from casequeue.schemas import COMPLAINTS, SNAPSHOT
 
+MONTH = "received_month"
+
 _STORED = StructType(
     [StructField(f.name, COMPLAINTS[f.name].dataType) for f in SNAPSHOT.fields]
 )
@@ -51,17 +53,29 @@ def as_complaints(snapshot: DataFrame) -> DataFrame:
 
 def write_complaints(complaints: DataFrame, path: str) -> None:
     """Parquet by received month, products together inside a file."""
-    month = F.date_format("date_received", "yyyy-MM")
+    dated = complaints.withColumn(MONTH, F.date_format("date_received", "yyyy-MM"))
+    # Rebalancing keeps a month together, splits a busy one and needs no sampling
+    # pass over rows that may carry model scores.
     (
-        complaints.withColumn("received_month", month)
-        # The date spreads a busy month over many files.
-        .repartitionByRange("received_month", "date_received", "product", "complaint_id")
-        .sortWithinPartitions("received_month", "product", "date_received")
+        dated.hint("rebalance", MONTH)
+        .sortWithinPartitions(MONTH, "product", "date_received")
         .write.mode("overwrite")
-        .partitionBy("received_month")
+        .partitionBy(MONTH)
         .parquet(path)
     )
 
 
+def in_months(complaints: DataFrame, first: Column, last: Column) -> DataFrame:
+    """Let a date range prune the month folders of a stored complaints table."""
+    if MONTH not in complaints.columns:
+        return complaints
+    month = F.col(MONTH)
+    return complaints.where(
+        (month >= F.date_format(first, "yyyy-MM")) & (month <= F.date_format(last, "yyyy-MM"))
+    )
+
+
 def read_complaints(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """Stored complaints; the month folder stays text."""
+    schema = StructType([*COMPLAINTS.fields, StructField(MONTH, StringType())])
+    return spark.read.schema(schema).parquet(path)
