@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GROUP_LIMIT = 1000  # largest k for which the optimizer limits groups before the shuffle
-SALTS = 64
+SALTS = 64  # slices of a group whose size is not known
 
 
 def running_totals(
@@ -83,19 +83,24 @@ def top_per_group(
     order: Sequence[Column],
     k: int | Column,
     rank: str = "rn",
+    *,
+    slices: int | Column = SALTS,
+    spread: Sequence[str] | None = None,
 ) -> DataFrame:
     """First `k` rows of each group, numbered from 1 in `rank`.
 
-    A small fixed `k` relies on the optimizer's group limit before the shuffle. A
-    larger or per-group `k` first takes `k` rows from each of 64 slices of a group, so that a hot
-    group is sorted by many tasks and the last one sees at most `64 * k` rows.
+    A small fixed `k` relies on the optimizer's group limit before the shuffle.
+    A larger or per-group `k` first takes `k` rows from each slice of a group,
+    so a hot group is sorted by many tasks and the last one sees `slices * k`
+    rows. `spread` names the columns that tell rows apart.
     """
     candidates = df
     if not isinstance(k, int) or k > GROUP_LIMIT:
         # Content and input partition: a retried task rebuilds the same slices,
         # and equal rows still spread.
-        content = F.xxhash64(*[F.col(c) for c in df.columns])
-        slice_of = F.pmod(content + F.spark_partition_id(), F.lit(SALTS))
+        content = F.xxhash64(*[F.col(c) for c in spread or df.columns])
+        count = slices if isinstance(slices, Column) else F.lit(slices)
+        slice_of = F.pmod(content + F.spark_partition_id(), count)
         sliced = Window.partitionBy(*keys, "_slice").orderBy(*order)
         candidates = (
             df.withColumn("_slice", slice_of)

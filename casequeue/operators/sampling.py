@@ -229,14 +229,26 @@ def stratified_take(
         .select(
             *STRATUM,
             F.col("day").alias("_day"),
+            "rows",
             (F.col("stratum_cap") - F.col("_before")).alias("_need"),
         )
+        # Slices that balance rows per slice against rows in the last step.
+        .withColumn("_slices", F.ceil(F.sqrt(F.col("rows") / F.col("_need"))))
+        .drop("rows")
     )
     dated = population.withColumn("_day", F.to_date(F.col(created)))
     offered = dated.join(F.broadcast(days), [*STRATUM, "_day"])
     order = [F.desc(created), F.desc(key)]
-    taken = top_per_group(offered, [*STRATUM, "_day"], order, F.col("_need"), rank="_rn")
-    return taken.drop("_day", "_need", "_rn")
+    taken = top_per_group(
+        offered,
+        [*STRATUM, "_day"],
+        order,
+        F.col("_need"),
+        rank="_rn",
+        slices=F.col("_slices"),
+        spread=[key],
+    )
+    return taken.drop("_day", "_need", "_slices", "_rn")
 
 
 def dedup_global(
