@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from casequeue.functions.probability import argmax_class, confidence, softmax
 from casequeue.functions.text import accent_free, narrative_group, strip, with_bigrams, words
 from casequeue.operators import metrics
+from casequeue.session import checkpointed
 
 # Fixed values of the router.
 MAX_FEATURES = 40_000
@@ -335,11 +336,10 @@ def train_router(
     `rows` are eligible narratives. Copies are removed before the split, so a
     text never sits on both sides of it.
     """
-    split = (
-        metrics.chronological_split(dedup_narratives(rows), as_of=as_of, test_months=test_months)
-        .withColumnRenamed("product", "label")
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    unique = checkpointed(dedup_narratives(rows))
+    split = metrics.chronological_split(
+        unique, as_of=as_of, test_months=test_months
+    ).withColumnRenamed("product", "label")
     train = split.where("role = 'train'")
     sizes = class_sizes(train)
     stages = tfidf_stages(train, sum(sizes.values()))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -38,5 +38,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     named = spark.conf.get(CHECKPOINT_CONF, None)
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="run-"))
     return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Rows written to the checkpoint folder, so later stages survive lost executors."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

@@ -37,9 +37,9 @@ def _prioritized(spark, sf_dir):
     )
 
 
-def _positions(df, mode, top):
-    """The first rows of an ordering, with the keys that ordered them."""
-    return queue.queue_sort(df, mode).limit(top)
+def _first_page(df, mode):
+    """The largest page of an ordering."""
+    return queue.queue_sort(df, mode).limit(queue.MAX_PAGE_SIZE)
 
 
 def queue_page(spark, sf_dir):
@@ -86,20 +86,20 @@ def case_priority(spark, sf_dir):
 
 
 def queue_sort_priority(spark, sf_dir):
-    return _positions(_prioritized(spark, sf_dir), "priority", 200).select(
+    return _first_page(_prioritized(spark, sf_dir), "priority").select(
         "complaint_id", "priority"
     )
 
 
 def queue_sort_newest(spark, sf_dir):
-    return _positions(_prioritized(spark, sf_dir), "newest", 200).select(
+    return _first_page(_prioritized(spark, sf_dir), "newest").select(
         "complaint_id", "date_received"
     )
 
 
 def queue_sort_confidence(spark, sf_dir):
     scored = _prioritized(spark, sf_dir).where(F.col("has_narrative"))
-    return _positions(scored, "confidence", 200).select("complaint_id", "prediction_confidence")
+    return _first_page(scored, "confidence").select("complaint_id", "prediction_confidence")
 
 
 QUERIES = {
