@@ -64,16 +64,18 @@ def continuous_quantiles(df: DataFrame, value: str, fractions: dict[str, float])
     counts = (
         df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
     )
-    ranked = running_totals(counts, value, ["n"]).withColumn(
-        "_before", F.col("cum_n") - F.col("n")
-    )
+    ranked = running_totals(counts, value, ["n"])
     total = counts.agg(F.sum("n").alias("total")).scalar()
+
+    def value_at(position: Column) -> Column:
+        """Smallest value whose running count passes a zero-based position."""
+        return F.min(F.when(F.col("cum_n") > position, F.col(value).cast("double")))
+
     picks: list[Column] = []
     for name, fraction in fractions.items():
-        position = (total - 1).cast("double") * F.lit(float(fraction))
-        low, high = F.floor(position), F.ceil(position)
-        at = lambda p: F.min(F.when(F.col("cum_n") > p, F.col(value).cast("double")))
-        picks.append((at(low) + (at(high) - at(low)) * F.max(position - low)).alias(name))
+        exact = (total - 1).cast("double") * F.lit(float(fraction))
+        low, high = value_at(F.floor(exact)), value_at(F.ceil(exact))
+        picks.append((low + (high - low) * F.max(exact - F.floor(exact))).alias(name))
     return ranked.agg(*picks)
 
 

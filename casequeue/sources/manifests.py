@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +19,12 @@ class ManifestError(ValueError):
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """One row; unreadable JSON gives NULL fields, which the gate refuses."""
-    return spark.read.schema(SNAPSHOT_MANIFEST).option("multiLine", True).json(path)
+    """One row; a missing or unreadable file gives NULL fields, which the gate refuses."""
+    try:
+        return spark.read.schema(SNAPSHOT_MANIFEST).option("multiLine", True).json(path)
+    except AnalysisException:
+        empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in SNAPSHOT_MANIFEST.fields]
+        return spark.range(1).select(*empty)
 
 
 def source_windows(manifest: DataFrame) -> DataFrame:

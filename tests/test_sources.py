@@ -75,6 +75,19 @@ def test_source_windows_have_defaults(spark, folder):
     assert spark.read.parquet(f"{folder}/windows").count() == 2
 
 
+def test_unreadable_manifests_are_refused_not_fatal(spark, folder):
+    broken = put(folder, "broken.json", '{"snapshot_sha256": "x", ')
+    for path in (broken, f"{folder}/missing.json"):
+        manifest = manifests.read_manifest(spark, path)
+        assert [r["windows"] for r in manifest.collect()] == [None]
+        assert manifests.source_windows(manifest).isEmpty()
+
+
+def test_blank_snapshot_lines_are_no_rows(spark, folder):
+    put(f"{folder}/lines", "part-0", '\n{"complaint_id": "1"}\n\n{"complaint_id": "2"}\n')
+    assert snapshot.read_snapshot_jsonl(spark, f"{folder}/lines").count() == 2
+
+
 SAMPLE = {"status": "frozen_unreviewed", "sample_manifest_sha256": "s1", "items": [{"complaint_id": "1", "month": "2026-07", "product": "Card"}]}
 DRAFTS = {"schema_version": "summary-draft-manifest-v1", "status": "private_generated_drafts", "source_sample_manifest_sha256": "s1", "manifest_sha256": "m1", "items": [{"complaint_id": "1", "summary_id": "d1", "model": "m", "draft_sha256": "a" * 64}]}
 
