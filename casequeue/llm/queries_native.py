@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from casequeue.llm import fingerprints
+from pyspark.sql import functions as F
+
+from casequeue.llm import fingerprints, mixing
 from casequeue.llm.common import table
 
 
@@ -10,7 +12,15 @@ def op10_fingerprints(spark, sf_dir):
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark, sf_dir):
+    mixed = mixing.mix_copies(table(spark, sf_dir, "documents"))
+    return mixed.select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
+    )
+
+
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op10_fingerprints": op10_fingerprints,
 }
 
