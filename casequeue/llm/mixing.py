@@ -24,7 +24,7 @@ from casequeue.llm.common import fresh, handed_over
 
 WORD = r"[^\x20\x09-\x0D]+"
 GROUP = 64
-LAST_GROUPS = 8  # a level of fewer groups for a source is its last, of one group
+LAST_GROUPS = 32  # a level of fewer groups for a source is its last, of one group
 MAX_COPIES = 3.0
 
 
