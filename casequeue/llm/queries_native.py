@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casequeue.llm import fingerprints, mixing
+from casequeue.llm import fingerprints, mixing, url_rules
 from casequeue.llm.common import table
 
 
@@ -19,7 +19,22 @@ def op2_mixing(spark, sf_dir):
     )
 
 
+URL_RULES = (
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+)
+
+
+def op3_url_filter(spark, sf_dir):
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_rules.judge_urls(pages, rules).drop("url")
+
+
 QUERIES = {
+    "op3_url_filter": op3_url_filter,
     "op2_mixing": op2_mixing,
     "op10_fingerprints": op10_fingerprints,
 }
@@ -46,6 +61,22 @@ def _near(x: str, y: str) -> str:
 
 
 ORACLES = {
+    "op3_url_filter": f"""WITH rules(host, path, verdict) AS (VALUES {", ".join(map(str, URL_RULES))}),
+parts AS (
+  SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r
+  FROM pages
+),
+split AS (
+  SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM parts
+)
+SELECT page_id, any_value(s.host) AS host, any_value(s.path) AS path,
+  arg_max(r.host || r.path, length(r.host || r.path)) AS rule,
+  coalesce(arg_max(r.verdict, length(r.host || r.path)), 'allow') AS verdict
+FROM split s LEFT JOIN rules r ON starts_with(s.path, r.path)
+  AND (s.host = r.host OR ends_with(s.host, '.' || r.host))
+GROUP BY page_id""",
     "op10_fingerprints": f"""WITH base AS (
   SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents
 ),
