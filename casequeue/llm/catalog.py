@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("queries_native", "queries_tokens", "queries_models")
+MODULES = ("queries_native", "queries_tokens", "queries_models", "queries_dedup")
 
 
 def _merged(attribute: str) -> dict:
