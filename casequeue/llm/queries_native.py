@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casequeue.llm import fingerprints, mixing, url_rules
+from casequeue.llm import fingerprints, mixing, personal_data, url_rules
 from casequeue.llm.common import table
 
 
@@ -33,7 +33,12 @@ def op3_url_filter(spark, sf_dir):
     return url_rules.judge_urls(pages, rules).drop("url")
 
 
+def op4_personal_data(spark, sf_dir):
+    return personal_data.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op4_personal_data": op4_personal_data,
     "op3_url_filter": op3_url_filter,
     "op2_mixing": op2_mixing,
     "op10_fingerprints": op10_fingerprints,
