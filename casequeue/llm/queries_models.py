@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from casequeue.llm import quality
+from pyspark.sql import functions as F
+
+from casequeue.llm import quality, top_k
 from casequeue.llm.common import table
 
 
@@ -11,5 +13,28 @@ def op6_quality(spark, sf_dir):
     return quality.score_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op6_quality": op6_quality}
-ORACLES: dict[str, str] = {}
+def op5_top_k(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), top_k.quantized(F.col("embedding")).alias("v")
+    )
+    return top_k.top_k(vectors.where("id % 100 = 0"), vectors)
+
+
+QUERIES = {"op5_top_k": op5_top_k, "op6_quality": op6_quality}
+ORACLES = {
+    "op5_top_k": """WITH v AS (
+  SELECT vec_id, list_transform(embedding,
+    lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1),
+    lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 100 = 0
+)
+SELECT * FROM (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)
+    AS INTEGER) AS rank, vec_id, score FROM scored) WHERE rank <= 10""",
+}
