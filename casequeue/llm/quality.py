@@ -71,6 +71,9 @@ class _Words(dict):
         return found
 
 
+_WORDS = _Words()  # of a worker process: its tasks share the cache
+
+
 def _shape(name: str, value: float, steps: int = 10) -> tuple[int, ...]:
     """Numbers of all levels up to that of a share from 0 to 1, so that neighbours have most alike."""
     return _LEVELS[name][: min(steps, int(value * steps)) + 1]
@@ -234,7 +237,7 @@ def co_train(text: Rows, meta: Rows, y: np.ndarray, pool_text: Rows, pool_meta:
 
 
 def _featured(batches):
-    words = _Words()
+    words = _WORDS
     for batch in batches:
         columns = batch.to_pydict()
         rows = zip(columns["text"], columns["source"], columns["lang"], columns["n_chars"], strict=True)
@@ -305,7 +308,7 @@ def _packed(model: dict) -> dict:
 
 def _scored(models: dict):
     def run(batches):
-        words, dense = _Words(), {}
+        words, dense = _WORDS, {}
         for target, model in models.items():
             if "views" in model:
                 dense[target] = []

@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casequeue.llm.common import cut_at, partitions, quantile_bounds, shared_folder
-from casequeue.llm.tokens import PieceEncoder
+from casequeue.llm.tokens import encoder_of
 
 SAMPLE_DOCS = 2_000
 SAMPLE_IDS = 4_096
 SAMPLE_CHARS = 40_000
 DICTIONARY_BYTES = 1 << 16
 BLOCK_BYTES = 1 << 20
-LEVEL = 3
+LEVEL = 1
 
 BLOCK_SCHEMA = (
     "bucket int, block int, start long, first_doc long, last_doc long, doc_ids array<long>, "
@@ -49,14 +49,16 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     """Dictionary from a bounded sample, trained on the driver; empty without usable samples."""
     import zstandard
 
+    chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
     texts = (
-        docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-        .where(F.col("text").isNotNull())
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        docs.where(F.col("text").isNotNull())
+        .join(F.broadcast(chosen.distinct()), "doc_id")  # at most SAMPLE_DOCS ids
+        .select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
         .limit(SAMPLE_DOCS)
         .collect()
     )
-    encoder = PieceEncoder(tokenizer)
+    texts.sort(key=lambda r: (r["doc_id"], r["text"]))
+    encoder = encoder_of(tokenizer)
     samples = [encoder.encode(r["text"])[: SAMPLE_IDS * encoder.width] for r in texts]
     samples = [s for s in samples if s]
     try:
@@ -79,7 +81,7 @@ def _frames(tokenizer: str, dictionary: bytes, end_id: int):
     def encode(batches):
         import zstandard
 
-        encoder = PieceEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         end = end_id.to_bytes(encoder.width, "little")
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary))
         for batch in batches:
@@ -146,7 +148,7 @@ def write_store(docs: DataFrame, tokenizer: str, *, end_id: int = 0, path: str |
     spark = docs.sparkSession
     path = path or f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     dictionary = train_dictionary(docs, tokenizer)
-    width = PieceEncoder(tokenizer).width
+    width = encoder_of(tokenizer).width
     pieces = partitions(spark)
     bounds = quantile_bounds(docs, "doc_id", 2 * pieces)
     rows = docs.select(

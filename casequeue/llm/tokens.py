@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import unicodedata
+from array import array
+from functools import lru_cache
 
 import numpy as np
 
-CACHE_PIECES = 500_000
+CACHE_PIECES = 350_000
 LONGEST_CACHED = 100  # characters; longer pieces are encoded each time
 
 # White space before a space that does not start a word: cut such texts at single spaces only.
@@ -32,6 +35,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
+_SPACE = _LETTERS[32]
 
 
 def _byte_level(piece: str) -> str:
@@ -40,16 +44,19 @@ def _byte_level(piece: str) -> str:
 
 def _spaced_word(piece: str) -> str | None:
     """Model input of a word, its space included; None if it is not of letters alone."""
-    return _byte_level(piece) if piece.lstrip(" ").isalpha() else None
+    if not piece.lstrip(" ").isalpha():
+        return None
+    return piece.replace(" ", _SPACE) if piece.isascii() else _byte_level(piece)
 
 
 def _lower_word(piece: str) -> str | None:
     """Model input of a word in lower case, without its space."""
     word = piece.lstrip(" ")
-    if not word.isascii():
-        word = unicodedata.normalize("NFC", word)
-        if "Σ" in word:  # its lower case depends on its place
-            return None
+    if word.isascii():
+        return word.lower() if word.isalpha() else None
+    word = unicodedata.normalize("NFC", word)
+    if "Σ" in word:  # its lower case depends on its place
+        return None
     word = word.lower()
     return _byte_level(word) if word.isalpha() else None
 
@@ -63,7 +70,7 @@ class _Pieces(dict):
 
     def age(self) -> None:
         """Forget pieces that were not used since the last call; the others come back when used."""
-        self.older = dict(self)
+        self.older = self.copy()
         self.clear()
 
     def __missing__(self, piece: str) -> bytes:
@@ -72,7 +79,7 @@ class _Pieces(dict):
             ids = self._of_parts(piece)
             if ids is None:
                 ids = self.encoder.one(self.space + piece)
-        if len(piece) <= LONGEST_CACHED:
+        if len(piece) <= LONGEST_CACHED and "\n" not in piece:
             self[piece] = ids
         return ids
 
@@ -89,6 +96,12 @@ class _Pieces(dict):
         return None
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> PieceEncoder:
+    """The encoder of a worker process: its tasks share vocabulary and cache."""
+    return PieceEncoder(path)
+
+
 class PieceEncoder:
     """Encodes texts with the tokenizer in ``path``; ids come back as little-endian bytes.
 
@@ -101,6 +114,9 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.code = "H" if self.width == 2 else "I"  # of arrays, little-endian here
+        if sys.byteorder != "little":
+            raise RuntimeError("ids are packed in the machine's order, which must be little-endian")
         self.dtype = np.dtype(f"<u{self.width}")
         self.cache_pieces = cache_pieces
         self.word_form = None
@@ -110,7 +126,7 @@ class PieceEncoder:
         self.first, self.later = _Pieces(self, ""), _Pieces(self, " ")
 
     def _pack(self, ids: list[int]) -> bytes:
-        return b"".join([i.to_bytes(self.width, "little") for i in ids])
+        return array(self.code, ids).tobytes()
 
     def _word(self, form: str) -> bytes:
         return self._pack([t.id for t in self.tokenizer.model.tokenize(form)])
