@@ -77,6 +77,11 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _scan(values: Column, state: Column, out: str, step) -> Column:
     """Outputs of ``step(state, value)``, a struct of ``state`` and ``out``, over an array in order.
 
@@ -89,20 +94,25 @@ def _scan(values: Column, state: Column, out: str, step) -> Column:
         made = step(acc["state"], x)
         return F.struct(made["state"].alias("state"), F.concat(acc["outs"], F.array(made["out"])).alias("outs"))
 
-    def part(acc, i):
-        inner = F.aggregate(
-            F.slice(values, i * SLICE + 1, SLICE),
-            F.struct(acc["state"].alias("state"), none.alias("outs")),
-            one,
-        )
-        done = F.transform(F.array(inner), lambda r: F.struct(
-            r["state"].alias("state"), F.concat(acc["outs"], F.array(r["outs"])).alias("outs")
-        ))
-        return F.element_at(done, 1)
+    def scanned(v):
+        def part(acc, i):
+            inner = F.aggregate(
+                F.slice(v, i * SLICE + 1, SLICE),
+                F.struct(acc["state"].alias("state"), none.alias("outs")),
+                one,
+            )
+            return _let(
+                inner,
+                lambda r: F.struct(
+                    r["state"].alias("state"), F.concat(acc["outs"], F.array(r["outs"])).alias("outs")
+                ),
+            )
+
+        parts = F.sequence(F.lit(0), F.ceil(F.size(v) / SLICE).cast("int") - 1)
+        folded = F.aggregate(parts, F.struct(state.alias("state"), nothing.alias("outs")), part)
+        return F.when(F.size(v) > 0, F.flatten(folded["outs"])).otherwise(none)
 
-    parts = F.sequence(F.lit(0), F.ceil(F.size(values) / SLICE).cast("int") - 1)
-    folded = F.aggregate(parts, F.struct(state.alias("state"), nothing.alias("outs")), part)
-    return F.when(F.size(values) > 0, F.flatten(folded["outs"])).otherwise(none)
+    return _let(values, scanned)
 
 
 _MATCH = "struct<m:string,s:int,e:int,b:string,a:string>"
@@ -114,14 +124,22 @@ def _found(text: Column, kind: str) -> Column:
     Lengths of matches and of the gaps between them add up to places.
     """
     pattern = F.lit(PATTERNS[kind])
-    possible = F.instr(text, _NEEDS[kind]) > 0 if kind in _NEEDS else F.rlike(text, pattern)
+    possible = F.instr(text, _NEEDS[kind]) > 0 if kind in _NEEDS else F.lit(True)
     none = F.array().cast("array<string>")
     matches = F.when(possible, F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(none)
-    gaps = F.when(possible, F.split(text, PATTERNS[kind], -1)).otherwise(none)
-    after = F.concat(F.slice(gaps, 2, F.greatest(F.size(gaps), F.lit(1))), F.array(F.lit("")))
-    pairs = F.filter(
-        F.arrays_zip(matches.alias("m"), gaps.alias("g"), after.alias("h")), lambda x: x["m"].isNotNull()
-    )
+
+    def paired(m):
+        gaps = F.when(F.size(m) > 0, F.split(text, PATTERNS[kind], -1)).otherwise(none)
+
+        def zipped(g):
+            after = F.slice(g, 2, F.greatest(F.size(g), F.lit(1)))
+            return F.filter(
+                F.arrays_zip(m.alias("m"), g.alias("g"), after.alias("h")), lambda x: x["m"].isNotNull()
+            )
+
+        return _let(gaps, zipped)
+
+    pairs = _let(matches, paired)
 
     def step(at, x):
         start = at + F.length(x["g"])
@@ -165,8 +183,10 @@ def _votes(kind: str, span: Column) -> Column:
 
 def spans_of(text: Column) -> Column:
     """All strict spans and loose candidates of a text, with kind, place, votes and length class."""
-    text = F.coalesce(text, F.lit(""))
+    return _let(F.coalesce(text, F.lit("")), _described)
 
+
+def _described(text: Column) -> Column:
     def described(kind):
         return F.transform(
             _found(text, kind),
@@ -206,6 +226,13 @@ def _apart(found: Column) -> Column:
 
         return step
 
+    def cleared(found):
+        return _cleared(found, looked)
+
+    return _let(found, cleared)
+
+
+def _cleared(found: Column, looked) -> Column:
     low = F.lit(-(1 << 30))
     start = F.struct(low.alias("strict"), low.alias("secrets"))
     spans = F.transform(found, lambda x: F.struct(*(x[c].alias(c) for c in "skevn"), F.lit(True).alias("free")))
