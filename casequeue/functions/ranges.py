@@ -8,7 +8,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GROUP_LIMIT = 1000  # largest k for which the optimizer limits groups before the shuffle
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+RANGE_ROWS = 500_000  # rows of a range of running totals, about
 SALTS = 64  # slices of a group whose size is not known
 
 
@@ -18,15 +19,18 @@ def running_totals(
     values: Sequence[str],
     *,
     descending: bool = False,
-    ranges: int = 256,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Add `cum_<v>`: inclusive totals along a numeric column without repeats.
 
-    Rows are cut into value ranges at approximate quantiles. Range totals give
-    every range its starting offset (at most `ranges` rows), and running sums
-    stay inside a range. Only the balance of the ranges is approximate.
+    Rows are cut into value ranges at approximate quantiles, as many as the rows
+    need unless `ranges` says so. Range totals give every range its starting
+    offset (one row per range), and running sums stay inside a range. Only the
+    balance of the ranges is approximate.
     """
     keyed = df.withColumn("_order", F.col(order).cast("double"))
+    if ranges is None:
+        ranges = 8 + keyed.count() // RANGE_ROWS
     cuts = keyed.approxQuantile("_order", [i / ranges for i in range(1, ranges)], 0.001)
     splits = [float("-inf"), *sorted(set(cuts) or {0.0}), float("inf")]
     ranged = Bucketizer(splits=splits, inputCol="_order", outputCol="_range").transform(keyed)
@@ -97,7 +101,7 @@ def top_per_group(
     rows. `spread` names the columns that tell rows apart.
     """
     candidates = df
-    if not isinstance(k, int) or k > GROUP_LIMIT:
+    if not isinstance(k, int) or k > int(df.sparkSession.conf.get(GROUP_LIMIT)):
         # Content and input partition: a retried task rebuilds the same slices,
         # and equal rows still spread.
         content = F.xxhash64(*[F.col(c) for c in spread or df.columns])

@@ -21,7 +21,10 @@ FALSE_WORDS = ("no", "false", "0")
 
 _ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
 _BASIC_DATE = r"^\d{8}$"
-_ISO_INSTANT = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?"
+_WEEK_DATE = r"^(\d{4})-?W(0[1-9]|[1-4]\d|5[0-3])(?:-?([1-7]))?$"
+_ISO_INSTANT = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}(:\d{2}(:\d{2}(\.\d{1,9})?)?)?"
+_HOUR_ONLY = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2})(Z|[+-]\d{2}:?\d{2})$"
+_MINUTE_ONLY = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})(Z|[+-]\d{2}:?\d{2})$"
 _OFFSET = r"(Z|[+-]\d{2}:?\d{2})$"
 
 
@@ -42,17 +45,34 @@ def to_bool(c: Column) -> Column:
 
 
 def iso_date(c: Column) -> Column:
-    """Strict calendar date from `YYYY-MM-DD` or `YYYYMMDD`, else NULL."""
-    return F.when(c.rlike(_ISO_DATE), c.try_cast("date")).when(
-        c.rlike(_BASIC_DATE),
-        F.concat_ws("-", c.substr(1, 4), c.substr(5, 2), c.substr(7, 2)).try_cast("date"),
+    """Strict date from `YYYY-MM-DD`, `YYYYMMDD` or an ISO week date, else NULL."""
+    return (
+        F.when(c.rlike(_ISO_DATE), c.try_cast("date"))
+        .when(
+            c.rlike(_BASIC_DATE),
+            F.concat_ws("-", c.substr(1, 4), c.substr(5, 2), c.substr(7, 2)).try_cast("date"),
+        )
+        .when(c.rlike(_WEEK_DATE), week_date(c))
     )
 
 
+def week_date(c: Column) -> Column:
+    """Date of `YYYY-Www` or `YYYY-Www-D` (Monday if no day is given); NULL for a week 53 that a
+    year does not have."""
+    year, week = (F.regexp_extract(c, _WEEK_DATE, i).try_cast("int") for i in (1, 2))
+    day = F.coalesce(F.nullif(F.regexp_extract(c, _WEEK_DATE, 3), F.lit("")).try_cast("int"), F.lit(1))
+    # Week 1 holds January 4th; weeks start on Monday (0).
+    fourth = F.make_date(year, F.lit(1), F.lit(4))
+    found = F.date_add(fourth, (week - 1) * 7 + day - 1 - F.weekday(fourth))
+    return F.when(F.weekofyear(found) == week, found)
+
+
 def instant_utc_date(c: Column) -> Column:
     """UTC calendar date of an ISO instant (no offset means UTC), else NULL."""
     has_offset = c.rlike(_OFFSET)
-    body = F.when(has_offset, c).otherwise(F.concat(c, F.lit("Z")))
+    zoned = F.when(has_offset, c).otherwise(F.concat(c, F.lit("Z")))
+    minutes = F.regexp_replace(zoned, _HOUR_ONLY, "$1:00$2")
+    body = F.regexp_replace(minutes, _MINUTE_ONLY, "$1:00$2")
     seconds = F.unix_seconds(
         F.when(body.rlike(_ISO_INSTANT + _OFFSET), body).try_cast("timestamp")
     )

@@ -22,7 +22,6 @@ INJECTION_PATTERNS = (
 INJECTION_FLAG = "possible_prompt_injection_in_source_text"
 
 # Bounds of a draft.
-MAX_DRAFT_INPUT = 12_000
 MINIMUM_DRAFT_INPUT = 20
 EXTRACT_FALLBACK = 240
 HEADLINE_CHARS = (1, 180)
@@ -50,17 +49,21 @@ def add_risk_flag(flags: Column, condition: Column, flag: str = INJECTION_FLAG)
     return F.when(condition, F.array_distinct(F.array_append(flags, F.lit(flag)))).otherwise(flags)
 
 
-def draft_input(narrative: Column) -> Column:
-    """The part of a narrative a draft may be written from."""
-    return F.left(narrative, F.lit(MAX_DRAFT_INPUT))
+def draft_input(narrative: Column, longest: int | None = None) -> Column:
+    """The text a draft is written from: all of it, or its first `longest` characters.
+
+    A bound is that of a model's prompt, which the caller knows.
+    """
+    return narrative if longest is None else F.left(narrative, F.lit(longest))
 
 
-def draft_eligible(cases: DataFrame) -> DataFrame:
-    """Cases a draft can be requested for, with `draft_input`."""
-    return cases.withColumn("draft_input", draft_input(F.col("narrative"))).where(
+def draft_eligible(cases: DataFrame, longest: int | None = None) -> DataFrame:
+    """Cases a draft can be requested for, judged on the whole text, with `draft_input`."""
+    text = F.col("narrative")
+    return cases.where(
         F.col("has_narrative")
-        & (F.coalesce(F.length(strip(F.col("draft_input"))), F.lit(0)) >= MINIMUM_DRAFT_INPUT)
-    )
+        & (F.coalesce(F.length(strip(text)), F.lit(0)) >= MINIMUM_DRAFT_INPUT)
+    ).withColumn("draft_input", draft_input(text, longest))
 
 
 def first_sentence(text: Column) -> Column:

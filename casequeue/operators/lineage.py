@@ -48,8 +48,9 @@ def verify_lineage(lineage: DataFrame) -> DataFrame:
     return lineage.where(row_sha256(body) != F.col("lineage_sha256"))
 
 
-def append_lineage(lineage: DataFrame, path: str) -> None:
-    lineage.write.mode("append").parquet(path)
+def write_lineage(lineage: DataFrame, path: str) -> None:
+    """The lineage of one version, replaced as a whole when its build is run again."""
+    lineage.write.mode("overwrite").parquet(path)
 
 
 def snapshot_manifest(lineage: DataFrame, source_meta: DataFrame | None = None) -> DataFrame:
@@ -75,7 +76,7 @@ def snapshot_manifest(lineage: DataFrame, source_meta: DataFrame | None = None)
         F.col("_meta").alias("source_meta"),
     )
     return lineage.withColumn("_meta", meta).agg(
-        F.first("rowset_sha256").alias("snapshot_sha256"),
+        F.max("rowset_sha256").alias("snapshot_sha256"),
         F.sort_array(F.collect_list(window)).alias("windows"),
     )
 

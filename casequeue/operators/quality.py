@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casequeue.functions.text import iso_date, strip
-from casequeue.operators.views import count_where
 
 # Fixed values of the contract.
 REQUIRED_COLUMNS = ("complaint_id", "date_received", "product", "issue")
@@ -28,7 +27,6 @@ ROW_CAP = 100_000
 RATE_LIMIT = 0.001
 MINIMUM_NARRATIVE_ROWS = 500
 MINIMUM_NARRATIVE_CHARS = 20
-DISTINCT_CAP = 50_000
 
 
 class QualityGateError(RuntimeError):
@@ -47,6 +45,24 @@ _LINE = ", ".join(
 )
 
 
+def _one_object(line: Column) -> Column:
+    """Whether braces outside of strings close for the first time at the end of a line.
+
+    A JSON parser stops after the first object; what follows it must not pass.
+    """
+    outside = F.regexp_replace(line, r'"(?:[^"\\]|\\.)*+"', "")
+    braces = F.regexp_replace(outside, r"[^{}]", "")
+
+    def step(at: Column, brace: Column) -> Column:
+        depth = at["depth"] + F.when(brace == "{", 1).otherwise(-1)
+        closed = at["closed"] + F.when(depth <= 0, 1).otherwise(0)
+        return F.struct(depth.alias("depth"), closed.alias("closed"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("closed"))
+    nested = F.aggregate(F.split(braces, ""), start, step)["closed"] == 1
+    return F.when(braces == "{}", True).when(braces == "", False).otherwise(nested)
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Snapshot lines (`value`) as text columns with what JSON alone can tell.
 
@@ -55,7 +71,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     can read the result many times, so large jobs write it as parquet first.
     """
     bare = strip(F.col("value"))
-    shaped = F.startswith(bare, F.lit("{")) & F.endswith(bare, F.lit("}"))
+    shaped = F.startswith(bare, F.lit("{")) & F.endswith(bare, F.lit("}")) & _one_object(bare)
     record = F.from_json(
         F.when(shaped, F.col("value")), _LINE, {"columnNameOfCorruptRecord": "_corrupt_record"}
     )
@@ -103,20 +119,11 @@ def _blank(c: Column) -> Column:
     return F.coalesce(c, F.lit("")) == ""
 
 
-def duplicate_ids(parsed: DataFrame) -> DataFrame:
-    """One row: how many rows repeat an id that another row already has."""
-    # Blank ids form a group that is not counted; a filter on the id would move
-    # below the aggregate and parse every line twice.
-    ids = parsed.select(
-        F.when(F.col("is_object"), strip(F.col("complaint_id"))).alias("id")
-    )
-    per_id = ids.groupBy("id").agg(F.count("*").alias("n"))
-    repeats = F.when(F.coalesce("id", F.lit("")) != "", F.col("n") - 1)
-    return per_id.agg(F.coalesce(F.sum(repeats), F.lit(0)).alias("duplicate_rows"))
-
-
 def quality_counters(parsed: DataFrame, as_of: date) -> DataFrame:
-    """One row of counts: every rule in one pass, uniqueness beside it."""
+    """One row of counts. Lines are parsed once: flags are summed by id, then over ids.
+
+    Sums combine on the map side, so a repeated id is no heavier than another.
+    """
     row = F.col("is_object")
     received, sent = iso_date(F.col("date_received")), F.col("date_sent_to_company")
     sent_day = iso_date(sent)
@@ -139,10 +146,18 @@ def quality_counters(parsed: DataFrame, as_of: date) -> DataFrame:
         "narrative_mismatch": row & (F.col("claims_narrative") != has_text),
         "narrative_eligible": row & has_text & long_enough & ~no_product,
     }
-    counts = parsed.agg(
-        *[count_where(F.coalesce(c, F.lit(False))).alias(n) for n, c in conditions.items()]
+    flags = [F.coalesce(c, F.lit(False)).cast("bigint").alias(n) for n, c in conditions.items()]
+    identity = F.when(row, strip(F.col("complaint_id"))).alias("id")
+    per_id = (
+        parsed.select(identity, *flags)
+        .groupBy("id")
+        .agg(F.count("*").alias("n"), *[F.sum(n).alias(n) for n in conditions])
+    )
+    repeats = F.when(F.coalesce("id", F.lit("")) != "", F.col("n") - 1)
+    return per_id.agg(
+        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in conditions],
+        F.coalesce(F.sum(repeats), F.lit(0)).alias("duplicate_rows"),
     )
-    return counts.withColumn("duplicate_rows", duplicate_ids(parsed).scalar())
 
 
 def _check(
@@ -286,28 +301,17 @@ def gate(report: DataFrame) -> None:
         raise QualityGateError("failed checks: " + ", ".join(names))
 
 
-def column_profile(parsed: DataFrame, cap: int = DISTINCT_CAP) -> DataFrame:
-    """Null counts and distinct counts, the latter reported up to `cap`.
+def column_profile(parsed: DataFrame, cap: int | None = None) -> DataFrame:
+    """Null counts and exact distinct counts of each column, in one pass over the lines.
 
-    A sketch pass finds columns that are far beyond the cap (twice the cap is
-    some twenty standard errors away), which need no exact count. The others
-    have few distinct values, so map-side deduplication keeps the exact pass
-    small: only value digests move.
+    Only digests of values move, once for each value and map task. With `cap`,
+    counts are shown up to it; the default shows them whole.
     """
-    sketch = parsed.agg(
+    pairs = F.array(
         *[
-            F.approx_count_distinct(F.when(F.col("is_object"), F.nullif(F.col(c), F.lit("")))).alias(c)
+            F.struct(F.lit(c).alias("column"), F.md5(F.nullif(F.col(c), F.lit(""))).alias("digest"))
             for c in PROFILE_COLUMNS
         ]
-    ).first()
-    beyond = [c for c in PROFILE_COLUMNS if sketch[c] >= 2 * cap]
-
-    def digest(name: str) -> Column:
-        value = F.nullif(F.col(name), F.lit(""))
-        return F.when(value.isNotNull(), F.lit("")) if name in beyond else F.md5(value)
-
-    pairs = F.array(
-        *[F.struct(F.lit(c).alias("column"), digest(c).alias("digest")) for c in PROFILE_COLUMNS]
     )
     # A line that is no row has no pairs; a filter would parse every line twice.
     digests = parsed.select(F.inline(F.when(F.col("is_object"), pairs)))
@@ -319,13 +323,12 @@ def column_profile(parsed: DataFrame, cap: int = DISTINCT_CAP) -> DataFrame:
         ),
         F.count("digest").alias("_distinct"),
     )
-    found = F.when(F.col("column").isin(beyond), F.lit(cap)).otherwise(
-        F.least("_distinct", F.lit(cap))
-    )
+    shown = F.col("_distinct") if cap is None else F.least("_distinct", F.lit(cap))
+    capped = F.lit(False) if cap is None else F.col("_distinct") >= cap
     return counted.select(
         "column",
         "null_count",
         F.round(F.col("null_count") / F.col("_rows"), 6).alias("null_rate"),
-        found.cast("bigint").alias("distinct_count_observed"),
-        (found >= cap).alias("distinct_count_capped"),
+        shown.cast("bigint").alias("distinct_count_observed"),
+        capped.alias("distinct_count_capped"),
     )

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark import StorageLevel, inheritable_thread_target, keyword_only
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
@@ -23,18 +23,15 @@ from pyspark.sql import functions as F
 from casequeue.functions.probability import argmax_class, confidence, softmax
 from casequeue.functions.text import accent_free, narrative_group, strip, with_bigrams, words
 from casequeue.operators import metrics
-from casequeue.session import checkpointed
 
 # Fixed values of the router.
-MAX_FEATURES = 40_000
+DEFAULT_FEATURES = 40_000
 MAX_DOCUMENT_SHARE = 0.995
 MANY_TRAINING_ROWS = 1_000
 ALPHA = 1e-5
 MAX_ITERATIONS = 60
 TOLERANCE = 1e-3
 PARALLEL_FITS = 4
-# A routing label is a category; more of them than this is a data error.
-MAX_CLASSES = 1_000
 
 
 def dedup_narratives(rows: DataFrame) -> DataFrame:
@@ -100,17 +97,28 @@ class SublinearCounts(
         return dataset.withColumn(self.getOutputCol(), damped(F.col(self.getInputCol())))
 
 
+def usual_minimum(rows: int) -> int:
+    """Documents a term must occur in, by the contract's rule for a training set."""
+    return 2 if rows >= MANY_TRAINING_ROWS else 1
+
+
 def vocabulary(
-    terms: DataFrame, rows: int, *, minimum_documents: int | None = None, column: str = "terms"
+    terms: DataFrame,
+    rows: int,
+    *,
+    minimum_documents: int,
+    features: int | None = None,
+    column: str = "terms",
 ) -> DataFrame:
     """`term, term_count, document_count, idf` of the kept terms.
 
+    `features` keeps that many of the most frequent terms, None keeps them all.
+
     Occurrences are flagged once per document by sorting its terms, so counts
     and document counts come from one shuffle keyed by term. The count that the
     last kept term must reach comes from a histogram of counts, so the final
     ordering sees little more than the terms it keeps.
     """
-    least = minimum_documents or (2 if rows >= MANY_TRAINING_ROWS else 1)
     ordered = terms.select(F.sort_array(column).alias("t"))
     flagged = ordered.select(
         F.inline(
@@ -127,40 +135,53 @@ def vocabulary(
         F.count("*").alias("term_count"), F.sum("new").alias("document_count")
     )
     kept = counts.where(
-        (F.col("document_count") >= least)
+        (F.col("document_count") >= minimum_documents)
         & (F.col("document_count") <= F.lit(MAX_DOCUMENT_SHARE) * rows)
     )
     idf = F.log(F.lit(1.0 + rows) / (F.lit(1.0) + F.col("document_count"))) + F.lit(1.0)
+    if features is None:
+        return kept.withColumn("idf", idf)
     # T occurrences have at most sqrt(2 T) different counts: a short table.
     above = Window.orderBy(F.desc("term_count")).rowsBetween(Window.unboundedPreceding, -1)
     histogram = kept.groupBy("term_count").agg(F.count("*").alias("n"))
     reached = histogram.withColumn("above", F.coalesce(F.sum("n").over(above), F.lit(0)))
-    cutoff = reached.where(F.col("above") < MAX_FEATURES).agg(F.min("term_count").alias("c"))
+    cutoff = reached.where(F.col("above") < features).agg(F.min("term_count").alias("c"))
     return (
         kept.where(F.col("term_count") >= cutoff.scalar())
         .orderBy(F.desc("term_count"), "term")
-        .limit(MAX_FEATURES)
+        .limit(features)
         .withColumn("idf", idf)
     )
 
 
-def tfidf_stages(train: DataFrame, rows: int, text: str = "narrative") -> list[Transformer]:
+def tfidf_stages(
+    train: DataFrame,
+    rows: int,
+    text: str = "narrative",
+    *,
+    minimum_documents: int | None = None,
+    features: int = DEFAULT_FEATURES,
+) -> list[Transformer]:
     """Fit text to L2-normalized TF-IDF vectors in `features`.
 
-    The vocabulary is at most 40 000 terms: one list, which the vectorizer
-    takes as its only document. Its smooth idf is the library's plus one.
+    The text is read once: vocabulary rows carry the weights. A model holds its
+    terms on the driver, so `features` bounds them.
     """
     split_text = NarrativeTerms(inputCol=text, outputCol="terms")
     terms = split_text.transform(train).select("terms")
-    kept = vocabulary(terms, rows).agg(F.collect_list("term").alias("terms"))
-    counter = CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=MAX_FEATURES).fit(kept)
-    idf = IDF(inputCol="counts", outputCol="weighted").fit(counter.transform(terms)).idf
+    least = minimum_documents or usual_minimum(rows)
+    kept = vocabulary(terms, rows, minimum_documents=least, features=features).collect()
+    counter = CountVectorizerModel.from_vocabulary(
+        [r["term"] for r in kept], inputCol="terms", outputCol="counts"
+    )
     return [
         split_text,
         counter,
         SublinearCounts(inputCol="counts", outputCol="damped"),
         ElementwiseProduct(
-            scalingVec=Vectors.dense(idf.toArray() + 1.0), inputCol="damped", outputCol="weighted"
+            scalingVec=Vectors.dense([r["idf"] for r in kept]),
+            inputCol="damped",
+            outputCol="weighted",
         ),
         Normalizer(p=2.0, inputCol="weighted", outputCol="features"),
     ]
@@ -176,9 +197,7 @@ def tfidf_features(df: DataFrame, stages: Sequence[Transformer]) -> DataFrame:
 def class_sizes(train: DataFrame) -> dict[str, int]:
     """Training rows per label, in label order."""
     counts = train.groupBy("label").agg(F.count("*").alias("n")).orderBy("label")
-    rows = counts.limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} routing labels")
+    rows = counts.collect()  # one row per label, for which a model each is fitted
     if len(rows) < 2:
         raise ValueError("training months must contain at least two labels")
     return {r["label"]: r["n"] for r in rows}
@@ -330,38 +349,56 @@ def train_router(
     test_months: int = 1,
     minimum_rows: int = metrics.MINIMUM_TEST_ROWS,
     minimum_class: int = metrics.MINIMUM_CLASS_SUPPORT,
+    minimum_documents: int | None = None,
+    max_features: int = DEFAULT_FEATURES,
+    workspace: str | None = None,
 ) -> TrainingResult:
     """Train, calibrate and evaluate on complete months, oldest to newest.
 
     `rows` are eligible narratives. Copies are removed before the split, so a
-    text never sits on both sides of it.
+    text never sits on both sides of it. With a `workspace` folder, which all
+    executors must see, the deduplicated rows are written there and read back.
     """
-    unique = checkpointed(dedup_narratives(rows))
+    unique = dedup_narratives(rows)
+    if workspace is not None:
+        unique.write.mode("overwrite").parquet(f"{workspace}/unique")
+        unique = rows.sparkSession.read.schema(unique.schema).parquet(f"{workspace}/unique")
     split = metrics.chronological_split(
         unique, as_of=as_of, test_months=test_months
     ).withColumnRenamed("product", "label")
     train = split.where("role = 'train'")
     sizes = class_sizes(train)
-    stages = tfidf_stages(train, sum(sizes.values()))
+    stages = tfidf_stages(
+        train, sum(sizes.values()), minimum_documents=minimum_documents, features=max_features
+    )
     features = (
         tfidf_features(train, stages)
         .select("label", "features")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    model = RouterModel(
-        PipelineModel([*stages, *fit_classifiers(features, sizes)]), list(sizes)
-    )
-    features.unpersist()
+    try:
+        model = RouterModel(
+            PipelineModel([*stages, *fit_classifiers(features, sizes)]), list(sizes)
+        )
+    finally:
+        features.unpersist()
 
-    temperature = metrics.fit_temperature(
-        model.logits(split.where("role = 'calibration'")), model.classes
+    def kept_row(report: DataFrame) -> tuple[DataFrame, dict]:
+        """A one-row report and its values, computed once."""
+        row = report.first()
+        return report.sparkSession.createDataFrame([row], report.schema), row.asDict()
+
+    temperature, fitted = kept_row(
+        metrics.fit_temperature(
+            model.logits(split.where("role = 'calibration'")), model.classes
+        )
     )
-    model.temperature = temperature.first()["temperature"]
+    model.temperature = fitted["temperature"]
     held_out = metrics.decide(
         model.probabilities(split.where("role = 'threshold'")), model.classes
     )
-    threshold = metrics.choose_threshold(held_out)
-    model.threshold = threshold.first()["threshold"]
+    threshold, chosen = kept_row(metrics.choose_threshold(held_out))
+    model.threshold = chosen["threshold"]
 
     def scored(part: DataFrame) -> DataFrame:
         rows = metrics.decide(model.probabilities(part), model.classes)

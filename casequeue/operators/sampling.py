@@ -37,8 +37,8 @@ class SelectionPlan:
     complete_months: int = DEFAULT_COMPLETE_MONTHS
 
     def __post_init__(self) -> None:
-        if not 1 <= self.max_records <= MAX_RECORDS:
-            raise ValueError(f"max_records must be between 1 and {MAX_RECORDS}")
+        if self.max_records < 1:
+            raise ValueError("max_records must be at least 1")
         if self.complete_months < MINIMUM_COMPLETE_MONTHS:
             raise ValueError(f"at least {MINIMUM_COMPLETE_MONTHS} complete months are required")
 
@@ -221,7 +221,7 @@ def stratified_take(
         .orderBy(F.desc("day"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    # At most one row per sampled record, so within the sampling contract's cap.
+    # At most one row per sampled record; the optimizer sees its size and joins accordingly.
     days = (
         daily.withColumn("_before", F.coalesce(F.sum("rows").over(newer), F.lit(0)))
         .join(caps.select(*STRATUM, "stratum_cap"), list(STRATUM))
@@ -237,7 +237,7 @@ def stratified_take(
         .drop("rows")
     )
     dated = population.withColumn("_day", F.to_date(F.col(created)))
-    offered = dated.join(F.broadcast(days), [*STRATUM, "_day"])
+    offered = dated.join(days, [*STRATUM, "_day"])
     order = [F.desc(created), F.desc(key)]
     taken = top_per_group(
         offered,
@@ -254,8 +254,11 @@ def stratified_take(
 def dedup_global(
     sample: DataFrame, *, created: str = "date_received", key: str = "complaint_id"
 ) -> DataFrame:
-    """First occurrence of each non-empty id in window order."""
-    first = Window.partitionBy(key).orderBy("window_start", "stratum_start", F.desc(created))
+    """First occurrence of each non-empty id in window order; a hash of the row breaks ties."""
+    content = F.xxhash64(*[F.col(c) for c in sample.columns])
+    first = Window.partitionBy(key).orderBy(
+        "window_start", "stratum_start", F.desc(created), content
+    )
     return (
         sample.where(F.coalesce(F.col(key), F.lit("")) != "")
         .withColumn("_rn", F.row_number().over(first))

@@ -64,7 +64,7 @@ def select_snapshot(
         sampling.retained_per_window(selected),
         rowset_fingerprint(rows),
     )
-    lineage.append_lineage(frame, paths.of("lineage"))
+    lineage.write_lineage(frame, paths.of("lineage"))
 
 
 def check_snapshot(
@@ -82,6 +82,7 @@ def check_snapshot(
     rows = spark.read.schema(SNAPSHOT).json(paths.of("snapshot"))
     report = quality.quality_report(
         quality.quality_counters(parsed, plan.as_of),
+        row_cap=plan.max_records,
         manifest=written,
         fingerprint=rowset_fingerprint(rows),
     )
@@ -112,7 +113,10 @@ def route_complaints(
 ) -> DataFrame:
     """Train on eligible narratives, save the model, write scored complaints."""
     trained = router.train_router(
-        views.eligible_narratives(complaints), as_of=plan.as_of, test_months=test_months
+        views.eligible_narratives(complaints),
+        as_of=plan.as_of,
+        test_months=test_months,
+        workspace=paths.of("router_work"),
     )
     trained.model.save(paths.of("router"))
     for name, report in trained.reports.items():
@@ -123,6 +127,22 @@ def route_complaints(
     return snapshot.read_complaints(spark, paths.of("scored_complaints"))
 
 
+def switch_version(spark: SparkSession, paths: BuildPaths) -> None:
+    """Make a complete version the current one: one appended row, the last step of a build.
+
+    Earlier rows stay, so a switch that fails leaves the version before it in place.
+    """
+    now = F.current_timestamp().alias("switched_at")
+    row = spark.range(1).select(F.lit(paths.version).alias("version"), now).coalesce(1)
+    row.write.mode("append").json(paths.current)
+
+
+def current_version(spark: SparkSession, root: str) -> str | None:
+    """Version of the latest switch; None before the first."""
+    rows = spark.read.schema("version string, switched_at timestamp").json(f"{root}/current")
+    return rows.agg(F.max_by("version", F.struct("switched_at", "version"))).first()[0]
+
+
 def build_all(
     spark: SparkSession,
     pages_path: str,
@@ -144,7 +164,5 @@ def build_all(
     volume.anomaly_report(complaints, as_of=plan.as_of).write.mode("overwrite").parquet(
         paths.of("anomalies")
     )
-    spark.range(1).select(F.lit(version).alias("version")).write.mode("overwrite").json(
-        paths.current
-    )
+    switch_version(spark, paths)
     return views.operational_cases(complaints)

@@ -1,13 +1,10 @@
-"""Session helpers shared by tests, the bench and cluster jobs."""
+"""Session helper shared by tests, the bench and cluster jobs."""
 
 from __future__ import annotations
 
 import os
-import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
-
-CHECKPOINT_CONF = "spark.checkpoint.dir"
+from pyspark.sql import SparkSession
 
 
 def local_session(app: str = "casequeue", cpus: str | int = "*") -> SparkSession:
@@ -29,20 +26,3 @@ def local_session(app: str = "casequeue", cpus: str | int = "*") -> SparkSession
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Checkpoint folder of the session: the cluster's when it names one."""
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    named = spark.conf.get(CHECKPOINT_CONF, None)
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="run-"))
-    return context.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Rows written to the checkpoint folder, so later stages survive lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()

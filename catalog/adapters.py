@@ -82,11 +82,11 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 REVIEWS_SQL = """
 reviews AS (
   SELECT CAST(user_id AS VARCHAR) AS complaint_id, event_id AS review_id,
-         CASE event_type WHEN 'purchase' THEN 'approve' WHEN 'click' THEN 'override'
-                         ELSE 'reject' END AS decision,
+         CASE WHEN event_type IN ('purchase', 'view') THEN 'approve'
+              WHEN event_type IN ('click', 'signup') THEN 'override' ELSE 'reject' END AS decision,
          CASE WHEN event_type <> 'error' THEN event_type END AS approved_route,
          ts AS reviewed_at
-  FROM events WHERE event_type IN ('purchase', 'click', 'error')
+  FROM events
 ),
 latest AS (
   SELECT * FROM (SELECT *, row_number() OVER (
@@ -96,14 +96,13 @@ latest AS (
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Route decisions: purchase approves, click overrides, error rejects."""
+    """Route decisions: purchase and view approve, click and signup override, the rest reject."""
     kind = F.col("event_type")
-    decided = table(spark, sf_dir, "events").where(kind.isin("purchase", "click", "error"))
-    return decided.select(
+    return table(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("complaint_id"),
         F.col("event_id").alias("review_id"),
-        F.when(kind == "purchase", "approve")
-        .when(kind == "click", "override")
+        F.when(kind.isin("purchase", "view"), "approve")
+        .when(kind.isin("click", "signup"), "override")
         .otherwise("reject")
         .alias("decision"),
         F.when(kind != "error", kind).alias("approved_route"),

@@ -227,8 +227,8 @@ FROM grounded""",
 SELECT doc_id, list_bool_and(list_transform(quotes, lambda q: q.e <= length(text)
   AND substr(text, q.s + 1, greatest(q.e - q.s, 0)) = q.q)) AS valid FROM drafts""",
     "draft_eligible": f"""WITH {CASES_SQL}
-SELECT complaint_id, CAST(length(left(narrative, 12000)) AS INTEGER) AS input_chars FROM cases
-WHERE has_narrative AND length(trim(left(narrative, 12000), chr(10) || ' ')) >= 20""",
+SELECT complaint_id, CAST(length(narrative) AS INTEGER) AS input_chars FROM cases
+WHERE has_narrative AND length(trim(narrative, chr(10) || ' ')) >= 20""",
     "first_sentence": f"SELECT doc_id, {_SENTENCE_SQL} AS extract FROM documents",
     "draft_errors": f"""{_DRAFTS_SQL}
 SELECT doc_id, concat_ws(';',

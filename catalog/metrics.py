@@ -1,7 +1,8 @@
 """Queries over router evaluation, on softmax scores of the embeddings table.
 
-Logits are the first ten embedding values times eight. Labels 8 and 9 are left
-out of the class list, so unseen labels occur.
+The logit of class k is twice the sum of the embedding values whose place is k
+modulo the number of classes. Labels 8 and 9 are left out of the class list, so
+unseen labels occur.
 """
 
 from __future__ import annotations
@@ -25,12 +26,16 @@ def _logits(spark, sf_dir):
         F.col("vec_id").alias("row_id"),
         F.col("label").cast("string").alias("label"),
         F.date_add(F.lit(date(2024, 1, 1)), (F.col("vec_id") % 210).cast("int")).alias("received"),
-        F.transform(
-            F.slice("embedding", 1, width), lambda x: x.cast("double") * F.lit(8.0)
-        ).alias("logits"),
+        F.array(*[_folded(k, width) for k in range(width)]).alias("logits"),
     )
 
 
+def _folded(k, width):
+    mine = F.filter("embedding", lambda x, i: i % width == k)
+    total = F.aggregate(mine, F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return total * F.lit(2.0)
+
+
 def _scored(spark, sf_dir):
     return _logits(spark, sf_dir).withColumn("probabilities", softmax(F.col("logits"), 1.0))
 
@@ -181,7 +186,8 @@ def _softmax_sql(temperature: str) -> str:
 _SCORED_SQL = f"""WITH logit AS (
   SELECT vec_id AS row_id, CAST(label AS VARCHAR) AS label,
     DATE '2024-01-01' + CAST(vec_id % 210 AS INTEGER) AS received,
-    list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE) * 8e0) AS logits
+    list_transform(range(0, 8), lambda k: 2e0 * list_sum(list_transform(
+      list_filter(embedding, lambda x, i: (i - 1) % 8 = k), lambda x: CAST(x AS DOUBLE)))) AS logits
   FROM embeddings
 ),
 scored AS (SELECT *, {_softmax_sql('1e0')} AS p FROM logit),

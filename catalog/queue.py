@@ -37,9 +37,9 @@ def _prioritized(spark, sf_dir):
     )
 
 
-def _first_page(df, mode):
-    """The largest page of an ordering."""
-    return queue.queue_sort(df, mode).limit(queue.MAX_PAGE_SIZE)
+def _ranked(df, mode, column):
+    """Every case with the column it is sorted by and its place in the order."""
+    return queue.queue_rank(df, mode).select("complaint_id", column, "place")
 
 
 def queue_page(spark, sf_dir):
@@ -86,20 +86,15 @@ def case_priority(spark, sf_dir):
 
 
 def queue_sort_priority(spark, sf_dir):
-    return _first_page(_prioritized(spark, sf_dir), "priority").select(
-        "complaint_id", "priority"
-    )
+    return _ranked(_prioritized(spark, sf_dir), "priority", "priority")
 
 
 def queue_sort_newest(spark, sf_dir):
-    return _first_page(_prioritized(spark, sf_dir), "newest").select(
-        "complaint_id", "date_received"
-    )
+    return _ranked(_prioritized(spark, sf_dir), "newest", "date_received")
 
 
 def queue_sort_confidence(spark, sf_dir):
-    scored = _prioritized(spark, sf_dir).where(F.col("has_narrative"))
-    return _first_page(scored, "confidence").select("complaint_id", "prediction_confidence")
+    return _ranked(_prioritized(spark, sf_dir), "confidence", "prediction_confidence")
 
 
 QUERIES = {
@@ -162,14 +157,14 @@ SELECT count(*) AS total FROM operational WHERE requires_manual_attention AND {_
     "get_cases": f"""{_ROUTED_SQL} SELECT {_SHOWN} FROM routed
 WHERE complaint_id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)""",
     "case_priority": f"{_PRIORITY_SQL} SELECT complaint_id, priority FROM ranked",
-    "queue_sort_priority": f"""{_PRIORITY_SQL} SELECT complaint_id, priority FROM ranked
-ORDER BY list_position(['urgent', 'high', 'standard', 'low'], priority), complaint_id
-LIMIT 200""",
-    "queue_sort_newest": f"""{_PRIORITY_SQL} SELECT complaint_id, date_received FROM ranked
-ORDER BY date_received DESC, complaint_id LIMIT 200""",
+    "queue_sort_priority": f"""{_PRIORITY_SQL} SELECT complaint_id, priority, row_number() OVER (
+  ORDER BY list_position(['urgent', 'high', 'standard', 'low'], priority), complaint_id) AS place
+FROM ranked""",
+    "queue_sort_newest": f"""{_PRIORITY_SQL} SELECT complaint_id, date_received,
+  row_number() OVER (ORDER BY date_received DESC, complaint_id) AS place FROM ranked""",
     "queue_sort_confidence": f"""{_PRIORITY_SQL}
-SELECT complaint_id, prediction_confidence FROM ranked WHERE has_narrative
-ORDER BY coalesce(prediction_confidence, -1), complaint_id LIMIT 200""",
+SELECT complaint_id, prediction_confidence, row_number() OVER (
+  ORDER BY coalesce(prediction_confidence, -1), complaint_id) AS place FROM ranked""",
     "quick_filter": f"""{_ROUTED_SQL} SELECT complaint_id, company, route_status FROM routed
 WHERE requires_manual_attention AND route_status = 'overridden'
   AND contains(lower(concat_ws(' ', complaint_id, company, product, issue, state)), '00001')""",

@@ -23,9 +23,21 @@ def dedup_narratives(spark, sf_dir):
 
 
 def tfidf_vocabulary(spark, sf_dir):
+    return _vocabulary(spark, sf_dir, router.DEFAULT_FEATURES)
+
+
+def tfidf_vocabulary_whole(spark, sf_dir):
+    """Every term that is neither rare nor everywhere."""
+    return _vocabulary(spark, sf_dir, None)
+
+
+def _vocabulary(spark, sf_dir, features):
     documents = table(spark, sf_dir, "documents")
     terms = router.NarrativeTerms(inputCol="text", outputCol="terms").transform(documents)
-    kept = router.vocabulary(terms, documents.count())
+    rows = documents.count()  # reads no column
+    kept = router.vocabulary(
+        terms, rows, minimum_documents=router.usual_minimum(rows), features=features
+    )
     return kept.withColumn("idf", F.round("idf", 6))
 
 
@@ -47,14 +59,24 @@ def apply_scores(spark, sf_dir):
 
 
 def router_scores(spark, sf_dir):
-    """Train on every eligible narrative, routing by language, and score every case."""
+    """Train on every eligible narrative, routing by language, and score every case.
+
+    Weights depend on the solver; what is compared is determined whatever they are.
+    """
     language = table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("complaint_id"), F.col("lang").alias("product")
     )
     rows = _eligible(spark, sf_dir).drop("product").join(language, "complaint_id")
     trained = router.train_router(rows, as_of=_AS_OF, test_months=12)
-    return trained.model.score(cases(spark, sf_dir)).select(
-        "complaint_id", "predicted_product", "prediction_abstained"
+    scored = trained.model.score(cases(spark, sf_dir))
+    score, label = F.col("prediction_confidence"), F.col("predicted_product")
+    certain = score >= F.lit(trained.model.threshold)
+    return scored.select(
+        "complaint_id",
+        label.isNull().alias("no_class"),
+        F.coalesce(label.isin(*trained.model.classes), F.lit(True)).alias("class_known"),
+        F.coalesce((score > 0) & (score <= 1), F.lit(True)).alias("confidence_in_range"),
+        (F.col("prediction_abstained") == ~F.coalesce(certain, F.lit(False))).alias("abstains_by_rule"),
     )
 
 
@@ -62,6 +84,7 @@ QUERIES = {
     "dedup_narratives": dedup_narratives,
     "dedup_report": lambda s, d: router.dedup_report(_eligible(s, d)),
     "tfidf_vocabulary": tfidf_vocabulary,
+    "tfidf_vocabulary_whole": tfidf_vocabulary_whole,
     "apply_scores": apply_scores,
     "score_counts": lambda s, d: router.score_counts(cases(s, d)),
     "router_scores": router_scores,
@@ -73,15 +96,7 @@ eligible AS (
   FROM cases WHERE has_narrative AND length(trim(narrative)) >= 20 AND product IS NOT NULL
 )"""
 
-ORACLES = {
-    "dedup_narratives": f"""{_ELIGIBLE_SQL}
-SELECT complaint_id, date_received, product FROM (
-  SELECT *, row_number() OVER (PARTITION BY g ORDER BY date_received, complaint_id) AS rn
-  FROM eligible) WHERE rn = 1""",
-    "dedup_report": f"""{_ELIGIBLE_SQL}
-SELECT count(*) AS input_rows, count(DISTINCT g) AS unique_narrative_groups,
-  count(*) - count(DISTINCT g) AS excluded_duplicate_rows FROM eligible""",
-    "tfidf_vocabulary": r"""WITH tokens AS (
+_VOCABULARY_SQL = r"""WITH tokens AS (
   SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}_]{2,}') AS w
   FROM documents
 ),
@@ -97,8 +112,21 @@ n AS (SELECT count(*) AS rows FROM documents)
 SELECT term, term_count, document_count,
   round(ln((1e0 + rows) / (1e0 + document_count)) + 1e0, 6) AS idf FROM counts, n
 WHERE document_count >= CASE WHEN rows >= 1000 THEN 2 ELSE 1 END
-  AND document_count <= 0.995e0 * rows
-ORDER BY term_count DESC, term LIMIT 40000""",
+  AND document_count <= 0.995e0 * rows"""
+
+ORACLES = {
+    "dedup_narratives": f"""{_ELIGIBLE_SQL}
+SELECT complaint_id, date_received, product FROM (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY date_received, complaint_id) AS rn
+  FROM eligible) WHERE rn = 1""",
+    "dedup_report": f"""{_ELIGIBLE_SQL}
+SELECT count(*) AS input_rows, count(DISTINCT g) AS unique_narrative_groups,
+  count(*) - count(DISTINCT g) AS excluded_duplicate_rows FROM eligible""",
+    "tfidf_vocabulary": f"{_VOCABULARY_SQL} ORDER BY term_count DESC, term LIMIT 40000",
+    "tfidf_vocabulary_whole": _VOCABULARY_SQL,
+    "router_scores": f"""WITH {CASES_SQL}
+SELECT complaint_id, coalesce(trim(narrative), '') = '' AS no_class, true AS class_known,
+  true AS confidence_in_range, true AS abstains_by_rule FROM cases""",
     "apply_scores": f"""WITH {CASES_SQL}
 SELECT c.complaint_id,
   CASE WHEN has_narrative THEN CASE quality WHEN 1 THEN 'plain' WHEN 0 THEN 'unclear' END END

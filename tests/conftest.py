@@ -7,14 +7,13 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from casequeue.session import ensure_checkpoint_dir, local_session  # noqa: E402
+from casequeue.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session("tests", 8)
     session.conf.set("spark.sql.shuffle.partitions", "4")
-    ensure_checkpoint_dir(session)
     yield session
     session.stop()
 

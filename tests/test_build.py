@@ -8,7 +8,7 @@ import pytest
 
 from casequeue.operators import quality
 from casequeue.operators.sampling import SelectionPlan
-from casequeue.plans.build import BuildPaths, build_all
+from casequeue.plans.build import BuildPaths, build_all, current_version
 
 PLAN = SelectionPlan(as_of=date(2026, 8, 19), max_records=300, complete_months=7)
 
@@ -57,7 +57,24 @@ def test_build_from_pages_to_scored_cases(spark, folder):
     windows = spark.read.parquet(paths.of("source_windows"))
     sums = windows.selectExpr("sum(source_total)", "sum(selected_sample_rows)").first()
     assert tuple(sums) == (460, 298)
-    assert spark.read.json(paths.current).first()["version"] == "v1"
+    assert current_version(spark, f"{folder}/out") == "v1"
+
+
+def test_a_version_built_twice_is_the_same(spark, folder):
+    source = pages(folder)
+    held = []
+    for _ in range(2):
+        build_all(spark, source, f"{folder}/out", "v1", PLAN, train=False)
+        paths = BuildPaths(f"{folder}/out", "v1")
+        held.append(
+            {
+                name: sorted(map(str, spark.read.parquet(paths.of(name)).collect()))
+                for name in ("lineage", "selected", "source_windows", "quality", "complaints")
+            }
+        )
+    assert held[0] == held[1]
+    build_all(spark, source, f"{folder}/out", "v2", PLAN, train=False)
+    assert current_version(spark, f"{folder}/out") == "v2"
 
 
 def test_build_stops_on_stale_source(spark, folder):

@@ -41,6 +41,16 @@ def test_to_bool(spark, raw, flag):
         ("2026-07-02T23:59:58.123", "2026-07-02"),
         ("2026-07-02 later", "2026-07-02"),
         ("20260702", "2026-07-02"),
+        ("2026-W27-4", "2026-07-02"),
+        ("2026W274", "2026-07-02"),
+        ("2026-W27", "2026-06-29"),
+        ("2020-W53-7", "2021-01-03"),
+        ("2026-W54-1", "2026-W54-1"),
+        ("2025-W53-1", "2025-W53-1"),
+        ("2026-07-02T05", "2026-07-02"),
+        ("2026-07-02T23-05:00", "2026-07-03"),
+        ("2026-07-02T23:30-0500", "2026-07-03"),
+        ("2026-07-02T25", "2026-07-02T25"),
         ("2026-13-02", "2026-13-02"),
         ("2026-07", "2026-07"),
         ("about July", "about July"),

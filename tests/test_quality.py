@@ -43,6 +43,22 @@ def test_only_json_objects_are_rows(spark):
     assert (c["row_count"], c["invalid_lines"]) == (1, 5)
 
 
+@pytest.mark.parametrize(
+    "tail", ["{}", ' {"a": 1}', ',{"a": 1}', " x", "]", "}", '"', " {", "null", ',"b":2}', '{"}":1}']
+)
+def test_nothing_may_follow_the_object(spark, tail):
+    c = counters(spark, json.dumps(GOOD) + tail)
+    assert (c["row_count"], c["invalid_lines"]) == (0, 1)
+
+
+def test_braces_inside_strings_and_values_are_part_of_a_row(spark):
+    texts = ['say "}{" \\', "{", "}", '\\"}']
+    c = counters(spark, *[{"complaint_id": str(i), "narrative": t * 9} for i, t in enumerate(texts)])
+    assert (c["row_count"], c["invalid_lines"]) == (4, 0)
+    nested = json.dumps({**GOOD, "extra": {"a": {"b": {}}, "c": [{}, {}]}})
+    assert counters(spark, nested)["row_count"] == 1
+
+
 def test_missing_key_is_not_a_null_value(spark):
     without = {k: v for k, v in GOOD.items() if k != "issue"}
     c = counters(spark, json.dumps(without), {"complaint_id": "2", "issue": None})
@@ -151,6 +167,6 @@ def test_profile_caps_distinct_counts(spark):
     assert (profile["complaint_id"]["distinct_count_observed"], profile["complaint_id"]["distinct_count_capped"]) == (20, True)
     assert profile["state"]["null_count"] == 30 and profile["state"]["null_rate"] == 0.5
     assert profile["state"]["distinct_count_observed"] == 1
-    exact = {r["column"]: r for r in quality.column_profile(parsed, cap=50).collect()}
-    assert (exact["complaint_id"]["distinct_count_observed"], exact["complaint_id"]["distinct_count_capped"]) == (50, True)
+    exact = {r["column"]: r for r in quality.column_profile(parsed).collect()}
+    assert (exact["complaint_id"]["distinct_count_observed"], exact["complaint_id"]["distinct_count_capped"]) == (60, False)
     assert quality.snapshot_rows(parsed).where(F.col("complaint_id").isNull()).count() == 0

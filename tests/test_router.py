@@ -12,21 +12,27 @@ from pyspark.sql import functions as F
 
 from casequeue.operators import metrics, router
 
-AS_OF = date(2026, 8, 20)
+AS_OF = date(2031, 4, 9)
 SHAPE = "complaint_id string, date_received date, narrative string, product string"
-WORDS = {"Card": "credit card charge dispute merchant", "Loan": "mortgage loan servicer escrow payment"}
+TOPICS = {
+    "Garden": ("soil seeds spade compost", "roses hedge watering frost"),
+    "Kitchen": ("oven kettle plates recipe", "butter flour whisk pastry"),
+}
+MONTHS = [(2030, m) for m in (8, 9, 10, 11, 12)] + [(2031, m) for m in (1, 2, 3)]
+PER_MONTH = 9
 
 
 @pytest.fixture(scope="module")
 def rows(spark):
-    """Seven months of two labels, a label first seen in month 7, a partial month 8."""
+    """Eight whole months of two topics; the last has a third one; three rows are too new."""
     data = []
-    for month in range(1, 8):
-        for i in range(12):
-            for label, words in WORDS.items():
-                data.append((f"{label}{month}{i}", date(2026, month, 1 + i), f"{words} case {month} number {i} détail", label))
-    data += [(f"new{i}", date(2026, 7, 20), f"an entirely new kind of complaint {i}", "New") for i in range(4)]
-    data.append(("partial", date(2026, 8, 3), "credit card charge in the partial month", "Card"))
+    for n, (year, month) in enumerate(MONTHS):
+        for topic, phrases in TOPICS.items():
+            for day in range(1, PER_MONTH + 1):
+                text = f"{phrases[day % 2]} page {n * 31 + day} über {topic[0].lower()}{day}x{n}"
+                data.append((f"{topic}-{n}-{day}", date(year, month, 2 * day), text, topic))
+    data += [(f"late-{k}", date(2031, 3, 25), f"telescope lens orbit {k} planets", "Sky") for k in range(3)]
+    data += [(f"fresh-{k}", date(2031, 4, 1 + k), f"soil seeds spade today {k}", "Garden") for k in range(3)]
     return spark.createDataFrame(data, SHAPE)
 
 
@@ -45,11 +51,11 @@ def test_copies_keep_the_earliest(spark):
 def test_split_roles(spark, rows):
     split = metrics.chronological_split(rows, as_of=AS_OF)
     months = {r["role"]: (r["months"], r["rows"]) for r in metrics.split_report(split).collect()}
-    assert months["test"] == (["2026-07"], 28)
-    assert months["threshold"][0] == ["2026-06"] and months["calibration"][0] == ["2026-05"]
-    assert months["train"][0] == ["2026-01", "2026-02", "2026-03", "2026-04"]
+    assert months["test"] == (["2031-03"], 2 * PER_MONTH + 3)
+    assert months["threshold"][0] == ["2031-02"] and months["calibration"][0] == ["2031-01"]
+    assert months["train"][0] == ["2030-08", "2030-09", "2030-10", "2030-11", "2030-12"]
     with pytest.raises(Exception, match="months are required"):
-        metrics.chronological_split(rows, as_of=date(2026, 4, 2)).collect()
+        metrics.chronological_split(rows, as_of=date(2030, 11, 2)).collect()
     with pytest.raises(ValueError):
         metrics.chronological_split(rows, as_of=AS_OF, test_months=0)
 
@@ -84,27 +90,27 @@ def test_features_match_the_formula(spark, rows):
 
 
 def test_training_scoring_and_reload(spark, rows, folder):
-    trained = router.train_router(rows, as_of=AS_OF, minimum_rows=10)
+    trained = router.train_router(rows, as_of=AS_OF, minimum_rows=10, workspace=f"{folder}/work")
     model = trained.model
-    assert model.classes == ["Card", "Loan"]
+    assert model.classes == ["Garden", "Kitchen"]
     assert 0.25 <= model.temperature <= 4.0
     reports = trained.reports
     unseen = reports["unseen_labels"].collect()
-    assert [(r["label"], r["row_count"]) for r in unseen] == [("New", 4)]
+    assert [(r["label"], r["row_count"]) for r in unseen] == [("Sky", 3)]
     got = {r["metric"]: r["value"] for r in reports["evaluation"].collect()}
-    assert got["accuracy"] == pytest.approx(24 / 28) and got["test_rows"] == 28
+    assert got["accuracy"] == pytest.approx(18 / 21) and got["test_rows"] == 21
     assert reports["status"].first()["status"] == "available"
-    assert {r["month"] for r in reports["drift"].collect()} == {f"2026-0{m}" for m in range(1, 8)}
+    assert {r["month"] for r in reports["drift"].collect()} == {f"{y}-{m:02d}" for y, m in MONTHS}
 
     cases = rows.unionByName(
-        spark.createDataFrame([("blank", AS_OF, "  ", "Card"), ("null", AS_OF, None, "Card")], SHAPE)
+        spark.createDataFrame([("blank", AS_OF, "  ", "Garden"), ("null", AS_OF, None, "Garden")], SHAPE)
     )
     scored = {r["complaint_id"]: r for r in model.score(cases).collect()}
     assert len(scored) == rows.count() + 2
     for key in ("blank", "null"):
         assert (scored[key]["predicted_product"], scored[key]["prediction_confidence"]) == (None, None)
         assert scored[key]["prediction_abstained"] is True
-    assert scored["partial"]["predicted_product"] == "Card" and scored["blank"]["narrative"] == "  "
+    assert scored["fresh-1"]["predicted_product"] == "Garden" and scored["blank"]["narrative"] == "  "
     model.save(f"{folder}/model")
     again = router.RouterModel.load(f"{folder}/model")
     assert (again.temperature, again.threshold, again.classes) == (model.temperature, model.threshold, model.classes)
@@ -112,13 +118,13 @@ def test_training_scoring_and_reload(spark, rows, folder):
 
 
 def test_three_classes_have_three_margins(spark, rows):
-    more = rows.withColumn("label", F.when(F.col("narrative").contains("new kind"), "New").otherwise(F.col("product")))
+    more = rows.withColumn("label", F.when(F.col("narrative").contains("telescope"), "Sky").otherwise(F.col("product")))
     stages = router.tfidf_stages(more, more.count())
     features = router.tfidf_features(more, stages).select("label", "features")
     models = router.fit_classifiers(features, router.class_sizes(features))
     from pyspark.ml import PipelineModel
 
-    model = router.RouterModel(PipelineModel([*stages, *models]), ["Card", "Loan", "New"])
+    model = router.RouterModel(PipelineModel([*stages, *models]), ["Garden", "Kitchen", "Sky"])
     right = metrics.decide(model.probabilities(more), model.classes).where("label = predicted")
     assert right.count() == more.count()
 
