@@ -114,6 +114,78 @@ def quality_overall(spark, sf_dir):
     return quality.overall(quality.quality_report(quality_counters(spark, sf_dir)))
 
 
+def _damaged(spark, sf_dir):
+    """The gate's input with broken, doubled, blank and keyless lines among the good ones."""
+    rows = _snapshot(spark, sf_dir)
+    line = hashing.canonical_json(rows.columns)
+    kind = F.col("complaint_id").cast("bigint") % 50
+    broken = (
+        F.when(kind == 0, F.concat(line, F.lit("{}")))
+        .when(kind == 1, F.concat_ws(" ", line, line))
+        .when(kind == 2, F.lit("   "))
+        .when(kind == 3, F.concat(F.lit("["), line, F.lit("]")))
+        .when(kind == 4, F.left(line, F.length(line) - 1))
+        .when(kind == 5, F.replace(line, F.lit('"issue":'), F.lit('"other":')))
+        .otherwise(line)
+    )
+    return quality.parse_lines(rows.select(broken.alias("value")))
+
+
+def damaged_counters(spark, sf_dir):
+    return quality.quality_counters(_damaged(spark, sf_dir), _AS_OF)
+
+
+def damaged_report(spark, sf_dir):
+    """All checks that do not pass or pass with a count, the manifest's among them."""
+    january = F.endswith(F.col("w.name"), F.lit("-01"))
+    meta = F.struct(F.lit(False).alias("is_data_stale"), january.alias("has_data_issue"))
+    windows = _manifest(spark, sf_dir).select(F.explode("windows").alias("w"))
+    manifest = windows.agg(
+        F.lit("0" * 64).alias("snapshot_sha256"),
+        F.collect_list(F.struct("w.*", meta.alias("source_meta"))).alias("windows"),
+    )
+    report = quality.quality_report(
+        damaged_counters(spark, sf_dir),
+        manifest=manifest,
+        fingerprint=rowset_fingerprint(spark, sf_dir),
+    )
+    return report.drop("detail")
+
+
+def damaged_overall(spark, sf_dir):
+    return quality.overall(quality.quality_report(damaged_counters(spark, sf_dir)))
+
+
+def _pages(spark, sf_dir):
+    """Search responses made of the source records, a hundredth of all ids each."""
+    record = F.struct(*_source_records(spark, sf_dir).columns)
+    page = F.col("complaint_id").cast("bigint") % 100
+    hit = F.struct(F.when(page % 2 == 0, record).alias("_source"), *[
+        F.when(page % 2 == 1, F.col(c)).alias(c) for c in _source_records(spark, sf_dir).columns
+    ])
+    grouped = _source_records(spark, sf_dir).groupBy(page.alias("page")).agg(
+        F.to_json(F.collect_list(hit)).alias("hits_json"), F.count("*").alias("n")
+    )
+    relation = F.struct(F.col("n").alias("value"), F.lit("gte").alias("relation"))
+    total = F.when(F.col("page") % 3 == 0, F.to_json(relation)).when(
+        F.col("page") % 3 == 1, F.col("n").cast("string")
+    )
+    return grouped.select("page", total.alias("total_json"), "hits_json")
+
+
+def search_hits(spark, sf_dir):
+    found = search_pages.search_hits(_pages(spark, sf_dir))
+    return found.select(
+        "complaint_id", "date_received", "product", "timely", "complaint_what_happened"
+    )
+
+
+def source_total(spark, sf_dir):
+    return search_pages.source_total(_pages(spark, sf_dir)).select(
+        "page", "source_total", "source_total_relation"
+    )
+
+
 def column_profile(spark, sf_dir):
     return quality.column_profile(_parsed(spark, sf_dir))
 
@@ -171,6 +243,11 @@ QUERIES = {
     "quality_counters": quality_counters,
     "quality_report": quality_report,
     "quality_overall": quality_overall,
+    "damaged_counters": damaged_counters,
+    "damaged_report": damaged_report,
+    "damaged_overall": damaged_overall,
+    "search_hits": search_hits,
+    "source_total": source_total,
     "column_profile": column_profile,
     "row_hashes": row_hashes,
     "rowset_fingerprint": rowset_fingerprint,
@@ -210,6 +287,23 @@ counters AS (
 )"""
 
 
+_DAMAGED_SQL = (
+    _COUNTERS_SQL.replace(
+        "  SELECT *, trim(narrative",
+        "  SELECT * REPLACE (CASE WHEN kind = 5 THEN NULL ELSE issue END AS issue), trim(narrative",
+    )
+    .replace(
+        "AS t FROM cases",
+        "AS t FROM (SELECT *, CAST(complaint_id AS BIGINT) % 50 AS kind FROM cases)",
+    )
+    .replace("SELECT count(*) AS row_count, CAST(0 AS BIGINT) AS invalid_lines",
+             "SELECT count(*) AS row_count, (SELECT count(*) FROM marked WHERE kind IN (0, 1, 3, 4)) AS invalid_lines")
+    .replace("CAST(0 AS BIGINT) AS missing_required_columns",
+             "count(*) FILTER (WHERE kind = 5) AS missing_required_columns")
+    .replace("  FROM marked\n)", "  FROM marked WHERE kind > 4\n)")
+)
+
+
 def _zero_sql(name, severity, counter):
     return (
         f"SELECT '{name}' AS name, {counter} = 0 AS passed, '{severity}' AS severity, "
@@ -247,8 +341,8 @@ _PROFILE_SQL = " UNION ALL ".join(
   count(*) FILTER (WHERE coalesce(CAST({c} AS VARCHAR), '') = '') AS null_count,
   round(CAST(count(*) FILTER (WHERE coalesce(CAST({c} AS VARCHAR), '') = '') AS DOUBLE)
     / greatest(count(*), 1), 6) AS null_rate,
-  least(count(DISTINCT nullif(CAST({c} AS VARCHAR), '')), 50000) AS distinct_count_observed,
-  count(DISTINCT nullif(CAST({c} AS VARCHAR), '')) >= 50000 AS distinct_count_capped
+  count(DISTINCT nullif(CAST({c} AS VARCHAR), '')) AS distinct_count_observed,
+  false AS distinct_count_capped
 FROM cases"""
     for c in quality.PROFILE_COLUMNS
 )
@@ -289,6 +383,22 @@ SELECT *, (SELECT bool_and(source_total_relation = 'eq') FROM windows)
     "quality_report": f"{_COUNTERS_SQL} {_REPORT_SQL}",
     "quality_overall": f"""{_COUNTERS_SQL}
 SELECT bool_and(severity = 'medium' OR passed) AS passed FROM ({_REPORT_SQL})""",
+    "damaged_counters": f"{_DAMAGED_SQL} SELECT * FROM counters",
+    "damaged_report": f"""{_DAMAGED_SQL} {_REPORT_SQL}
+UNION ALL SELECT 'manifest_snapshot_sha256_matches', false, 'critical', 1e0, '0'
+UNION ALL SELECT 'source_reports_no_data_issue', false, 'high', 1e0, '0'
+UNION ALL SELECT 'source_reports_fresh', true, 'high', 0e0, '0'""",
+    "damaged_overall": f"""{_DAMAGED_SQL}
+SELECT bool_and(severity = 'medium' OR passed) AS passed FROM ({_REPORT_SQL})""",
+    "search_hits": f"""WITH {CASES_SQL}
+SELECT complaint_id, strftime(date_received, '%Y-%m-%d') || 'T08:00:00Z' AS date_received,
+  chr(9) || ' ' || chr(12288) || product || ' ' || chr(10) AS product,
+  CASE WHEN timely THEN 'Yes' WHEN NOT timely THEN 'No' END AS timely,
+  narrative AS complaint_what_happened FROM cases""",
+    "source_total": f"""WITH {CASES_SQL},
+pages AS (SELECT CAST(complaint_id AS BIGINT) % 100 AS page, count(*) AS n FROM cases GROUP BY 1)
+SELECT page, CASE WHEN page % 3 < 2 THEN n ELSE 0 END AS source_total,
+  CASE WHEN page % 3 = 0 THEN 'gte' ELSE 'eq' END AS source_total_relation FROM pages""",
     "column_profile": f"WITH {CASES_SQL} {_PROFILE_SQL}",
     "row_hashes": f"""WITH {CASES_SQL}
 SELECT complaint_id, {_ROW_JSON} AS row_sha256 FROM cases""",
