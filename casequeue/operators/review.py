@@ -80,11 +80,20 @@ def review_template(sample: DataFrame) -> DataFrame:
     )
 
 
-def _repeats(rows: DataFrame, key: str, flag: str) -> DataFrame:
-    """Keys that occur more than once."""
-    return rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(
+def _with_repeats(rows: DataFrame, key: str, flag: str) -> DataFrame:
+    """Adds whether a key occurs more than once in the rows.
+
+    Blank keys, of which there may be any number, are no ids: they skip the join
+    and are left to the rule for blanks.
+    """
+    blank = F.coalesce(F.col(key), F.lit("")) == ""
+    filled = rows.where(~blank)
+    repeated = filled.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(
         key, F.lit(True).alias(flag)
     )
+    return filled.join(repeated, key, "left").unionByName(
+        rows.where(blank).withColumn(flag, F.lit(None).cast("boolean"))
+    )
 
 
 def draft_manifest(drafts: DataFrame, draft_columns: list[str]) -> DataFrame:
@@ -97,8 +106,8 @@ def draft_manifest(drafts: DataFrame, draft_columns: list[str]) -> DataFrame:
         *[strip(F.col(c).cast("string")).alias(c) for c in ("complaint_id", "summary_id", "model")],
         F.sha2(canonical_json(draft_columns), 256).alias("draft_sha256"),
     )
-    marked = items.join(_repeats(items, "complaint_id", "_twice_case"), "complaint_id", "left").join(
-        _repeats(items, "summary_id", "_twice_summary"), "summary_id", "left"
+    marked = _with_repeats(
+        _with_repeats(items, "complaint_id", "_twice_case"), "summary_id", "_twice_summary"
     )
     blank = reduce(
         lambda a, b: a | b,
@@ -152,12 +161,13 @@ def validate_review_rows(
         "draft_sha256",
         "review_manifest_sha256",
     )
-    joined = (
-        rows.join(frozen, "complaint_id", "left")
-        .join(bound, "complaint_id", "left")
-        .join(_repeats(rows, "complaint_id", "_twice_case"), "complaint_id", "left")
-        .join(_repeats(rows, "summary_id", "_twice_summary"), "summary_id", "left")
+    marked = _with_repeats(
+        _with_repeats(rows, "complaint_id", "_twice_case"), "summary_id", "_twice_summary"
     )
+    known = frozen.join(bound, "complaint_id", "full")
+    joined = marked.where("complaint_id <> ''").join(known, "complaint_id", "left")
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in known.dtypes if c != "complaint_id"]
+    joined = joined.unionByName(marked.where("complaint_id = ''").select("*", *nothing))
     score = F.col("factuality_score_1_to_5")
     flags = ("all_claims_supported", "quotes_exact", "included_in_review_sample")
     rules = {

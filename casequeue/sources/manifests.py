@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casequeue.functions.hashing import row_sha256
 from casequeue.schemas import DRAFT_MANIFEST, FROZEN_SAMPLE, SNAPSHOT_MANIFEST
 
 # States and schema versions a manifest must declare.
@@ -66,6 +67,43 @@ def _require(header: DataFrame, conditions: dict[str, Column]) -> None:
             raise ManifestError(message)
 
 
+def frozen_sample(
+    sample: DataFrame, parent_sha256: str | None, rubric_version: str
+) -> DataFrame:
+    """One row: the manifest of a frozen sample, named by the hash of all its other fields.
+
+    The sample's size is chosen by the caller; its items are one list in sample order.
+    """
+    item = F.struct("complaint_id", "month", "product")
+    listed = F.transform(
+        F.sort_array(F.collect_list(F.struct("position", item.alias("item")))), lambda x: x["item"]
+    )
+    body = sample.agg(listed.alias("items")).select(
+        F.lit(FROZEN_STATUS).alias("status"),
+        F.lit(rubric_version).alias("rubric_version"),
+        F.lit(parent_sha256).cast("string").alias("parent_snapshot_sha256"),
+        "items",
+    )
+    return body.withColumn("sample_manifest_sha256", row_sha256(body.columns))
+
+
+def drafts_manifest(items: DataFrame, sample_sha256: str) -> DataFrame:
+    """One row: the manifest of clean draft items of one sample, in the order of their cases."""
+    item = F.struct("complaint_id", "draft_sha256", "model", "summary_id")
+    body = items.agg(F.sort_array(F.collect_list(item)).alias("items")).select(
+        F.lit(DRAFTS_SCHEMA).alias("schema_version"),
+        F.lit(DRAFTS_STATUS).alias("status"),
+        F.lit(sample_sha256).alias("source_sample_manifest_sha256"),
+        "items",
+    )
+    return body.withColumn("manifest_sha256", row_sha256(body.columns))
+
+
+def write_manifest(manifest: DataFrame, path: str) -> None:
+    """A one-row manifest as one JSON object, replaced as a whole."""
+    manifest.coalesce(1).write.mode("overwrite").json(path)
+
+
 def read_frozen_sample(spark: SparkSession, path: str) -> DataFrame:
     """Items of a frozen, unreviewed sample with their manifest hash and position."""
     sample = spark.read.schema(FROZEN_SAMPLE).option("multiLine", True).json(path)

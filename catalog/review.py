@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from casequeue.functions.hashing import hash_rank
 from casequeue.operators import review
+from casequeue.sources import manifests
 from catalog.adapters import CASES_SQL, cases, rounded, table
 
 _SAMPLE = 400
@@ -20,6 +21,20 @@ def freeze_sample(spark, sf_dir):
     return review.freeze_sample(cases(spark, sf_dir), n=_SAMPLE)
 
 
+def frozen_sample(spark, sf_dir):
+    manifest = manifests.frozen_sample(freeze_sample(spark, sf_dir), None, "r1")
+    return manifest.select("status", F.size("items").alias("items"), "sample_manifest_sha256")
+
+
+def drafts_manifest(spark, sf_dir):
+    """The drafts of the sampled cases; a manifest is as long as its sample."""
+    sampled = freeze_sample(spark, sf_dir).select("complaint_id")
+    drafts = _drafts(spark, sf_dir).join(sampled, "complaint_id", "left_semi")
+    items = review.draft_manifest(drafts, ["complaint_id", "model", "status", "summary_id"])
+    manifest = manifests.drafts_manifest(review.require_clean(items), "0" * 64)
+    return manifest.select("status", F.size("items").alias("items"), "manifest_sha256")
+
+
 def review_template(spark, sf_dir):
     return review.review_template(freeze_sample(spark, sf_dir))
 
@@ -183,6 +198,8 @@ QUERIES = {
     "hash_ranks": hash_ranks,
     "freeze_sample": freeze_sample,
     "review_template": review_template,
+    "frozen_sample": frozen_sample,
+    "drafts_manifest": drafts_manifest,
     "current_draft_status": current_draft_status,
     "draft_manifest": draft_manifest,
     "validate_review_rows": validate_review_rows,
@@ -222,6 +239,29 @@ ORACLES = {
     "hash_ranks": f"""WITH {CASES_SQL}
 SELECT complaint_id, sha256('42|' || complaint_id) AS rank FROM cases""",
     "freeze_sample": f"{_SAMPLE_SQL} SELECT * FROM sample",
+    "frozen_sample": f"""{_SAMPLE_SQL},
+listed AS (
+  SELECT count(*) AS n, string_agg('{{"complaint_id":"' || complaint_id || '","month":"' || month
+    || '","product":"' || product || '"}}', ',' ORDER BY position) AS items FROM sample
+)
+SELECT 'frozen_unreviewed' AS status, CAST(n AS INTEGER) AS items,
+  sha256('{{"items":[' || items || '],"parent_snapshot_sha256":null,"rubric_version":"r1",'
+    || '"status":"frozen_unreviewed"}}') AS sample_manifest_sha256 FROM listed""",
+    "drafts_manifest": f"""{_SAMPLE_SQL},
+items AS (
+  SELECT CAST(doc_id AS VARCHAR) AS c, sha256('{{"complaint_id":"' || doc_id || '","model":"'
+    || source || '","status":"pending_review","summary_id":"s' || doc_id || '"}}') AS h,
+    source AS m, 's' || doc_id AS s FROM documents
+  WHERE CAST(doc_id AS VARCHAR) IN (SELECT complaint_id FROM sample)
+),
+listed AS (
+  SELECT count(*) AS n, string_agg('{{"complaint_id":"' || c || '","draft_sha256":"' || h
+    || '","model":"' || m || '","summary_id":"' || s || '"}}', ',' ORDER BY c) AS items FROM items
+)
+SELECT 'private_generated_drafts' AS status, CAST(n AS INTEGER) AS items,
+  sha256('{{"items":[' || items || '],"schema_version":"summary-draft-manifest-v1",'
+    || '"source_sample_manifest_sha256":"' || repeat('0', 64)
+    || '","status":"private_generated_drafts"}}') AS manifest_sha256 FROM listed""",
     "review_template": f"""{_SAMPLE_SQL}
 SELECT 'summary-review-' || lpad(CAST(position AS VARCHAR), 4, '0') AS review_row_id,
   '' AS summary_id, complaint_id, month, product, '' AS reviewer_id,

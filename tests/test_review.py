@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from casequeue.operators import lineage, review
 from casequeue.schemas import FACTUALITY_REVIEWS, WORKSHEET
+from casequeue.sources import manifests
 
 
 @pytest.fixture(scope="module")
@@ -165,3 +166,42 @@ def test_lineage_row_names_its_own_content(spark):
     assert lineage.verify_lineage(frame.withColumn("source_total", F.lit(10))).count() == 1
     manifest = lineage.snapshot_manifest(frame).first()
     assert manifest["snapshot_sha256"] == "f" and manifest["windows"][0]["source_total"] == 9
+
+
+def test_chain_from_sample_to_draft_manifest(spark, folder):
+    rows = [(f"c{i}", date(2026, 1 + i % 3, 5), "A" if i % 2 else "B", "some text", True) for i in range(30)]
+    cases = spark.createDataFrame(
+        rows, "complaint_id string, date_received date, product string, narrative string, has_narrative boolean"
+    )
+    sample = review.freeze_sample(cases, n=7)
+    frozen = manifests.frozen_sample(sample, "p" * 64, "r1")
+    manifests.write_manifest(frozen, f"{folder}/sample")
+    read = manifests.read_frozen_sample(spark, f"{folder}/sample")
+    assert [r["complaint_id"] for r in read.orderBy("position").collect()] == [
+        r["complaint_id"] for r in sample.orderBy("position").collect()
+    ]
+    named = read.first()["sample_manifest_sha256"]
+    drafts = read.selectExpr("complaint_id", "concat('s', complaint_id) AS summary_id", "'m' AS model")
+    items = review.require_clean(review.draft_manifest(drafts, ["complaint_id", "summary_id"]))
+    manifests.write_manifest(manifests.drafts_manifest(items, named), f"{folder}/drafts")
+    bound = manifests.read_draft_manifest(spark, f"{folder}/drafts", named)
+    assert bound.count() == 7
+    with pytest.raises(manifests.ManifestError, match="another sample"):
+        manifests.read_draft_manifest(spark, f"{folder}/drafts", "0" * 64)
+    sheet = review.review_template(read.withColumn("position", F.col("position") + 1)).drop("summary_id")
+    sheet = sheet.join(bound.select("complaint_id", "summary_id"), "complaint_id").withColumns(
+        {
+            "reviewer_id": F.lit("someone"),
+            "factuality_score_1_to_5": F.lit("5"),
+            **{c: F.lit("true") for c in ("all_claims_supported", "quotes_exact", "included_in_review_sample")},
+        }
+    )
+    checked = review.validate_review_rows(sheet, read, bound)
+    assert checked.where(F.size("errors") > 0).count() == 0 and checked.count() == 7
+
+
+def test_blank_ids_are_blank_and_not_repeated(spark):
+    drafts = spark.createDataFrame([(" ", "s1", "m"), ("", "s2", "m"), (None, "s3", "m"), ("c", "s3", "m")],
+                                   "complaint_id string, summary_id string, model string")
+    got = {r["draft_sha256"]: list(r["errors"]) for r in review.draft_manifest(drafts, drafts.columns).collect()}
+    assert sorted(map(tuple, got.values())) == [("blank_field",), ("blank_field",), ("blank_field", "repeated_id"), ("repeated_id",)]
