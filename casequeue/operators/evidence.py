@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from casequeue.functions.text import strip
 
@@ -77,32 +79,32 @@ def _find(quote: Column, text: Column, start: Column) -> Column:
     return F.call_function("locate", quote, text, start)
 
 
+def _positions_udf():
+    def starts(texts: pd.Series, quotes: pd.Series) -> pd.Series:
+        def one(text, quote):
+            if text is None or quote is None:
+                return None
+            found, at = [], text.find(quote) if quote else -1
+            while at >= 0:
+                found.append(at)
+                at = text.find(quote, at + 1)
+            return found
+
+        return pd.Series([one(t, q) for t, q in zip(texts, quotes, strict=True)], dtype=object)
+
+    return F.pandas_udf(starts, ArrayType(IntegerType()))
+
+
 def quote_positions(text: Column, quote: Column) -> Column:
     """Zero-based starts of every occurrence, overlapping ones included.
 
-    The text is split before each occurrence by a look-ahead; piece lengths
-    add up to the starts. A match at the very start leaves no empty piece.
+    Only texts that hold the quote go to the Arrow function, which is linear in
+    the text and its hits; the others never leave the JVM.
     """
-    literal = F.concat(
-        F.lit(r"(?=\Q"), F.replace(quote, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)")
-    )
-    pieces = F.split(text, literal, -1)
-    lengths = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.length(p))
-    start = F.struct(
-        F.when(F.startswith(text, quote), F.array(F.lit(0)))
-        .otherwise(F.array().cast("array<int>"))
-        .alias("starts"),
-        F.lit(0).alias("at"),
-    )
-    found = F.aggregate(
-        lengths,
-        start,
-        lambda a, n: F.struct(
-            F.array_append(a["starts"], a["at"] + n).alias("starts"), (a["at"] + n).alias("at")
-        ),
-        lambda a: a["starts"],
-    )
-    return F.when(quote == "", F.array().cast("array<int>")).otherwise(found)
+    none = F.array().cast("array<int>")
+    holds = (quote != "") & F.contains(text, quote)
+    found = _positions_udf()(F.when(holds, text), F.when(holds, quote))
+    return F.when(holds, found).when(text.isNotNull() & quote.isNotNull(), none)
 
 
 def _span(text: Column, start: Column, end: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from casequeue.operators.evidence import draft_errors
 from casequeue.schemas import ROUTE_REVIEWS, SUMMARY_DRAFTS, SUMMARY_REVIEWS, SYSTEM_EVENTS
 
 # Accepted decisions and field bounds.
@@ -59,6 +60,42 @@ def check_route_reviews(batch: DataFrame, cases: DataFrame) -> tuple[DataFrame,
     return accepted.drop("known_case"), rejected.drop("known_case")
 
 
+def check_summary_drafts(
+    batch: DataFrame, cases: DataFrame, stored: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) drafts: of a known case, with an id of their own, within bounds.
+
+    `stored` are the drafts that the log already has.
+    """
+    asked = batch.select("complaint_id").distinct()
+    known = (
+        cases.select("complaint_id")
+        .join(asked, "complaint_id", "left_semi")
+        .distinct()
+        .withColumn("_known", F.lit(True))
+    )
+    ids = batch.select("summary_id")
+    if stored is not None:
+        ids = ids.unionByName(stored.select("summary_id"))
+    taken = (
+        ids.where(F.coalesce(F.col("summary_id"), F.lit("")) != "")
+        .groupBy("summary_id")
+        .agg((F.count("*") == 1).alias("_single"))
+    )
+    marked = batch.join(known, "complaint_id", "left").join(taken, "summary_id", "left")
+    rules = {
+        "unknown_case": F.col("_known"),
+        "summary_id": F.col("_single"),
+        "requested_by": _length_in("requested_by", *ACTOR_LENGTH),
+    }
+    errors = F.concat(_codes(rules), F.coalesce(draft_errors(F.col("payload")), F.array(F.lit("payload"))))
+    checked = marked.withColumn("errors", errors).drop("_known", "_single")
+    return (
+        checked.where(F.size("errors") == 0).drop("errors"),
+        checked.where(F.size("errors") > 0),
+    )
+
+
 def check_summary_reviews(batch: DataFrame, drafts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) draft reviews; the case comes from the draft."""
     of_draft = drafts.select("summary_id", F.col("complaint_id").alias("_case"))
@@ -97,8 +134,10 @@ def append_summary_reviews(
     _append_checked(check_summary_reviews(batch, drafts), SUMMARY_REVIEWS, path, reject_path)
 
 
-def append_summary_drafts(batch: DataFrame, path: str) -> None:
-    _append(batch, SUMMARY_DRAFTS, path)
+def append_summary_drafts(
+    batch: DataFrame, cases: DataFrame, path: str, reject_path: str, stored: DataFrame | None = None
+) -> None:
+    _append_checked(check_summary_drafts(batch, cases, stored), SUMMARY_DRAFTS, path, reject_path)
 
 
 def append_events(batch: DataFrame, path: str) -> None:

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from casequeue.functions.hashing import hash_rank
 from casequeue.operators import review
-from casequeue.sources import manifests
-from catalog.adapters import CASES_SQL, cases, rounded, table
+from casequeue.sources import logs, manifests
+from catalog.adapters import CASES_SQL, REVIEWS_SQL, cases, reviews, rounded, table
 
 _SAMPLE = 400
 
@@ -35,6 +35,23 @@ def drafts_manifest(spark, sf_dir):
     return manifest.select("status", F.size("items").alias("items"), "manifest_sha256")
 
 
+def route_review_checks(spark, sf_dir):
+    """Decisions with the rules they break; every fifth is of an unknown case."""
+    given = reviews(spark, sf_dir).withColumns(
+        {
+            "complaint_id": F.when(F.col("review_id") % 5 == 0, F.concat(F.lit("x"), "complaint_id"))
+            .otherwise(F.col("complaint_id")),
+            "reviewer_id": F.left(F.lit("someone"), (F.col("review_id") % 4).cast("int")),
+            "notes": F.repeat(F.lit("n"), (F.col("review_id") % 7 * 200).cast("int")),
+            "approved_route": F.when(F.col("review_id") % 3 > 0, F.col("approved_route")),
+        }
+    )
+    accepted, rejected = logs.check_route_reviews(given, cases(spark, sf_dir))
+    none = F.array().cast("array<string>")
+    both = accepted.withColumn("errors", none).unionByName(rejected)
+    return both.select("review_id", F.array_join("errors", ";").alias("errors"))
+
+
 def review_template(spark, sf_dir):
     return review.review_template(freeze_sample(spark, sf_dir))
 
@@ -199,6 +216,7 @@ QUERIES = {
     "freeze_sample": freeze_sample,
     "review_template": review_template,
     "frozen_sample": frozen_sample,
+    "route_review_checks": route_review_checks,
     "drafts_manifest": drafts_manifest,
     "current_draft_status": current_draft_status,
     "draft_manifest": draft_manifest,
@@ -239,6 +257,13 @@ ORACLES = {
     "hash_ranks": f"""WITH {CASES_SQL}
 SELECT complaint_id, sha256('42|' || complaint_id) AS rank FROM cases""",
     "freeze_sample": f"{_SAMPLE_SQL} SELECT * FROM sample",
+    "route_review_checks": f"""WITH {CASES_SQL}, {REVIEWS_SQL}
+SELECT review_id, concat_ws(';',
+  CASE WHEN review_id % 5 = 0 OR complaint_id NOT IN (SELECT complaint_id FROM cases)
+    THEN 'unknown_case' END,
+  CASE WHEN review_id % 4 < 2 THEN 'reviewer_id' END,
+  CASE WHEN decision <> 'reject' AND review_id % 3 = 0 THEN 'approved_route_missing' END,
+  CASE WHEN review_id % 7 * 200 > 1000 THEN 'notes_length' END) AS errors FROM reviews""",
     "frozen_sample": f"""{_SAMPLE_SQL},
 listed AS (
   SELECT count(*) AS n, string_agg('{{"complaint_id":"' || complaint_id || '","month":"' || month

@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from casequeue.schemas import ROUTE_REVIEWS, SUMMARY_REVIEWS, SYSTEM_EVENTS, WORKSHEET_COLUMNS
+from casequeue.schemas import ROUTE_REVIEWS, SUMMARY_DRAFTS, SUMMARY_REVIEWS, SYSTEM_EVENTS, WORKSHEET_COLUMNS
 from casequeue.sources import logs, manifests, search_pages, snapshot, worksheet
 
 
@@ -189,3 +189,27 @@ def test_events_append(spark, folder):
     logs.append_events(event, f"{folder}/events")
     logs.append_events(event, f"{folder}/events")
     assert logs.read_log(spark, SYSTEM_EVENTS, f"{folder}/events").count() == 2
+
+
+def test_drafts_are_checked_before_they_are_appended(spark, folder):
+    cases = spark.createDataFrame([("1",), ("2",)], "complaint_id string")
+    good = ("A headline", "A summary.", ["point"], [("quote", 0, 5)], [], [], [])
+    empty = ("", "A summary.", ["point"], [("quote", 0, 5)], [], [], [])
+    rows = [
+        ("s1", "1", good, "pending_review", "someone", NOW),
+        ("s2", "9", good, "pending_review", "someone", NOW),
+        ("s3", "2", good, "pending_review", "someone", NOW),
+        ("s3", "2", good, "pending_review", "someone", NOW),
+        ("s4", "2", empty, "pending_review", "someone", NOW),
+        ("", "2", good, "pending_review", "s", NOW),
+        ("s5", "2", None, "pending_review", "someone", NOW),
+    ]
+    batch = spark.createDataFrame(rows, SUMMARY_DRAFTS)
+    logs.append_summary_drafts(batch, cases, f"{folder}/log", f"{folder}/rejects")
+    stored = logs.read_log(spark, SUMMARY_DRAFTS, f"{folder}/log")
+    assert [r["summary_id"] for r in stored.collect()] == ["s1"]
+    rejects = {r["summary_id"]: list(r["errors"]) for r in spark.read.parquet(f"{folder}/rejects").collect()}
+    assert rejects["s2"] == ["unknown_case"] and rejects["s3"] == ["summary_id"]
+    assert rejects[""][:2] == ["summary_id", "requested_by"] and rejects["s4"] and rejects["s5"]
+    again, refused = logs.check_summary_drafts(batch.limit(1), cases, stored)
+    assert again.count() == 0 and refused.count() == 1
