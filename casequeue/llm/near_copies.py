@@ -5,15 +5,18 @@ documents are linked if their Jaccard similarity is at least ``threshold``, and
 are groups. Documents with equal sets are one class; everything else works on classes.
 
 1. MinHash signatures of ``BANDS`` x ``ROWS`` values; classes that agree on a band meet in a bucket.
-2. In each bucket the smallest class is compared with the others: as many pairs as members.
+2. In ``ROUNDS`` rounds, every bucket that holds several components names a pivot, first the class
+   that meets the most others, then classes drawn in proportion; every class is compared with the
+   one pivot of another component that it meets most often. A round has at most one pair per class.
 3. A pair's signatures are compared ``BATCH`` values at a time. After each batch the posterior of the
    similarity, under a uniform prior, decides: a pair whose chance to reach the threshold is below
    ``MISS`` is dropped.
 4. Pairs that are left are confirmed on their full shingle sets, sorted by their common class so
    that a task holds two sets at a time. Classes with many partners are split.
-5. Buckets that still hold several components go on: each class outside a bucket's largest
-   component is compared with all the others, at most ``PAIRS`` pairs of a bucket at a time, so no
-   pair of a bucket that could join two components is left out.
+5. What then still shares buckets across components is compared in full: within a cluster of such
+   components, blocks of the classes outside the largest one meet blocks of all, by set counts
+   inside a task, which returns one link for each two components at most. So no pair of a bucket
+   that could join two components is left out, and none is written out to be dropped.
 
 A link is missed only if no band agrees (probability (1 - s**ROWS) ** BANDS, 3e-6 at s = 0.8) or
 the posterior errs. Documents without words, and null texts, are linked with nothing. Null ids count
@@ -39,7 +42,9 @@ THRESHOLD = (4, 5)
 ROWS, BANDS = 5, 32
 BATCH = 32
 MISS = 1e-5
-PAIRS = 10_000
+ROUNDS = 2
+BLOCK_SHINGLES = 1_500_000  # of the sets that a task holds in step 5
+DENSE_BYTES = 1 << 26
 PARTNERS = 2_000  # of one class confirmed in one task
 CACHE_WORDS = 400_000
 NO_ID = (1 << 63) - 1
@@ -174,6 +179,93 @@ def _confirmed(words: int, threshold: tuple[int, int]):
     return run
 
 
+def _compared(words: int, threshold: tuple[int, int]):
+    """One link ``a, b`` for each two components met, in blocks of classes.
+
+    Rows of a unit come in the order of ``late``: those to compare with, then those to compare.
+    """
+
+    def run(batches):
+        unit, base, block = None, [], None
+        for batch in batches:
+            found = []
+            columns = [batch.column(i).to_pylist() for i in range(6)]
+            for cluster, name, late, cid, label, text in zip(*columns, strict=True):
+                at = (cluster, name)
+                if at != unit:
+                    unit, base, block = at, [], None
+                if not late:
+                    base.append((cid, label, shingles(text, words)))
+                    continue
+                if not base:  # no class was dealt to this piece
+                    continue
+                if block is None:
+                    block = _Block(base)
+                found += block.links(cid, label, shingles(text, words), threshold)
+            if found:
+                pairs = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)]
+                yield pa.RecordBatch.from_arrays(pairs, names=["a", "b"])
+
+    return run
+
+
+class _Block:
+    """Sets of classes, against which others are counted."""
+
+    def __init__(self, base: list[tuple[int, int, np.ndarray]]):
+        self.cids = [c for c, _, _ in base]
+        self.labels = np.array([x for _, x, _ in base], np.int64)
+        self.sizes = np.array([len(s) for _, _, s in base], np.int64)
+        joined = np.concatenate([s for _, _, s in base])
+        owner = np.repeat(np.arange(len(base)), self.sizes)
+        self.known, place = np.unique(joined, return_inverse=True)
+        self.parent: dict[int, int] = {}
+        width = -(-len(self.known) // 64)
+        self.bits = None
+        if width * 8 * len(base) <= DENSE_BYTES:
+            self.bits = np.zeros((len(base), width), np.uint64)
+            one = np.uint64(1) << (place % 64).astype(np.uint64)
+            np.bitwise_or.at(self.bits, (owner, place // 64), one)
+        else:
+            order = np.argsort(place, kind="stable")
+            self.owners = owner[order]
+            self.starts = np.searchsorted(place[order], np.arange(len(self.known) + 1))
+
+    def root(self, label: int) -> int:
+        while (up := self.parent.get(label, label)) != label:
+            label = up
+        return label
+
+    def shared(self, s: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.known, s), len(self.known) - 1)
+        at = at[self.known[at] == s]
+        if self.bits is not None:
+            mine = np.zeros(self.bits.shape[1], np.uint64)
+            np.bitwise_or.at(mine, at // 64, np.uint64(1) << (at % 64).astype(np.uint64))
+            used = np.flatnonzero(mine)
+            return np.bitwise_count(self.bits[:, used] & mine[used]).sum(1, dtype=np.int64)
+        spans = [self.owners[self.starts[i] : self.starts[i + 1]] for i in at.tolist()]
+        return np.bincount(np.concatenate([np.zeros(0, np.int64), *spans]), minlength=len(self.cids))
+
+    def links(self, cid: int, label: int, s: np.ndarray, threshold: tuple[int, int]) -> list:
+        both = self.shared(s)
+        hit = np.flatnonzero(
+            (both * threshold[1] >= (self.sizes + len(s) - both) * threshold[0]) & (self.labels != label)
+        )
+        out = []
+        for i in hit.tolist():
+            a, b = self.root(label), self.root(int(self.labels[i]))
+            if a != b:
+                self.parent[a] = b
+                out.append((cid, self.cids[i]))
+        return out
+
+
+def _merge(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """A join by sorting both sides, whatever their size: what moves grows in proportion."""
+    return left.join(right.hint("merge"), key)
+
+
 class _Linker:
     def __init__(self, docs: DataFrame, words: int, threshold: tuple[int, int]):
         self.spark = docs.sparkSession
@@ -185,50 +277,54 @@ class _Linker:
             self.texts.mapInArrow(_signed(words), "rid long, n long, cid long, sig binary")
         )
         self.classes = handed_over(
-            self.rows.where("cid is not null").groupBy("cid").agg(F.min("rid").alias("rep"))
+            self.rows.where("cid is not null")
+            .groupBy("cid")
+            .agg(F.min("rid").alias("rep"), F.max("n").alias("n"))
         )
-        self.sets = None
 
     def buckets(self) -> DataFrame:
-        """Classes of buckets that have several."""
+        """Classes of buckets that have several, with the number of meetings of the class."""
         signed = self.rows.where("cid is not null").select("cid", "sig")
         banded = signed.mapInArrow(_banded, "bucket long, cid long")
         shared = handed_over(
             banded.groupBy("bucket")
-            .agg(F.min("cid").alias("least"), F.max("cid").alias("most"))
+            .agg(F.min("cid").alias("least"), F.max("cid").alias("most"), F.count("*").alias("met"))
             .where("least <> most")
-            .select("bucket", "least")
+            .select("bucket", "met")
         )
-        return handed_over(banded.join(shared, "bucket").distinct())
-
-    def gather(self, cids: DataFrame) -> None:
-        """Signature and text of the classes that may have partners, from one of their documents."""
-        wanted = cids.distinct().join(self.classes, "cid")
-        signed = wanted.join(
-            self.rows.select(F.col("rid").alias("rep"), F.col("cid").alias("own"), "sig"), "rep"
+        met = handed_over(_merge(banded, shared, "bucket").groupBy("bucket", "cid").agg(F.max("met").alias("met")))
+        degrees = met.groupBy("cid").agg(F.sum("met").alias("degree"))
+        return handed_over(met.join(degrees, "cid").select("bucket", "cid", "degree"))
+
+    def gather(self, members: DataFrame) -> None:
+        """Signature and text of the classes in shared buckets, from one of their documents."""
+        signed = _merge(
+            members,
+            self.rows.select(F.col("rid").alias("rep"), F.col("cid").alias("own"), "sig"),
+            "rep",
         ).where("cid = own")
         self.signatures = handed_over(signed.select("cid", "sig").dropDuplicates(["cid"]))
-
-    def with_texts(self, cids: DataFrame) -> None:
-        wanted = cids.distinct().join(self.classes, "cid")
         held = self.texts.withColumnRenamed("rid", "rep")
         # Rows of one id may differ in text: the one whose set is the class is found by its digest.
         self.sets = handed_over(
-            wanted.join(held, "rep").mapInArrow(_of_class(self.words), "cid long, text string")
+            _merge(members.select("cid", "rep"), held, "rep")
+            .select("rep", "cid", "text")
+            .mapInArrow(_of_class(self.words), "cid long, text string")
             .dropDuplicates(["cid"])
-        )
+        )
 
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """Links among pairs ``a, b`` of classes."""
+        """Links among pairs ``a, b`` of classes; ``a`` is the one with more partners."""
         sig = self.signatures
         likely = handed_over(
-            pairs.join(sig.select(F.col("cid").alias("a"), F.col("sig").alias("x")), "a")
-            .join(sig.select(F.col("cid").alias("b"), F.col("sig").alias("y")), "b")
+            _merge(
+                _merge(pairs, sig.select(F.col("cid").alias("a"), F.col("sig").alias("x")), "a"),
+                sig.select(F.col("cid").alias("b"), F.col("sig").alias("y")),
+                "b",
+            )
             .select("a", "b", "x", "y")
             .mapInArrow(_likely(self.bounds), "a long, b long")
         )
-        if self.sets is None:
-            self.with_texts(likely.select(F.col("a").alias("cid")).union(likely.select("b")))
         parts = F.ceil(F.count("*") / F.lit(PARTNERS)).alias("parts")
         hubs = handed_over(likely.groupBy("a").agg(parts))
         part = F.pmod(F.xxhash64("b"), F.col("parts"))
@@ -237,7 +333,7 @@ class _Linker:
             "a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
         )
         texts = self.sets.select(F.col("cid").alias("b"), "text")
-        rows = members.unionByName(heads).join(texts, "b").select("a", "b", "text", "part")
+        rows = _merge(members.unionByName(heads), texts, "b").select("a", "b", "text", "part")
         dealt = rows.repartition(partitions(self.spark), "a", "part").sortWithinPartitions(
             "a", "part", F.col("a") != F.col("b")
         )
@@ -254,47 +350,105 @@ class _Linker:
         labels = members.select("cid", F.col("rep").alias("label"))
         if not members.limit(1).count():
             return labels
-        self.gather(members.select("cid"))
-        stars = buckets.where("cid <> least").select(F.col("least").alias("a"), F.col("cid").alias("b"))
-        tested = handed_over(stars.distinct())
-        labels = merged(labels, self.verify(tested))
-
-        labelled = buckets.join(labels, "cid").select("bucket", "cid", "label")
-        parts = labelled.groupBy("bucket", "label").count()
-        sizes = parts.groupBy("bucket").agg(
-            F.sum("count").alias("m"),
-            F.max(F.struct("count", "label")).alias("top"),
-            F.count("*").alias("labels"),
-        )
-        others = F.col("m") - F.col("top.count")
-        turns = F.greatest(F.lit(1), F.least(others, F.ceil(others * F.col("m") / PAIRS)))
-        open_buckets = handed_over(
-            sizes.where("labels > 1 and m > 2").select("bucket", F.col("top.label").alias("top"), turns.alias("turns"))
-        )
-        last = open_buckets.agg(F.max("turns")).first()[0] or 0
-        if not last:
-            return labels
-        inside = handed_over(labelled.join(open_buckets, "bucket"))
-        for turn in range(last):
-            now = labels.select("cid", F.col("label").alias("now"))
-            late = inside.where(F.col("turns") > turn).select("bucket", "cid", "label", "top", "turns")
-            chosen = late.where(
-                (F.col("label") != F.col("top")) & (F.pmod(F.xxhash64("cid"), F.col("turns")) == turn)
-            ).join(now, "cid")
-            every = late.select("bucket", F.col("cid").alias("other")).join(
-                now.select(F.col("cid").alias("other"), F.col("now").alias("other_now")), "other"
+        self.gather(members)
+        tested = None
+        for turn in range(ROUNDS):
+            pairs = handed_over(self.best_pairs(buckets, labels, tested, turn))
+            if not pairs.limit(1).count():
+                break
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            labels = merged(labels, self.verify(pairs))
+        return merged(labels, self.compared(buckets, labels, tested))
+
+    def best_pairs(self, buckets, labels, tested, turn) -> DataFrame:
+        """For each class the pivot of another component that most of its buckets name."""
+        drawn = F.pmod(F.xxhash64("cid", "bucket", F.lit(turn)), F.lit(1 << 20)) + 1
+        score = F.col("degree") if turn == 0 else F.col("degree") * drawn
+        open_rows = buckets.join(labels, "cid")
+        pivots = handed_over(
+            open_rows.groupBy("bucket")
+            .agg(
+                F.max_by(F.struct("cid", "label"), F.struct(score, "cid")).alias("p"),
+                F.min("label").alias("low"),
+                F.max("label").alias("high"),
             )
-            pairs = (
-                chosen.join(every, "bucket")
-                .where("now <> other_now")
-                .select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b"))
-                .distinct()
+            .where("low <> high")
+            .select("bucket", F.col("p.cid").alias("a"), F.col("p.label").alias("pivot_label"))
+        )
+        met = open_rows.join(pivots, "bucket").where("label <> pivot_label")
+        counted = met.groupBy(F.col("cid").alias("b"), "a").count()
+        if tested is not None:
+            both = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            counted = counted.join(both, ["a", "b"], "left_anti")
+        return counted.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
+
+    def compared(self, buckets, labels, tested) -> DataFrame:
+        """Links between components that still share a bucket, by full comparison in blocks."""
+        named = buckets.join(labels, "cid").select("bucket", "cid", "label")
+        both = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        spans = (
+            named.groupBy("bucket")
+            .agg(
+                F.min("label").alias("low"),
+                F.max("label").alias("high"),
+                F.min("cid").alias("a"),
+                F.max("cid").alias("b"),
+                F.count("*").alias("n"),
             )
-            new = handed_over(pairs.join(tested, ["a", "b"], "left_anti"))
-            if new.limit(1).count():
-                self.sets = None
-                labels = merged(labels, self.verify(new))
-        return labels
+            .where("low <> high")
+        )
+        # A bucket of two classes that were compared is done.
+        left = spans.join(both.select("a", "b", F.lit(True).alias("known")), ["a", "b"], "left")
+        left = handed_over(left.where("n > 2 or known is null").select("bucket", "low").distinct())
+        open_rows = handed_over(named.join(left, "bucket").select("cid", "label", "low").distinct())
+        nodes = open_rows.select(F.col("label").alias("cid"), "label").distinct()
+        edges = open_rows.where("label <> low").select(F.col("low").alias("a"), F.col("label").alias("b"))
+        clusters = merged(nodes, edges.distinct()).select(
+            F.col("cid").alias("label"), F.col("label").alias("cluster")
+        )
+        inside = handed_over(
+            open_rows.select("cid", "label")
+            .distinct()
+            .join(clusters, "label")
+            .join(self.classes.select("cid", "n"), "cid")
+        )
+        parts = inside.groupBy("cluster", "label").agg(F.sum("n").alias("n"))
+        weights = parts.groupBy("cluster").agg(
+            F.sum("n").alias("all_n"), F.max(F.struct("n", "label")).alias("top")
+        )
+        blocks = weights.select(
+            "cluster",
+            F.col("top.label").alias("top"),
+            F.ceil(F.col("all_n") / BLOCK_SHINGLES).alias("bases"),
+            F.ceil((F.col("all_n") - F.col("top.n")) / BLOCK_SHINGLES).alias("others"),
+        )
+        texts = self.sets.select("cid", "text")
+        dealt = _merge(inside.join(handed_over(blocks), "cluster"), texts, "cid")
+        rest = F.col("label") != F.col("top")
+
+        own_base = F.pmod(F.xxhash64("cid"), F.col("bases"))
+        own_other = F.pmod(F.xxhash64("cid", F.lit("other")), F.col("others"))
+        base_units = F.transform(
+            F.sequence(F.lit(0).cast("long"), F.col("others") - 1),
+            lambda j: F.struct(own_base.alias("i"), j.alias("j"), F.lit(False).alias("late")),
+        )
+        late_units = F.transform(
+            F.sequence(F.lit(0).cast("long"), F.col("bases") - 1),
+            lambda i: F.struct(i.alias("i"), own_other.alias("j"), F.lit(True).alias("late")),
+        )
+        none = F.slice(base_units, 1, 0)
+        spread = dealt.withColumn(
+            "u", F.explode(F.concat(base_units, F.when(rest, late_units).otherwise(none)))
+        )
+        rows = spread.select(
+            "cluster", F.concat_ws(":", "u.i", "u.j").alias("unit"), "u.late", "cid", "label", "text"
+        )
+        ordered = rows.repartition(partitions(self.spark), "cluster", "unit").sortWithinPartitions(
+            "cluster", "unit", "late"
+        )
+        return handed_over(
+            ordered.mapInArrow(_compared(self.words, self.threshold), "a long, b long")
+        )
 
 
 def _of_class(words: int):

@@ -53,7 +53,8 @@ def found(df):
 
 def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "PARTNERS", 3)
-    monkeypatch.setattr(near_copies, "PAIRS", 20)
+    monkeypatch.setattr(near_copies, "BLOCK_SHINGLES", 300)
+    monkeypatch.setattr(near_copies, "ROUNDS", 1)
     made = [*texts(), *copies(), "Same Words here", "same words HERE", "same words"]
     docs = documents(spark, made)
     for words in (4, 5):
