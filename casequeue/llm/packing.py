@@ -47,7 +47,7 @@ def near_equal(sizes: list[int], k: int) -> list[list[int]]:
         _, _, a = heapq.heappop(heap)
         _, _, b = heapq.heappop(heap)
         both = len(a) + len(b) - k
-        if both > 0:  # the smallest windows of a meet the largest... of b from its small end
+        if both > 0:  # large windows of one stay alone, its small ones meet small ones of the other
             over = [
                 (x[0] + y[0], (x[1], y[1]))
                 for x, y in zip(a[len(a) - both :], reversed(b[len(b) - both :]), strict=True)
