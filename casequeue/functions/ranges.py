@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,9 +65,14 @@ def continuous_quantiles(df: DataFrame, value: str, fractions: dict[str, float])
 
     Values are first reduced to distinct values with counts, then ranked by
     running totals, so the work is spread whatever the value distribution is.
+    The distinct values are cached: their number, the ranges and the ranking
+    come from one pass over the rows.
     """
     counts = (
-        df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
+        df.where(F.col(value).isNotNull())
+        .groupBy(value)
+        .agg(F.count("*").alias("n"))
+        .persist(StorageLevel.MEMORY_AND_DISK)
     )
     ranked = running_totals(counts, value, ["n"])
     total = counts.agg(F.sum("n").alias("total")).scalar()
