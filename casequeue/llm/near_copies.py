@@ -46,7 +46,7 @@ ROUNDS = 2
 BLOCK_SHINGLES = 1_500_000  # of the sets that a task holds in step 5
 DENSE_BYTES = 1 << 26
 PARTNERS = 2_000  # of one class confirmed in one task
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 NO_ID = (1 << 63) - 1
 
 _RNG = np.random.default_rng(7)

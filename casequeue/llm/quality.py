@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from casequeue.llm.common import fresh
 
-LABELLED = 12_000
-POOL = 4_000
+LABELLED = 8_000
+POOL = 3_000
 ROUNDS = 3
 TAUGHT = 200  # pseudo-labels of each value that a view gives in a round
 SURE = 0.95
@@ -42,7 +42,7 @@ META_FEATURES = 1 << 12
 LEAST_RATIO = 1.0  # log ratio of its rates under both values, for a feature to count
 SHAPE_SCALE = 4.0  # a long text has many words but one value of each shape
 HEAD = 4
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 ODDS = 15.0  # bound of a view's log-odds where views combine
 TARGETS = {"quality": 1.0, "toxic": 0.0}  # with the score where nothing is labelled
 
@@ -131,7 +131,7 @@ class Rows:
         return Rows.of([self.index[starts[i] : ends[i]] for i in at])
 
     def scores(self, weights: np.ndarray, bias: float) -> np.ndarray:
-        owner = np.repeat(np.arange(len(self.counts)), self.counts)
+        owner = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
         return np.bincount(owner, weights[self.index], len(self.counts)) + bias
 
 
@@ -147,14 +147,16 @@ def fit_logistic(
     A feature is scaled by its log ratio of rates under both values, so that a word which tells the
     values apart learns faster than the many that do not.
     """
-    kept = (np.bincount(rows.index, minlength=size) >= MIN_DOCUMENTS)[rows.index]
-    owner = np.repeat(np.arange(len(rows.counts)), rows.counts)[kept]
-    names, index = np.unique(rows.index[kept], return_inverse=True)
+    seen = np.bincount(rows.index, minlength=size) >= MIN_DOCUMENTS
+    kept = seen[rows.index]
+    owner = np.repeat(np.arange(len(rows.counts), dtype=np.int32), rows.counts)[kept]
+    names = np.flatnonzero(seen)
+    index = (np.cumsum(seen, dtype=np.int32) - 1)[rows.index[kept]]
     ones, every = y.sum(), np.bincount(index, minlength=len(names))
     high = np.bincount(index, y[owner], len(names))
     ratio = np.log((high + 1) / (ones + 2)) - np.log((every - high + 1) / (len(y) - ones + 2))
     telling = np.abs(ratio) >= LEAST_RATIO
-    kept, renumbered = telling[index], np.cumsum(telling) - 1
+    kept, renumbered = telling[index], np.cumsum(telling, dtype=np.int32) - 1
     owner, index, names, ratio = owner[kept], renumbered[index[kept]], names[telling], ratio[telling]
     scale = np.where(names >= 1 << WORD_BITS, SHAPE_SCALE, 1.0) * ratio
     v, squares, n = np.zeros(len(names)), np.full(len(names), 1e-8), len(y)
@@ -285,6 +287,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, pool: i
     rows.sort(key=lambda r: (zlib.crc32(r["text"]), bytes(r["text"]), bytes(r["meta"])))
     text = Rows.of([np.frombuffer(r["text"], np.int32) for r in rows])
     meta = Rows.of([np.frombuffer(r["meta"], np.int32) for r in rows])
+    rows = [{t: r[t] for t in TARGETS} for r in rows]  # the features are held once
     unlabelled = np.flatnonzero([r["quality"] is None and r["toxic"] is None for r in rows])
     models = {}
     for target, neutral in TARGETS.items():

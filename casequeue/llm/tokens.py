@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE_PIECES = 350_000
+CACHE_PIECES = 250_000
 LONGEST_CACHED = 100  # characters; longer pieces are encoded each time
 
 # White space before a space that does not start a word: cut such texts at single spaces only.
