@@ -20,8 +20,9 @@ are groups. Documents with equal sets are one class; everything else works on cl
 
 A link is missed only if no band agrees (probability (1 - s**ROWS) ** BANDS, 3e-6 at s = 0.8) or
 the posterior errs. Documents without words, and null texts, are linked with nothing. Null ids count
-as larger than all others and come back as null. Rows with equal ids are one document for the
-component's number, each with its own set. An empty table has no rows.
+as larger than all others and come back as null. Rows with equal ids have a set and a component each;
+a component's number is the smallest id in it. ``kept`` tells rows whose id is that number; of a
+component of null ids alone it tells one row. An empty table has no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casequeue.llm.common import fresh, handed_over, partitions
@@ -116,9 +117,10 @@ def _signed(words: int):
                 else:
                     cid.append(None)
                     sig.append(None)
+            found = [pa.array(size, pa.int64()), pa.array(cid, pa.int64()), pa.array(sig, pa.binary())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(cid, pa.int64()), pa.array(sig, pa.binary())],
-                names=["rid", "n", "cid", "sig"],
+                [batch.column(0), *batch.columns[2:], *found],
+                names=["rid", "hash", "uid", "n", "cid", "sig"],
             )
 
     return run
@@ -261,7 +263,13 @@ class _Block:
         return out
 
 
-def _merge(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def _row_key() -> list[Column]:
+    """Id and hash of the text of a row: rows that agree in both are in one class."""
+    rid = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    return [rid.alias("rid"), F.xxhash64("text").alias("hash")]
+
+
+def _merge(left: DataFrame, right: DataFrame, key: str | list[str]) -> DataFrame:
     """A join by sorting both sides, whatever their size: what moves grows in proportion."""
     return left.join(right.hint("merge"), key)
 
@@ -271,15 +279,18 @@ class _Linker:
         self.spark = docs.sparkSession
         self.words, self.threshold = words, threshold
         self.bounds = least_matches(threshold[0] / threshold[1])
-        rid = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rid")
-        self.texts = docs.select(rid, "text")
+        rid, digest = _row_key()
+        self.texts = docs.select(rid, "text", digest)
+        # Written with the rows, ``uid`` tells identical ones apart.
         self.rows = handed_over(
-            self.texts.mapInArrow(_signed(words), "rid long, n long, cid long, sig binary")
+            self.texts.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(
+                _signed(words), "rid long, hash long, uid long, n long, cid long, sig binary"
+            )
         )
         self.classes = handed_over(
             self.rows.where("cid is not null")
             .groupBy("cid")
-            .agg(F.min("rid").alias("rep"), F.max("n").alias("n"))
+            .agg(F.min(F.struct("rid", "hash", "uid")).alias("first"), F.max("n").alias("n"))
         )
 
     def buckets(self) -> DataFrame:
@@ -298,20 +309,11 @@ class _Linker:
 
     def gather(self, members: DataFrame) -> None:
         """Signature and text of the classes in shared buckets, from one of their documents."""
-        signed = _merge(
-            members,
-            self.rows.select(F.col("rid").alias("rep"), F.col("cid").alias("own"), "sig"),
-            "rep",
-        ).where("cid = own")
+        first = members.select("cid", "first.rid", "first.hash")
+        signed = _merge(first, self.rows.select("rid", "hash", "sig"), ["rid", "hash"])
         self.signatures = handed_over(signed.select("cid", "sig").dropDuplicates(["cid"]))
-        held = self.texts.withColumnRenamed("rid", "rep")
-        # Rows of one id may differ in text: the one whose set is the class is found by its digest.
-        self.sets = handed_over(
-            _merge(members.select("cid", "rep"), held, "rep")
-            .select("rep", "cid", "text")
-            .mapInArrow(_of_class(self.words), "cid long, text string")
-            .dropDuplicates(["cid"])
-        )
+        held = _merge(first, self.texts, ["rid", "hash"])
+        self.sets = handed_over(held.select("cid", "text").dropDuplicates(["cid"]))
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """Links among pairs ``a, b`` of classes; ``a`` is the one with more partners."""
@@ -344,10 +346,10 @@ class _Linker:
         )
 
     def link(self) -> DataFrame:
-        """``cid, label``: smallest id of the component, for classes in shared buckets."""
+        """``cid, label``: smallest class of the component, for classes in shared buckets."""
         buckets = self.buckets()
         members = handed_over(buckets.select("cid").distinct().join(self.classes, "cid"))
-        labels = members.select("cid", F.col("rep").alias("label"))
+        labels = members.select("cid", F.col("cid").alias("label"))
         if not members.limit(1).count():
             return labels
         self.gather(members)
@@ -360,6 +362,20 @@ class _Linker:
             labels = merged(labels, self.verify(pairs))
         return merged(labels, self.compared(buckets, labels, tested))
 
+    def marked(self) -> DataFrame:
+        """``rid, hash, uid, n, cid`` of every row, with the ``first`` row of its component.
+
+        ``first`` is null for rows without words.
+        """
+        labelled = handed_over(
+            self.classes.join(self.link(), "cid", "left").select(
+                "cid", "first", F.coalesce("label", "cid").alias("label")
+            )
+        )
+        firsts = labelled.groupBy("label").agg(F.min("first").alias("first"))
+        best = handed_over(labelled.select("cid", "label").join(firsts, "label").select("cid", "first"))
+        return self.rows.select("rid", "hash", "uid", "n", "cid").join(best, "cid", "left")
+
     def best_pairs(self, buckets, labels, tested, turn) -> DataFrame:
         """For each class the pivot of another component that most of its buckets name."""
         drawn = F.pmod(F.xxhash64("cid", "bucket", F.lit(turn)), F.lit(1 << 20)) + 1
@@ -451,21 +467,6 @@ class _Linker:
         )
 
 
-def _of_class(words: int):
-    def run(batches):
-        for batch in batches:
-            at = [batch.schema.names.index(c) for c in ("cid", "text")]
-            cids, texts = batch.column(at[0]).to_pylist(), batch.column(at[1]).to_pylist()
-            keep = []
-            for i, (cid, text) in enumerate(zip(cids, texts, strict=True)):
-                digest = blake2b(shingles(text, words).tobytes(), digest_size=8).digest()
-                if int.from_bytes(digest, "little", signed=True) == cid:
-                    keep.append(i)
-            yield batch.select(["cid", "text"]).take(pa.array(keep, pa.int64()))
-
-    return run
-
-
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after linking: the smallest label of each component.
 
@@ -498,26 +499,33 @@ def near_copies(
     docs: DataFrame, *, words: int = WORDS, threshold: tuple[int, int] = THRESHOLD
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
-    linker = _Linker(docs, words, threshold)
-    labels = linker.link()
-    best = linker.classes.join(labels, "cid", "left").select(
-        "cid", F.coalesce("label", "rep").alias("label")
-    )
-    found = linker.rows.select("rid", "n", "cid").join(handed_over(best), "cid", "left")
-    component = F.coalesce("label", "rid")
+    found = _Linker(docs, words, threshold).marked()
+    component = F.coalesce("first.rid", "rid")
+    nameless = (component == NO_ID) & F.col("first").isNotNull()
     return found.select(
         F.nullif("rid", F.lit(NO_ID)).alias("doc_id"),
         F.col("n").alias("n_shingles"),
         F.nullif(component, F.lit(NO_ID)).alias("component_id"),
-        (F.col("rid") == component).alias("kept"),
+        F.when(nameless, F.col("uid") == F.col("first.uid")).otherwise(F.col("rid") == component).alias("kept"),
     )
 
 
-def without_copies(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group, that with the smallest id; rows that repeat an id stay once."""
-    (mark,) = fresh(docs, "nth")
-    gone = near_copies(docs, **options).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    numbered = left.withColumn(mark, F.row_number().over(order))
-    return numbered.where((F.col(mark) == 1) | F.col("doc_id").isNull()).select(*docs.columns)
+def without_copies(
+    docs: DataFrame, *, words: int = WORDS, threshold: tuple[int, int] = THRESHOLD
+) -> DataFrame:
+    """One row of each group: of the smallest id, then of the smallest hash of its text.
+
+    Rows without words stay, those that also agree in an id and text once.
+    """
+    rid, digest, nth, alone = fresh(docs, "rid", "hash", "nth", "alone")
+    key = [c.alias(name) for c, name in zip(_row_key(), (rid, digest), strict=True)]
+    marked = _Linker(docs, words, threshold).marked()
+    other = (F.col("rid") != F.col("first.rid")) | (F.col("hash") != F.col("first.hash"))
+    gone = marked.where(other).select(F.col("rid").alias(rid), F.col("hash").alias(digest)).distinct()
+    # Rows that nothing can repeat get a number of their own, so that they do not meet in one task.
+    wordless = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    free = F.when(F.col("doc_id").isNull() & wordless, F.monotonically_increasing_id())
+    left = docs.select("*", *key, free.alias(alone)).join(gone, [rid, digest], "left_anti")
+    rest = [c for c, kind in docs.dtypes if "map<" not in kind]
+    order = Window.partitionBy(rid, digest, alone).orderBy(F.xxhash64(*rest))
+    return left.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).select(*docs.columns)

@@ -76,6 +76,27 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(r["doc_id"] for r in left.collect()) == sorted(kept)
 
 
+def test_rows_without_own_ids_are_told_apart(spark):
+    copy = "a copy of words that a numbered row has too"
+    again = "words that rows without an id alone have in common"
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [
+        (5, copy), (None, copy), (None, again), (None, again), (None, "clean words of its own and no others"),
+        (7, "one text under an id that comes again"), (7, "another text with that very same id here"),
+        (8, copy), (8, "a text whose id a copy has as well"), (9, ""), (9, ""), (None, None), (None, ""), (None, ""),
+        (None, near), (None, f"{near} end"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in near_copies.without_copies(docs).collect()), key=str)
+    one_of = [r for r in got if r[1] and r[1].startswith("w0 ")]
+    assert len(one_of) == 1
+    assert [r for r in got if r not in one_of] == sorted(
+        [rows[i] for i in (0, 2, 4, 5, 6, 8, 9, 11, 12, 13)], key=str
+    )
+    kept = [r for r in near_copies.near_copies(docs).collect() if r["component_id"] is None and r["n_shingles"]]
+    assert len(kept) == 5 and sum(r["kept"] for r in kept) == 3
+
+
 def test_empty_table(spark):
     assert found(near_copies.near_copies(nothing(spark))) == {}
     assert near_copies.without_copies(nothing(spark)).count() == 0
