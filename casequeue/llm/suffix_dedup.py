@@ -16,8 +16,8 @@ sends one row for each chunk to the sort.
 
 Bytes are those of UTF-8; null texts are empty; strings never cross documents. "Earlier" means a
 smaller id, null ids before all others; rows with equal ids are taken in the order of a hash of
-their text (at most 2**17 of them), identical rows in any order. Hashes have 64 bits for the digit
-and 64 for the whole, both of which must agree. An empty table has no rows.
+their text, identical rows in any order. Hashes have 64 bits for the digit and 64 for the whole, both
+of which must agree. An empty table has no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casequeue.llm.common import handed_over
+from casequeue.llm.common import handed_over, partitions
 from casequeue.llm.suffix_kernel import Hashed, Powers, anchors, mix
 
 DEPTH = 100
@@ -39,17 +39,17 @@ BUFFER_BYTES = 1 << 20
 CHUNK_ANCHORS = 500_000
 NO_ID = -(1 << 63)
 
-# place = nth | anchor | anchor - first window | anchor - last window | settled
-ROW_SCHEMA = "digit long, whole long, rid long, place long"
-_NAMES = ["digit", "whole", "rid", "place"]
+# place = anchor | anchor - first window | anchor - last window | settled
+ROW_SCHEMA = "digit long, whole long, rid long, nth long, place long"
+_NAMES = ["digit", "whole", "rid", "nth", "place"]
 
 
-def _place(nth, anchor, first, last, settled):
-    return nth << 46 | anchor << 15 | (anchor - first) << 8 | (anchor - last) << 1 | settled
+def _place(anchor, first, last, settled):
+    return anchor << 15 | (anchor - first) << 8 | (anchor - last) << 1 | settled
 
 
-def _batch(digit, whole, rid, place):
-    columns = [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in (digit, whole, rid, place)]
+def _batch(*parts):
+    columns = [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in parts]
     return pa.RecordBatch.from_arrays(columns, names=_NAMES)
 
 
@@ -87,7 +87,7 @@ def _first_pass(depth: int, digit: int):
         again = np.zeros(len(by), bool)
         again[by[1:]] = both[by[1:]] == both[by[:-1]]
         new = ~again
-        yield _batch(d[new], w[new], rid[new], _place(nth[new], x[new], lo[new], hi[new], 0))
+        yield _batch(d[new], w[new], rid[new], nth[new], _place(x[new], lo[new], hi[new], 0))
         at = np.flatnonzero(again)
         if len(at):
             # Neighbouring settled anchors of a document are one run of windows.
@@ -97,7 +97,7 @@ def _first_pass(depth: int, digit: int):
             ) + 1
             s, e = np.r_[0, cut], np.r_[cut, len(at)] - 1
             spread = mix(r[s], n[s], first[s])
-            yield _batch(spread, last[e].astype(np.uint64), r[s], _place(n[s], first[s], first[s], first[s], 1))
+            yield _batch(spread, last[e].astype(np.uint64), r[s], n[s], _place(first[s], first[s], first[s], 1))
 
     def run(batches):
         powers, buffers, parts, held = Powers(), _Buffers(), [], 0
@@ -156,7 +156,7 @@ def _next_pass(depth: int, cell: int):
             rid = np.array([f[0] for f in found], np.int64)[doc]
             nth = np.array([f[1] for f in found], np.int64)[doc]
             base = starts[doc]
-            return _batch(d, w, rid, _place(nth, x - base, first - base, last - base, 0))
+            return _batch(d, w, rid, nth, _place(x - base, first - base, last - base, 0))
 
         for batch in batches:
             ids, nths = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -176,7 +176,7 @@ def _next_pass(depth: int, cell: int):
 def _resolved(rows: DataFrame) -> DataFrame:
     """``rid, nth, anchor, first, last, settled`` of rows that are repeated or still open."""
     group = Window.partitionBy("digit")
-    ordered = group.orderBy("whole", "rid", "place")
+    ordered = group.orderBy("whole", "rid", "nth", "place")
     again = F.coalesce(F.lag("whole").over(ordered) == F.col("whole"), F.lit(False))
     seen = rows.select(
         "*",
@@ -184,13 +184,13 @@ def _resolved(rows: DataFrame) -> DataFrame:
         (F.min("whole").over(group) != F.max("whole").over(group)).alias("differ"),
     )
     local = F.col("place").bitwiseAND(1) == 1
-    anchor = F.shiftright("place", 15).bitwiseAND((1 << 31) - 1)
+    anchor = F.shiftright("place", 15)
     first = anchor - F.shiftright("place", 8).bitwiseAND(127)
     last = anchor - F.shiftright("place", 1).bitwiseAND(127)
     kept = seen.where(local | F.col("again") | F.col("differ"))
     return kept.select(
         "rid",
-        F.shiftright("place", 46).alias("nth"),
+        "nth",
         anchor.alias("anchor"),
         first.alias("first"),
         F.when(local, F.col("whole")).otherwise(last).alias("last"),
@@ -199,12 +199,19 @@ def _resolved(rows: DataFrame) -> DataFrame:
 
 
 def _identified(docs: DataFrame) -> DataFrame:
-    """``rid, nth, text``: ids without nulls, and the place among rows of equal id."""
+    """``rid, nth, text``: ids without nulls, and numbers in the order of rows of equal id.
+
+    Where ids repeat, rows are sorted in ranges of id, hash and a number of their own, which split an
+    id and a text alike, and written with their place in that order.
+    """
     rid = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rid")
     rows = docs.select(rid, "text")
     if rows.groupBy("rid").count().where("count > 1").limit(1).count():
-        order = Window.partitionBy("rid").orderBy(F.xxhash64("text"))
-        return rows.select("rid", (F.row_number().over(order) - 1).cast("long").alias("nth"), "text")
+        order = ("rid", "hash", "own")
+        own = F.monotonically_increasing_id().alias("own")
+        told = rows.select("rid", F.xxhash64("text").alias("hash"), own, "text")
+        ranged = told.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+        return handed_over(ranged.select("rid", F.monotonically_increasing_id().alias("nth"), "text"))
     return rows.select("rid", F.lit(0).cast("long").alias("nth"), "text")
 
 

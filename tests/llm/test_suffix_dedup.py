@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from casequeue.llm import suffix_dedup
 from casequeue.llm.suffix_kernel import Hashed, Powers, anchors
@@ -42,6 +43,16 @@ def test_repeated_and_null_ids(spark):
     assert got == brute(rows, 100)
 
 
+def test_many_rows_of_one_id(spark):
+    passage = "the very same passage of more than a hundred bytes, which many rows that have no id have alike " * 2
+    own = F.concat_ws(" ", F.sha2(F.col("id").cast("string"), 256), F.lit(passage), F.sha2(F.col("id").cast("string"), 384))
+    text = F.when(F.col("id") % 10_000 == 0, own).otherwise(F.col("id").cast("string"))
+    docs = spark.range(300_000).select(F.lit(None).cast("long").alias("doc_id"), text.alias("text"))
+    got = found(suffix_dedup.remove_repeats(docs).where("n_bytes > 100"))
+    rows = docs.where(F.length("text") > 100).orderBy(F.xxhash64("text")).collect()
+    assert len(got) == 30 and got == sorted(brute(rows, 100), key=lambda r: r[1:])
+
+
 def test_empty_table(spark):
     assert found(suffix_dedup.remove_repeats(nothing(spark))) == []
 
