@@ -2,13 +2,17 @@
 
 The text view sees which words occur and how the text is made (shares of capitals, marks, digits,
 repeated words and lines, lengths); the metadata view sees source, language and recorded length.
-Each fits a logistic model on labelled documents. Over ``ROUNDS`` rounds each view labels the
-documents of an unlabelled pool of which it is most sure, for the other view to train on. A logistic
-model over both views' log-odds, fitted on labelled documents that neither has seen, calibrates and
-combines them. The same is done for each target: ``quality`` and ``toxic``.
-
-Fitting uses bounded samples, chosen by a hash of the id: ``LABELLED`` labelled rows and a pool of
-``POOL`` documents. Every document is scored, on its whole text.
+Each fits a logistic model on labelled documents. In each of ``ROUNDS`` rounds both views score every
+unlabelled document, and each labels all of which it is sure for the other view to train on. Those
+come back as counts of documents by feature and value. Features that labelled rows hardly have get the
+log ratio of their rates among those documents as weight, times the mean coefficient that the ratios
+of the labelled rows' own features were fitted with. A logistic model over both views' log-odds, fitted on
+labelled documents that neither has seen, calibrates and combines them. The same is done for each
+target: ``quality`` and ``toxic``.
+
+At most ``LABELLED`` labelled rows, chosen by a hash of the id, are fitted on the driver, one document
+of each id. Features of all documents are written once, so a round reads no text. Every document is
+scored, on its whole text.
 
 Null texts count as empty; null metadata is a value of its own. Repeated rows are scored one by one.
 A target whose labels lack one of the two values gets its observed rate as score; without any label
@@ -27,12 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casequeue.llm.common import fresh
+from casequeue.llm.common import fresh, handed_over
 
-LABELLED = 8_000
-POOL = 3_000
+LABELLED = 12_000
 ROUNDS = 3
-TAUGHT = 200  # pseudo-labels of each value that a view gives in a round
 SURE = 0.95
 MIN_DOCUMENTS = 3  # of the training set, for a feature to count
 WORD_BITS = 18
@@ -130,6 +132,19 @@ class Rows:
         starts = ends - self.counts
         return Rows.of([self.index[starts[i] : ends[i]] for i in at])
 
+    @classmethod
+    def unpacked(cls, column: list[bytes]) -> Rows:
+        """Rows of ``_packed_features``."""
+        steps = np.frombuffer(b"".join(column), np.int32)
+        counts = np.array([len(b) // 4 for b in column], np.int64)
+        sums = np.concatenate([[0], np.cumsum(steps, dtype=np.int64)])
+        before = sums[np.cumsum(counts) - counts]
+        return cls((sums[1:] - np.repeat(before, counts)).astype(np.int32), counts)
+
+    def held_by(self, documents: np.ndarray, size: int) -> np.ndarray:
+        """Number of the marked documents that have each feature."""
+        return np.bincount(self.index[np.repeat(documents, self.counts)], minlength=size)
+
     def scores(self, weights: np.ndarray, bias: float) -> np.ndarray:
         owner = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
         return np.bincount(owner, weights[self.index], len(self.counts)) + bias
@@ -139,25 +154,33 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+@dataclass
+class Taught:
+    """Documents that the other view labelled: how many of each value have a feature, and in all."""
+
+    low: np.ndarray
+    high: np.ndarray
+    zeros: int
+    ones: int
+
+
 def fit_logistic(
-    rows: Rows, y: np.ndarray, size: int, steps: int = 80, l2: float = 1e-5
+    rows: Rows, y: np.ndarray, size: int, taught: Taught | None = None, steps: int = 80, l2: float = 1e-5
 ) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic model over binary features, by full-batch AdaGrad.
 
     A feature is scaled by its log ratio of rates under both values, so that a word which tells the
-    values apart learns faster than the many that do not.
+    values apart learns faster than the many that do not. Features of fewer than ``MIN_DOCUMENTS`` rows
+    have the ratio of ``taught``, if any, and the mean coefficient of the others.
     """
-    seen = np.bincount(rows.index, minlength=size) >= MIN_DOCUMENTS
-    kept = seen[rows.index]
-    owner = np.repeat(np.arange(len(rows.counts), dtype=np.int32), rows.counts)[kept]
-    names = np.flatnonzero(seen)
-    index = (np.cumsum(seen, dtype=np.int32) - 1)[rows.index[kept]]
-    ones, every = y.sum(), np.bincount(index, minlength=len(names))
-    high = np.bincount(index, y[owner], len(names))
+    every, ones = np.bincount(rows.index, minlength=size), y.sum()
+    owner = np.repeat(np.arange(len(rows.counts), dtype=np.int32), rows.counts)
+    high = np.bincount(rows.index, y[owner], size)
     ratio = np.log((high + 1) / (ones + 2)) - np.log((every - high + 1) / (len(y) - ones + 2))
-    telling = np.abs(ratio) >= LEAST_RATIO
-    kept, renumbered = telling[index], np.cumsum(telling, dtype=np.int32) - 1
-    owner, index, names, ratio = owner[kept], renumbered[index[kept]], names[telling], ratio[telling]
+    telling = (every >= MIN_DOCUMENTS) & (np.abs(ratio) >= LEAST_RATIO)
+    kept, names = telling[rows.index], np.flatnonzero(telling)
+    owner, index = owner[kept], (np.cumsum(telling, dtype=np.int32) - 1)[rows.index[kept]]
+    ratio = ratio[telling]
     scale = np.where(names >= 1 << WORD_BITS, SHAPE_SCALE, 1.0) * ratio
     v, squares, n = np.zeros(len(names)), np.full(len(names), 1e-8), len(y)
     rate = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
@@ -172,6 +195,13 @@ def fit_logistic(
         bias -= 0.1 * b / np.sqrt(bias_square)
     weights = np.zeros(size)
     weights[names] = v * scale
+    if taught is not None and len(names):
+        ones, zeros = taught.ones + y.sum(), taught.zeros + len(y) - y.sum()
+        share = ones / (ones + zeros)  # a rare feature has a ratio near 0 however unequal the values
+        low, high = every - high + taught.low, high + taught.high
+        ratio = np.log((high + 2 * share) / ones) - np.log((low + 2 * (1 - share)) / zeros)
+        new = (every < MIN_DOCUMENTS) & (high + low >= MIN_DOCUMENTS) & (np.abs(ratio) >= LEAST_RATIO)
+        weights[new] = v.mean() * ratio[new]
     return weights, float(bias)
 
 
@@ -198,44 +228,36 @@ def _fit_combined(views: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def co_train(text: Rows, meta: Rows, y: np.ndarray, pool_text: Rows, pool_meta: Rows) -> dict | None:
-    """Weights of both views and of their combination; None where ``y`` has one value only.
+_SIZES = (FEATURES, META_FEATURES)
 
-    ``y`` belongs to the labelled rows; every fifth of them is kept for the combination.
-    """
-    if len(y) < 10 or y.min() == y.max():
-        return None
-    held = np.arange(len(y)) % 5 == 0
-    if y[held].min() == y[held].max() or y[~held].min() == y[~held].max():
-        held = np.zeros(len(y), bool)
-    train = np.flatnonzero(~held)
-    sizes = (FEATURES, META_FEATURES)
-    labelled = [(text.take(train), y[train].astype(float)), (meta.take(train), y[train].astype(float))]
-    pools = (pool_text, pool_meta)
-    free = np.ones(len(pool_text.counts), bool)
-    models = [fit_logistic(r, t, s) for (r, t), s in zip(labelled, sizes, strict=True)]
-    for _ in range(ROUNDS):
-        taught = []
-        for view in (0, 1):
-            p = _sigmoid(pools[view].scores(*models[view]))
-            p[~free] = 0.5
-            order = np.argsort(p, kind="stable")
-            low = [i for i in order[:TAUGHT] if p[i] <= 1 - SURE]
-            high = [i for i in order[::-1][:TAUGHT] if p[i] >= SURE]
-            at = np.array(low + high, np.int64)
-            taught.append((at, np.array([0.0] * len(low) + [1.0] * len(high))))
-            free[at] = False
-        for view, (at, values) in ((1, taught[0]), (0, taught[1])):
-            rows, t = labelled[view]
-            more = pools[view].take(at)
-            labelled[view] = (
-                Rows(np.concatenate([rows.index, more.index]), np.concatenate([rows.counts, more.counts])),
-                np.concatenate([t, values]),
-            )
-        models = [fit_logistic(r, t, s) for (r, t), s in zip(labelled, sizes, strict=True)]
-    judge = np.flatnonzero(held) if held.any() else train
-    odds = [r.take(judge).scores(*m) for r, m in zip((text, meta), models, strict=True)]
-    return {"views": models, "combined": _fit_combined(np.column_stack(odds), y[judge].astype(float))}
+
+class _Learner:
+    """Both views of one target, over its labelled rows; every fifth is kept for the combination."""
+
+    def __init__(self, text: Rows, meta: Rows, y: np.ndarray):
+        held = np.arange(len(y)) % 5 == 0
+        if y[held].min() == y[held].max() or y[~held].min() == y[~held].max():
+            held = np.zeros(len(y), bool)
+        train = np.flatnonzero(~held)
+        judge = np.flatnonzero(held) if held.any() else train
+        self.y, self.judged = y[train].astype(float), y[judge].astype(float)
+        self.rows = [r.take(train) for r in (text, meta)]
+        self.judges = [r.take(judge) for r in (text, meta)]
+        self.learn((None, None))
+
+    def learn(self, taught: tuple) -> None:
+        self.models = [
+            fit_logistic(r, self.y, s, t) for r, s, t in zip(self.rows, _SIZES, taught, strict=True)
+        ]
+
+    def model(self) -> dict:
+        odds = [r.scores(*m) for r, m in zip(self.judges, self.models, strict=True)]
+        return {"views": self.models, "combined": _fit_combined(np.column_stack(odds), self.judged)}
+
+
+def _packed_features(found: np.ndarray) -> bytes:
+    """Steps between sorted feature numbers, which compress well."""
+    return np.diff(np.sort(found), prepend=np.int32(0)).astype(np.int32).tobytes()
 
 
 def _featured(batches):
@@ -245,14 +267,81 @@ def _featured(batches):
         rows = zip(columns["text"], columns["source"], columns["lang"], columns["n_chars"], strict=True)
         text, meta = [], []
         for t, s, g, n in rows:
-            text.append(text_features(t or "", words).tobytes())
-            meta.append(metadata_features(s, g, n).tobytes())
+            text.append(_packed_features(text_features(t or "", words)))
+            meta.append(_packed_features(metadata_features(s, g, n)))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("quality"), batch.column("toxic"), pa.array(text), pa.array(meta)],
-            names=["quality", "toxic", "text", "meta"],
+            [batch.column("i"), pa.array(text, pa.binary()), pa.array(meta, pa.binary())],
+            names=["i", "text", "meta"],
         )
 
 
+def _dense(models: dict) -> dict:
+    """Both views of packed models with an array of all weights."""
+    dense = {}
+    for target, model in models.items():
+        if "views" in model:
+            dense[target] = []
+            for (at, w, bias), size in zip(model["views"], _SIZES, strict=True):
+                full = np.zeros(size, np.float32)
+                full[at] = w
+                dense[target].append((full, bias))
+    return dense
+
+
+COUNTS = [f"{t}_{v}" for t in TARGETS for v in ("low", "high")]
+
+
+def _teaching(packed: dict):
+    """Counts of the documents that each view is sure of, by feature of the other; feature -1 is all."""
+
+    def run(batches):
+        dense = _dense(packed)
+        # By the view that learns.
+        found = [{c: np.zeros(size + 1, np.int64) for c in COUNTS} for size in _SIZES]
+        for batch in batches:
+            views = [Rows.unpacked(batch.column(c).to_pylist()) for c in ("text", "meta")]
+            for target, models in dense.items():
+                for teacher in (0, 1):
+                    p = _sigmoid(views[teacher].scores(*models[teacher]))
+                    learner, size = 1 - teacher, _SIZES[1 - teacher]
+                    for value, sure in (("low", p <= 1 - SURE), ("high", p >= SURE)):
+                        counts = found[learner][f"{target}_{value}"]
+                        counts[:size] += views[learner].held_by(sure, size)
+                        counts[size] += sure.sum()
+        for view, size in enumerate(_SIZES):
+            some = np.flatnonzero(np.sum([found[view][c] for c in COUNTS], axis=0))
+            names = np.where(some == size, -1, some)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(some), view, np.int32)), pa.array(names.astype(np.int32))]
+                + [pa.array(found[view][c][some]) for c in COUNTS],
+                names=["view", "feature", *COUNTS],
+            )
+
+    return run
+
+
+def _lessons(pool: DataFrame, learners: dict) -> dict:
+    """For each target what each view learns from all documents of ``pool``."""
+    packed = {t: _packed({"views": x.models, "combined": None}) for t, x in learners.items()}
+    schema = "view int, feature int, " + ", ".join(f"{c} long" for c in COUNTS)
+    counted = pool.select("text", "meta").mapInArrow(_teaching(packed), schema)
+    sums = counted.groupBy("view", "feature").agg(*(F.sum(c).alias(c) for c in COUNTS))
+    rows = sums.toArrow()  # at most one row for each feature number
+    view, feature = (rows.column(c).to_numpy() for c in ("view", "feature"))
+    lessons = {}
+    for target in learners:
+        lessons[target] = []
+        for at, size in enumerate(_SIZES):
+            counts = []
+            for value in ("low", "high"):
+                every = np.zeros(size + 1, np.int64)
+                every[feature[view == at]] = rows.column(f"{target}_{value}").to_numpy()[view == at]
+                counts.append(every)
+            low, high = counts
+            lessons[target].append(Taught(low[:size], high[:size], int(low[size]), int(high[size])))
+    return lessons
+
+
 def _metadata(docs: DataFrame) -> list:
     """The metadata columns, null where ``docs`` lacks one."""
     kinds = {"source": "string", "lang": "string", "n_chars": "long"}
@@ -261,41 +350,45 @@ def _metadata(docs: DataFrame) -> list:
     ]
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, pool: int = POOL) -> dict:
-    """A model for each target, fitted on the driver from bounded samples."""
+def fit(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED) -> dict:
+    """A model for each target, from a bounded sample of labelled rows and all unlabelled documents."""
     known = labels.where(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long").alias("i"),
         F.col("quality").cast("int").alias("quality"),
         F.col("toxic").cast("int").alias("toxic"),
     )
+    ids = known.where("quality is not null or toxic is not null").select("i").distinct()
     chosen = known.join(docs.select(F.col("doc_id").cast("long").alias("i")), "i", "left_semi")
-    chosen = chosen.orderBy(F.xxhash64("i"), "quality", "toxic").limit(labelled)
-    spare = docs.select(F.col("doc_id").cast("long").alias("i")).where("i is not null")
-    spare = spare.orderBy(F.xxhash64("i", F.lit("pool")), "i").limit(pool)
-    none = F.lit(None).cast("int")
-    # At most ``labelled + pool`` rows.
-    sample = F.broadcast(
-        chosen.unionByName(spare.select("i", none.alias("quality"), none.alias("toxic")))
-    )
+    # At most ``labelled`` rows.
+    chosen = chosen.orderBy(F.xxhash64("i"), "quality", "toxic").limit(labelled).collect()
+    chosen = docs.sparkSession.createDataFrame(chosen, "i long, quality int, toxic int")
     texts = docs.select(F.col("doc_id").cast("long").alias("i"), "text", *_metadata(docs))
-    rows = (
-        texts.join(sample, "i")
-        .drop("i")
-        .mapInArrow(_featured, "quality int, toxic int, text binary, meta binary")
-        .collect()
+    features = texts.mapInArrow(_featured, "i long, text binary, meta binary")
+    features = handed_over(features.join(ids.withColumn("known", F.lit(True)), "i", "left"))
+    firsts = (
+        features.where("known")
+        .join(F.broadcast(chosen.select("i").distinct()), "i", "left_semi")
+        .groupBy("i")
+        .agg(F.min(F.struct("text", "meta")).alias("f"))
     )
+    rows = firsts.join(F.broadcast(chosen), "i").select("quality", "toxic", "f.text", "f.meta").collect()
     rows.sort(key=lambda r: (zlib.crc32(r["text"]), bytes(r["text"]), bytes(r["meta"])))
-    text = Rows.of([np.frombuffer(r["text"], np.int32) for r in rows])
-    meta = Rows.of([np.frombuffer(r["meta"], np.int32) for r in rows])
+    text, meta = (Rows.unpacked([bytes(r[c]) for r in rows]) for c in ("text", "meta"))
     rows = [{t: r[t] for t in TARGETS} for r in rows]  # the features are held once
-    unlabelled = np.flatnonzero([r["quality"] is None and r["toxic"] is None for r in rows])
-    models = {}
+    models, learners = {}, {}
     for target, neutral in TARGETS.items():
         at = np.flatnonzero([r[target] is not None for r in rows])
         y = np.array([rows[i][target] for i in at], float)
-        found = co_train(text.take(at), meta.take(at), y, text.take(unlabelled), meta.take(unlabelled))
-        models[target] = found or {"rate": float(y.mean()) if len(y) else neutral}
-    return models
+        if len(y) < 10 or y.min() == y.max():
+            models[target] = {"rate": float(y.mean()) if len(y) else neutral}
+        else:
+            learners[target] = _Learner(text.take(at), meta.take(at), y)
+    pool = features.where("known is null")
+    for _ in range(ROUNDS if learners else 0):
+        for target, taught in _lessons(pool, learners).items():
+            learners[target].learn(taught)
+    models |= {target: learner.model() for target, learner in learners.items()}
+    return {target: models[target] for target in TARGETS}
 
 
 def _packed(model: dict) -> dict:
@@ -311,14 +404,7 @@ def _packed(model: dict) -> dict:
 
 def _scored(models: dict):
     def run(batches):
-        words, dense = _WORDS, {}
-        for target, model in models.items():
-            if "views" in model:
-                dense[target] = []
-                for (at, w, bias), size in zip(model["views"], (FEATURES, META_FEATURES), strict=True):
-                    full = np.zeros(size, np.float32)
-                    full[at] = w
-                    dense[target].append((full, bias))
+        words, dense = _WORDS, _dense(models)
         for batch in batches:
             columns = batch.to_pydict()
             rows = zip(columns["text"], columns["source"], columns["lang"], columns["n_chars"], strict=True)

@@ -41,6 +41,19 @@ def test_kept_rows_are_those_scored_to_keep(spark):
     assert {i for i in range(80) if i % 3} <= {x[0] for x in kept.select("doc_id").collect()}
 
 
+def test_every_unlabelled_document_teaches(spark):
+    """A word that no labelled document has is learned from a few documents among many."""
+    r = random.Random(2)
+    kinds = {"s1": "river stone grass", "s2": "spam%% click!! now%%"}
+    made = [(i, f"{kinds['s1' if i % 3 else 's2']} {r.random()}", "s1" if i % 3 else "s2") for i in range(6000)]
+    made += [(6000 + i, f"rarity {r.random()}", "s2") for i in range(30)] + [(None, f"rarity {i}", "s2") for i in range(30)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0, "") for i in range(1200)], LABELS)
+    view, _ = quality.fit(docs, labels)["quality"]["views"]
+    weights, _ = view
+    assert weights[quality._WORDS["rarity"][0]] < 0
+
+
 def test_without_labels_all_stay(spark):
     docs = documents(spark)
     none = spark.createDataFrame([], LABELS)
