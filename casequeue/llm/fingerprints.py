@@ -10,6 +10,10 @@ Null texts count as empty: no leaves, the root of nothing. Equal texts have equa
 
 from __future__ import annotations
 
+import re
+from difflib import SequenceMatcher
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,25 +56,55 @@ def likeness(left: Column, right: Column, left_root: Column, right_root: Column)
     )
 
 
-def _parts(joined: Column, width: int) -> Column:
-    return F.regexp_extract_all(joined, F.lit(f".{{{width}}}"), F.lit(0))
+def _matched(before: list, after: list) -> list[tuple[int, int, int, int]]:
+    """Spans that differ once elements equal in order are paired, each with one at most."""
+    start, most = 0, min(len(before), len(after))
+    while start < most and before[start] == after[start]:
+        start += 1
+    end = 0
+    while end < most - start and before[-1 - end] == after[-1 - end]:
+        end += 1
+    left, right = before[start : len(before) - end], after[start : len(after) - end]
+    codes = SequenceMatcher(None, left, right, autojunk=False).get_opcodes()
+    return [tuple(start + x for x in code[1:]) for code in codes if code[0] != "equal"]
+
+
+def _edits(before: str | None, after: str | None) -> list[tuple[int, int, int, int]] | None:
+    if before is None or after is None:
+        return None
+    old, new = before.split(":"), after.split(":")
+    if old[0] == new[0]:
+        return []
+    sections, leaves, starts = [], [], []
+    for _, hashes, joined in (old, new):
+        sections.append(re.findall(f".{{{SECTION_HEX}}}", hashes))
+        leaves.append(re.findall(f".{{{LEAF_HEX}}}", joined))
+        sizes = (len(found) // LEAF_HEX for found in re.findall(SECTION, joined))
+        starts.append(list(accumulate(sizes, initial=0)))
+    found = []
+    for i, j, k, m in _matched(*sections):
+        i, j, k, m = starts[0][i], starts[0][j], starts[1][k], starts[1][m]
+        spans = _matched(leaves[0][i:j], leaves[1][k:m])
+        found += [(i + a, i + b, k + c, k + d) for a, b, c, d in spans]
+    return found
+
+
+def edits(before: Column, after: Column) -> Column:
+    """Places where the texts of two fingerprints differ, in order: ``start, end, new_start, new_end``.
+
+    Leaves ``start`` to before ``end`` (from 0) of the one are leaves ``new_start`` to before ``new_end``
+    of the other; an insertion has no leaves of the one, a deletion none of the other, and what moved is
+    both. Works on fingerprints alone: nothing for equal roots; sections equal in order are dropped,
+    and the leaves of the others are paired in order. Null for a null fingerprint.
+    """
+    kind = "array<struct<start: int, end: int, new_start: int, new_end: int>>"
+    return F.udf(_edits, kind)(before, after)
 
 
 def changed_leaves(before: Column, after: Column) -> Column:
-    """Positions (from 0) of leaves of ``before`` that ``after`` lacks.
-
-    Works on fingerprints alone: nothing for equal roots, else the leaves whose hash is in no
-    section that both have.
-    """
-    root, leaves = F.split_part(before, F.lit(":"), F.lit(1)), F.split_part(before, F.lit(":"), F.lit(3))
-    own = _parts(leaves, LEAF_HEX)
-    other = F.array_distinct(_parts(F.split_part(after, F.lit(":"), F.lit(3)), LEAF_HEX))
-    at = F.filter(
-        F.transform(own, lambda leaf, i: F.when(~F.array_contains(other, leaf), i)),
-        lambda i: i.isNotNull(),
-    )
-    same = root == F.split_part(after, F.lit(":"), F.lit(1))
-    return F.when(same, F.array().cast("array<int>")).otherwise(at)
+    """Positions (from 0) of leaves of ``before`` that are replaced, moved or deleted in ``after``."""
+    spans = F.filter(edits(before, after), lambda e: e["end"] > e["start"])
+    return F.flatten(F.transform(spans, lambda e: F.sequence(e["start"], e["end"] - 1)))
 
 
 def with_next(

@@ -31,6 +31,35 @@ def test_equal_texts_and_changed_leaves(spark):
     assert got[3] == (False, list(range(30)))
 
 
+def test_edits_have_places_in_both_texts(spark):
+    page = [f"line {i} of the page\n" for i in range(300)]
+    again = ["a line that comes again\n"] * 3
+    cases = [
+        (page, page[:40] + ["inserted\n"] + page[40:], [(40, 40, 40, 41)]),
+        (page, page[:40] + page[41:], [(40, 41, 40, 40)]),
+        (page, page[:40] + [page[200]] + page[41:], [(40, 41, 40, 41)]),
+        (page, page[:40] + page[41:250] + [page[40]] + page[250:], [(40, 41, 40, 40), (250, 250, 249, 250)]),
+        ([*again, *page], [*again[1:], *page], [(2, 3, 2, 2)]),
+        (page, [*page[:100], *page[50:60], *page[100:]], [(100, 100, 100, 110)]),
+        ([], page[:5], [(0, 0, 0, 5)]),
+        (page, page, []),
+    ]
+    rows = [(i, "".join(a), "".join(b)) for i, (a, b, _) in enumerate(cases)]
+    trees = spark.createDataFrame(rows, "i int, a string, b string").select(
+        "i", *(fingerprints.fingerprint(F.col(c)).alias(c) for c in "ab")
+    )
+    found = trees.select("i", fingerprints.edits(F.col("a"), F.col("b")).alias("e"), fingerprints.changed_leaves(F.col("a"), F.col("b")).alias("c"))
+    for r in found.collect():
+        before, after, want = cases[r["i"]]
+        assert [tuple(e) for e in r["e"]] == want
+        assert r["c"] == [p for start, end, _, _ in want for p in range(start, end)]
+        made, at = [], 0
+        for start, end, new, new_end in want:
+            made += [*before[at:start], *after[new:new_end]]
+            at = end
+        assert made + before[at:] == after
+
+
 def test_next_rows(spark):
     one = spark.createDataFrame([(1, "only", "x")], "doc_id long, text string, chunk string")
     assert [tuple(r) for r in fingerprints.with_next(one).collect()] == [(1, "only", "x", "only")]
