@@ -353,12 +353,12 @@ class _Linker:
         if not members.limit(1).count():
             return labels
         self.gather(members)
-        tested = None
+        tested = self.spark.createDataFrame([], "a long, b long")
         for turn in range(ROUNDS):
             pairs = handed_over(self.best_pairs(buckets, labels, tested, turn))
             if not pairs.limit(1).count():
                 break
-            tested = pairs if tested is None else tested.unionByName(pairs)
+            tested = tested.unionByName(pairs)
             labels = merged(labels, self.verify(pairs))
         return merged(labels, self.compared(buckets, labels, tested))
 
@@ -393,9 +393,8 @@ class _Linker:
         )
         met = open_rows.join(pivots, "bucket").where("label <> pivot_label")
         counted = met.groupBy(F.col("cid").alias("b"), "a").count()
-        if tested is not None:
-            both = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            counted = counted.join(both, ["a", "b"], "left_anti")
+        both = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        counted = counted.join(both, ["a", "b"], "left_anti")
         return counted.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
 
     def compared(self, buckets, labels, tested) -> DataFrame:

@@ -97,6 +97,16 @@ def test_rows_without_own_ids_are_told_apart(spark):
     assert len(kept) == 5 and sum(r["kept"] for r in kept) == 3
 
 
+def test_near_copies_of_one_id_alone(spark):
+    near = " ".join(f"w{i}" for i in range(60))
+    for i in (None, 3):
+        docs = spark.createDataFrame([(i, near), (i, f"{near} end"), (i, "words apart")], "doc_id long, text string")
+        got = [(r["n_shingles"], r["component_id"], r["kept"]) for r in near_copies.near_copies(docs).collect()]
+        assert [g[1] for g in got] == [i] * 3
+        assert sum(g[2] for g in got) == (2 if i is None else 3)
+        assert near_copies.without_copies(docs).count() == 2
+
+
 def test_empty_table(spark):
     assert found(near_copies.near_copies(nothing(spark))) == {}
     assert near_copies.without_copies(nothing(spark)).count() == 0
