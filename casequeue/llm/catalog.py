@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("queries_native", "queries_tokens", "queries_models", "queries_dedup")
+MODULES = (
+    "queries_native",
+    "queries_tokens",
+    "queries_models",
+    "queries_dedup",
+    "queries_pages",
+)
 
 
 def _merged(attribute: str) -> dict:
