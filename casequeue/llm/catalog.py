@@ -10,6 +10,7 @@ MODULES = (
     "queries_models",
     "queries_dedup",
     "queries_pages",
+    "queries_spelling",
 )
 
 
