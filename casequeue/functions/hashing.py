@@ -37,22 +37,43 @@ def hash_rank(seed: int, c: Column) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}|"), c.cast("string")), 256)
 
 
-_LANES = 16
+LEAF_ROWS = 4_096  # different row hashes of a leaf at most, on average
+_LEVELS = 7  # of 256 times as many leaves each
 
 
-def rowset_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row `(row_count, rowset_sha256)` naming a multiset of rows.
+def hash_tree(hashes: DataFrame) -> DataFrame:
+    """One row `(row_count, rowset_sha256)` naming a multiset of SHA-256 hex strings `h`.
 
-    Each row's SHA-256 is cut into 16 lanes of 16 bits; lanes are summed, and
-    the sums are hashed together with the row count. Sums combine on the map
-    side, so no row order, sort or collected list is needed at any size.
+    Different hashes, sorted, each with its count, make leaves by a prefix; the digests of leaves are
+    hashed by the first half of the prefix, and those once more, with the row count. The prefix grows
+    by two digits whenever leaves would exceed `LEAF_ROWS` on average, so no node of the tree holds more than
+    about the square root of what lies below it. Copies of a row are one counted entry, added up before the shuffle;
+    hashes spread evenly, so neither order nor layout of rows matters, nor do hot values.
     """
-    hashed = df.select(row_sha256(columns or df.columns).alias("h"))
-    lanes = [
-        F.sum(F.conv(F.substring("h", 1 + 4 * i, 4), 16, 10).cast("bigint")).alias(f"lane{i}")
-        for i in range(_LANES)
-    ]
-    sums = hashed.agg(F.count("*").alias("row_count"), *lanes)
-    parts = [F.coalesce(F.col(f"lane{i}"), F.lit(0)).cast("string") for i in range(_LANES)]
-    body = F.concat_ws("|", F.col("row_count").cast("string"), *parts)
-    return sums.select("row_count", F.sha2(body, 256).alias("rowset_sha256"))
+    counted = hashes.groupBy("h").agg(F.count("*").alias("n"))
+    different = counted.agg(F.count("*").alias("d"))
+    pairs = sum(
+        (F.col("d") > F.lit(LEAF_ROWS * 256**k)).cast("int") for k in range(_LEVELS)
+    )
+    depth = different.select((pairs * 2).alias("depth")).scalar()
+
+    def digest(entries: Column) -> Column:
+        return F.sha2(F.array_join(F.array_sort(F.collect_list(entries)), ","), 256)
+
+    leaves = counted.groupBy(F.left("h", depth).alias("prefix")).agg(
+        digest(F.concat_ws(":", "h", F.col("n").cast("string"))).alias("digest"), F.sum("n").alias("n")
+    )
+    branches = leaves.groupBy(F.left("prefix", (depth / 2).cast("int")).alias("prefix")).agg(
+        digest(F.concat_ws(":", "prefix", "digest")).alias("digest"), F.sum("n").alias("n")
+    )
+    root = branches.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
+        F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "prefix", "digest"))), ",").alias("all"),
+    )
+    body = F.concat_ws("|", F.col("row_count").cast("string"), "all")
+    return root.select("row_count", F.sha2(body, 256).alias("rowset_sha256"))
+
+
+def rowset_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """One row `(row_count, rowset_sha256)` naming a multiset of rows in any order."""
+    return hash_tree(df.select(row_sha256(columns or df.columns).alias("h")))

@@ -2,27 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
-import pandas as pd
-from pyspark import StorageLevel, inheritable_thread_target, keyword_only
-from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.ml.param.shared import HasInputCol, HasOutputCol
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casequeue.functions.probability import argmax_class, confidence, softmax
-from casequeue.functions.text import accent_free, narrative_group, strip, with_bigrams, words
+from casequeue.functions.text import narrative_group, strip
 from casequeue.operators import metrics
+from casequeue.operators.features import narrative_terms, numbered_terms, products, tfidf_vectors
+from casequeue.operators.solver import Balance, Objective, minimize, pack_rows
+from casequeue.sources.handover import shared_folder, written
 
 # Fixed values of the router.
 DEFAULT_FEATURES = 40_000
@@ -31,7 +24,6 @@ MANY_TRAINING_ROWS = 1_000
 ALPHA = 1e-5
 MAX_ITERATIONS = 60
 TOLERANCE = 1e-3
-PARALLEL_FITS = 4
 
 
 def dedup_narratives(rows: DataFrame) -> DataFrame:
@@ -61,42 +53,6 @@ def dedup_report(rows: DataFrame) -> DataFrame:
     )
 
 
-class NarrativeTerms(
-    Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable
-):
-    """Words of two or more characters without case and accents, and their bigrams."""
-
-    @keyword_only
-    def __init__(self, *, inputCol: str | None = None, outputCol: str | None = None):
-        super().__init__()
-        self._set(**self._input_kwargs)
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        tokens = words(accent_free(F.col(self.getInputCol())))
-        # Named first, so the extraction is not repeated for each bigram side.
-        staged = dataset.withColumn("_words", tokens)
-        return staged.withColumn(self.getOutputCol(), with_bigrams(F.col("_words"))).drop("_words")
-
-
-class SublinearCounts(
-    Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable
-):
-    """Term counts n as 1 + ln n."""
-
-    @keyword_only
-    def __init__(self, *, inputCol: str | None = None, outputCol: str | None = None):
-        super().__init__()
-        self._set(**self._input_kwargs)
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        # A vector column arrives and leaves as a frame of its struct fields.
-        def damp(vectors: pd.DataFrame) -> pd.DataFrame:
-            return vectors.assign(values=[1.0 + np.log(n) for n in vectors["values"]])
-
-        damped = F.pandas_udf(damp, VectorUDT())
-        return dataset.withColumn(self.getOutputCol(), damped(F.col(self.getInputCol())))
-
-
 def usual_minimum(rows: int) -> int:
     """Documents a term must occur in, by the contract's rule for a training set."""
     return 2 if rows >= MANY_TRAINING_ROWS else 1
@@ -154,44 +110,18 @@ def vocabulary(
     )
 
 
-def tfidf_stages(
+def fit_terms(
     train: DataFrame,
     rows: int,
     text: str = "narrative",
     *,
     minimum_documents: int | None = None,
     features: int = DEFAULT_FEATURES,
-) -> list[Transformer]:
-    """Fit text to L2-normalized TF-IDF vectors in `features`.
-
-    The text is read once: vocabulary rows carry the weights. A model holds its
-    terms on the driver, so `features` bounds them.
-    """
-    split_text = NarrativeTerms(inputCol=text, outputCol="terms")
-    terms = split_text.transform(train).select("terms")
+) -> DataFrame:
+    """`term, term_count, document_count, idf, index` of the `features` most frequent terms."""
     least = minimum_documents or usual_minimum(rows)
-    kept = vocabulary(terms, rows, minimum_documents=least, features=features).collect()
-    counter = CountVectorizerModel.from_vocabulary(
-        [r["term"] for r in kept], inputCol="terms", outputCol="counts"
-    )
-    return [
-        split_text,
-        counter,
-        SublinearCounts(inputCol="counts", outputCol="damped"),
-        ElementwiseProduct(
-            scalingVec=Vectors.dense([r["idf"] for r in kept]),
-            inputCol="damped",
-            outputCol="weighted",
-        ),
-        Normalizer(p=2.0, inputCol="weighted", outputCol="features"),
-    ]
-
-
-_FEATURE_STEPS = ("terms", "counts", "damped", "weighted")
-
-
-def tfidf_features(df: DataFrame, stages: Sequence[Transformer]) -> DataFrame:
-    return PipelineModel(list(stages)).transform(df).drop(*_FEATURE_STEPS)
+    cut = narrative_terms(train.select(text), text).select("terms")
+    return numbered_terms(vocabulary(cut, rows, minimum_documents=least, features=features))
 
 
 def class_sizes(train: DataFrame) -> dict[str, int]:
@@ -203,63 +133,67 @@ def class_sizes(train: DataFrame) -> dict[str, int]:
     return {r["label"]: r["n"] for r in rows}
 
 
-def fit_classifiers(features: DataFrame, sizes: dict[str, int]) -> list:
-    """One balanced logistic model per class against the rest.
+def labelled_blocks(
+    train: DataFrame, terms: DataFrame, features: int, classes: list[str], key: str, text: str
+) -> DataFrame:
+    """Packed vectors of training rows with the place of their label in `classes`."""
+    place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")) - 1
+    labels = train.select(key, place.cast("int").alias("label_index"))
+    return pack_rows(tfidf_vectors(train, terms, features, key, text).join(labels, key))
+
+
+def with_coefficients(terms: DataFrame, weights: np.ndarray) -> DataFrame:
+    """Terms with the row of weights at their index, as `coefficients`."""
+    rows = [(i, row) for i, row in enumerate(weights[:-1].tolist())]
+    shape = "index int, coefficients array<double>"
+    return terms.join(F.broadcast(terms.sparkSession.createDataFrame(rows, shape)), "index")
+
 
-    A class weighs `n / (K * n_c)` against 1 for the rest. Two classes need one
-    model, whose sides are both balanced.
+def fit_classifiers(
+    train: DataFrame, terms: DataFrame, sizes: dict[str, int], key: str = "complaint_id", text: str = "narrative"
+) -> np.ndarray:
+    """Weights of balanced logistic models, one per class against the rest, terms by classes.
+
+    The last row holds the intercepts. Two classes share one model, the second one's.
     """
-    total, count = sum(sizes.values()), len(sizes)
-    balanced = {label: total / (count * n) for label, n in sizes.items()}
-    targets = list(sizes)[1:] if count == 2 else list(sizes)
-
-    def fit(number: int, target: str):
-        rest = balanced[next(iter(sizes))] if count == 2 else 1.0
-        is_target = F.col("label") == target
-        weighted = features.withColumns(
-            {
-                "is_target": is_target.cast("double"),
-                "weight": F.when(is_target, balanced[target]).otherwise(rest),
-            }
-        )
-        weight_sum = balanced[target] * sizes[target] + rest * (total - sizes[target])
-        return LogisticRegression(
-            featuresCol="features",
-            labelCol="is_target",
-            weightCol="weight",
-            # The loss is averaged over weights here, over rows in the contract.
-            regParam=ALPHA * total / weight_sum,
-            standardization=False,
-            maxIter=MAX_ITERATIONS,
-            tol=TOLERANCE,
-            rawPredictionCol=f"margin_{number}",
-            probabilityCol="",
-            predictionCol="",
-        ).fit(weighted)
-
-    # The fits share the cached features and leave room for each other's stages.
-    with ThreadPool(min(len(targets), PARALLEL_FITS)) as pool:
-        return pool.starmap(inheritable_thread_target(features.sparkSession)(fit), enumerate(targets))
+    features = terms.agg(F.count("*")).first()[0]
+    blocks = labelled_blocks(train, terms, features, list(sizes), key, text).persist(
+        StorageLevel.MEMORY_AND_DISK
+    )
+    try:
+        objective = Objective(blocks, features, Balance.of(sizes), ALPHA)
+        return minimize(objective, MAX_ITERATIONS, TOLERANCE)
+    finally:
+        blocks.unpersist()
 
 
 @dataclass
 class RouterModel:
-    """Fitted stages with the calibration that turns margins into decisions."""
+    """Terms with their coefficients, and the calibration that turns margins into decisions.
 
-    pipeline: PipelineModel
+    `terms` has `term, idf, index, coefficients`, one coefficient for each model.
+    """
+
+    terms: DataFrame
     classes: list[str]
+    intercepts: list[float]
+    features: int
     temperature: float = 1.0
     threshold: float = 0.0
+    key: str = "complaint_id"
+    text: str = "narrative"
 
     def logits(self, df: DataFrame) -> DataFrame:
-        """Add `logits`: one margin per class; two classes share one margin."""
-        width = 1 if len(self.classes) == 2 else len(self.classes)
-        columns = [f"margin_{k}" for k in range(width)]
-        margins = [vector_to_array(F.col(c))[1] for c in columns]
-        if width == 1:
+        """Add `logits`: one margin per class; two classes share one margin.
+
+        `key` identifies a row; the product is a join of its terms with the model's.
+        """
+        width = len(self.intercepts)
+        found = products(df, self.terms, self.features, width, self.key, self.text)
+        margins = [F.get("products", F.lit(k)) + F.lit(self.intercepts[k]) for k in range(width)]
+        if len(self.classes) == 2:
             margins = [-margins[0] / F.lit(2.0), margins[0] / F.lit(2.0)]
-        scored = self.pipeline.transform(df).withColumn("logits", F.array(*margins))
-        return scored.drop(*_FEATURE_STEPS, "features", *columns)
+        return df.join(found.select(self.key, F.array(*margins).alias("logits")), self.key, "left")
 
     def probabilities(self, df: DataFrame) -> DataFrame:
         return self.logits(df).withColumn(
@@ -267,48 +201,24 @@ class RouterModel:
         )
 
     def score(self, df: DataFrame) -> DataFrame:
-        """Add class, confidence and abstention; rows without text abstain.
-
-        Scores come from the row's own text, so no join back is needed.
-        """
-        has_text = F.coalesce(strip(F.col("narrative")), F.lit("")) != ""
-        readable = df.withColumn("_text", F.coalesce("narrative", F.lit("")))
-        scored = self.probabilities(
-            readable.withColumnRenamed("narrative", "_narrative").withColumnRenamed(
-                "_text", "narrative"
-            )
-        )
+        """Add class, confidence and abstention; rows without text abstain."""
+        has_text = F.coalesce(strip(F.col(self.text)), F.lit("")) != ""
         p = F.col("probabilities")
+        # A row without a key meets no scores; it abstains like one without text.
+        scored = has_text & p.isNotNull()
         return (
-            scored.drop("narrative")
-            .withColumnRenamed("_narrative", "narrative")
+            self.probabilities(df)
             .withColumns(
                 {
-                    "predicted_product": F.when(has_text, argmax_class(p, self.classes)),
-                    "prediction_confidence": F.when(has_text, confidence(p)),
-                    "prediction_abstained": ~has_text | (confidence(p) < self.threshold),
+                    "predicted_product": F.when(scored, argmax_class(p, self.classes)),
+                    "prediction_confidence": F.when(scored, confidence(p)),
+                    "prediction_abstained": ~scored
+                    | F.coalesce(confidence(p) < self.threshold, F.lit(True)),
                 }
             )
             .drop("logits", "probabilities")
         )
 
-    def save(self, path: str) -> None:
-        spark = SparkSession.active()
-        self.pipeline.write().overwrite().save(f"{path}/stages")
-        parameters = spark.range(1).select(
-            F.array(*[F.lit(c) for c in self.classes]).alias("classes"),
-            F.lit(float(self.temperature)).alias("temperature"),
-            F.lit(float(self.threshold)).alias("threshold"),
-        )
-        parameters.write.mode("overwrite").parquet(f"{path}/parameters")
-
-    @staticmethod
-    def load(path: str) -> RouterModel:
-        spark = SparkSession.active()
-        row = spark.read.parquet(f"{path}/parameters").first()
-        stages = PipelineModel.load(f"{path}/stages")
-        return RouterModel(stages, list(row["classes"]), row["temperature"], row["threshold"])
-
 
 def apply_scores(cases: DataFrame, scores: DataFrame) -> DataFrame:
     """Cases with the predictions of a score table; unscored cases abstain."""
@@ -356,32 +266,27 @@ def train_router(
     """Train, calibrate and evaluate on complete months, oldest to newest.
 
     `rows` are eligible narratives. Copies are removed before the split, so a
-    text never sits on both sides of it. With a `workspace` folder, which all
-    executors must see, the deduplicated rows are written there and read back.
+    text never sits on both sides of it. Deduplicated rows and the model's terms are written
+    to `workspace`, a folder that all executors see, by default a new one in the shared folder.
     """
-    unique = dedup_narratives(rows)
-    if workspace is not None:
-        unique.write.mode("overwrite").parquet(f"{workspace}/unique")
-        unique = rows.sparkSession.read.schema(unique.schema).parquet(f"{workspace}/unique")
+    workspace = workspace or shared_folder(rows.sparkSession)
+    unique = written(dedup_narratives(rows), f"{workspace}/unique")
     split = metrics.chronological_split(
         unique, as_of=as_of, test_months=test_months
     ).withColumnRenamed("product", "label")
     train = split.where("role = 'train'")
     sizes = class_sizes(train)
-    stages = tfidf_stages(
-        train, sum(sizes.values()), minimum_documents=minimum_documents, features=max_features
+    terms = written(
+        fit_terms(train, sum(sizes.values()), minimum_documents=minimum_documents, features=max_features),
+        f"{workspace}/terms",
     )
-    features = (
-        tfidf_features(train, stages)
-        .select("label", "features")
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    weights = fit_classifiers(train, terms, sizes)
+    model = RouterModel(
+        written(with_coefficients(terms, weights), f"{workspace}/model"),
+        list(sizes),
+        weights[-1].tolist(),
+        len(weights) - 1,
     )
-    try:
-        model = RouterModel(
-            PipelineModel([*stages, *fit_classifiers(features, sizes)]), list(sizes)
-        )
-    finally:
-        features.unpersist()
 
     def kept_row(report: DataFrame) -> tuple[DataFrame, dict]:
         """A one-row report and its values, computed once."""

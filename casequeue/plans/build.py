@@ -16,7 +16,7 @@ from casequeue.functions.hashing import rowset_fingerprint
 from casequeue.functions.text import iso_date
 from casequeue.operators import lineage, quality, router, sampling, views, volume
 from casequeue.schemas import SNAPSHOT
-from casequeue.sources import manifests, search_pages, snapshot
+from casequeue.sources import manifests, models, search_pages, snapshot
 
 SNAPSHOT_COLUMNS = SNAPSHOT.fieldNames()
 
@@ -118,7 +118,7 @@ def route_complaints(
         test_months=test_months,
         workspace=paths.of("router_work"),
     )
-    trained.model.save(paths.of("router"))
+    models.save_model(trained.model, paths.of("router"))
     for name, report in trained.reports.items():
         report.write.mode("overwrite").parquet(paths.of(f"router_reports/{name}"))
     snapshot.write_complaints(

@@ -349,10 +349,27 @@ FROM cases"""
 _ROW_JSON = """sha256('{"complaint_id":"' || complaint_id || '","issue":"' || issue
   || '","product":"' || product || '","timely":' || coalesce(CAST(timely AS VARCHAR), 'null')
   || '}')"""
-_LANE_SUMS = " || ".join(
-    f"'|' || CAST(sum(CAST('0x' || substr(h, {1 + 4 * i}, 4) AS BIGINT)) AS VARCHAR)"
-    for i in range(16)
+
+
+def hash_tree_sql(hashes: str) -> str:
+    """The rest of a WITH query that names the multiset of hashes `h` of another one."""
+    depths = " + ".join(f"CAST(count(*) > {4096 * 256**k}::BIGINT AS INTEGER)" for k in range(6))
+    return f"""counted AS (SELECT h, count(*) AS n FROM ({hashes}) GROUP BY h),
+depth AS (SELECT {depths} AS half FROM counted),
+leaves AS (
+  SELECT half, left(h, 2 * half) AS prefix, sum(n) AS n,
+    sha256(string_agg(h || ':' || n, ',' ORDER BY h)) AS digest
+  FROM counted, depth GROUP BY 1, 2
+),
+branches AS (
+  SELECT left(prefix, half) AS prefix, sum(n) AS n,
+    sha256(string_agg(prefix || ':' || digest, ',' ORDER BY prefix)) AS digest
+  FROM leaves GROUP BY 1
 )
+SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS row_count,
+  sha256(coalesce(sum(n), 0) || '|' || coalesce(string_agg(prefix || ':' || digest, ','
+    ORDER BY prefix), '')) AS rowset_sha256 FROM branches"""
+
 
 ORACLES = {
     "clean_text": f"""SELECT doc_id,
@@ -403,7 +420,5 @@ SELECT page, CASE WHEN page % 3 < 2 THEN n ELSE 0 END AS source_total,
     "row_hashes": f"""WITH {CASES_SQL}
 SELECT complaint_id, {_ROW_JSON} AS row_sha256 FROM cases""",
     "rowset_fingerprint": f"""WITH {CASES_SQL},
-hashed AS (SELECT {_ROW_JSON} AS h FROM cases)
-SELECT count(*) AS row_count, sha256(CAST(count(*) AS VARCHAR) || {_LANE_SUMS})
-  AS rowset_sha256 FROM hashed""",
+{hash_tree_sql(f"SELECT {_ROW_JSON} AS h FROM cases")}""",
 }

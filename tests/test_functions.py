@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -112,6 +113,40 @@ def test_fingerprint_ignores_order_and_counts_copies(spark):
     assert of(rows) != of(rows[:-1])
 
 
+def test_hash_tree_matches_its_definition_at_every_depth(spark, monkeypatch):
+    def expected(hashes, leaf):
+        counts = Counter(hashes)
+        half = sum(len(counts) > leaf * 256**k for k in range(7))
+
+        def digest(entries):
+            return hashlib.sha256(",".join(entries).encode()).hexdigest()
+
+        leaves, branches = {}, {}
+        for h in sorted(counts):
+            leaves.setdefault(h[: 2 * half], []).append(f"{h}:{counts[h]}")
+        for prefix in sorted(leaves):
+            branches.setdefault(prefix[:half], []).append(f"{prefix}:{digest(leaves[prefix])}")
+        top = ",".join(f"{prefix}:{digest(branches[prefix])}" for prefix in sorted(branches))
+        return len(hashes), hashlib.sha256(f"{len(hashes)}|{top}".encode()).hexdigest()
+
+    made = [hashlib.sha256(str(i % 700).encode()).hexdigest() for i in range(1000)]
+    for leaf in (4096, 100, 2):
+        monkeypatch.setattr(hashing, "LEAF_ROWS", leaf)
+        for rows in (made, made[:1], []):
+            frame = spark.createDataFrame([(h,) for h in rows], "h string").repartition(3)
+            assert tuple(hashing.hash_tree(frame).first()) == expected(rows, leaf)
+
+
+def test_rows_whose_lanes_add_up_alike_differ(spark):
+    """Sums of 16-bit lanes cannot tell these sets apart."""
+    pairs = (["0001" * 16, "0003" * 16], ["0002" * 16, "0002" * 16], ["0000" * 16, "0004" * 16])
+    found = {
+        hashing.hash_tree(spark.createDataFrame([(h,) for h in pair], "h string")).first()["rowset_sha256"]
+        for pair in pairs
+    }
+    assert len(found) == 3
+
+
 @pytest.mark.parametrize("descending", [False, True])
 @pytest.mark.parametrize("shape", ["spread", "piled"])
 def test_running_totals_match_a_loop(spark, descending, shape):

@@ -6,11 +6,13 @@ import unicodedata
 from collections import Counter
 from datetime import date
 
+import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from casequeue.operators import metrics, router
+from casequeue.operators import features, metrics, router, solver
+from casequeue.sources import models
+from casequeue.sources.handover import written
 
 AS_OF = date(2031, 4, 9)
 SHAPE = "complaint_id string, date_received date, narrative string, product string"
@@ -73,11 +75,15 @@ def test_features_match_the_formula(spark, rows):
     frequency = Counter(term for d in documents for term in d)
     n = len(texts)
     kept = {t for t, df in frequency.items() if df <= 0.995 * n}
-    stages = router.tfidf_stages(rows, n)
-    assert set(stages[1].vocabulary) == kept
-    order = stages[1].vocabulary
-    got = router.tfidf_features(rows, stages).select("narrative", vector_to_array("features").alias("f"))
-    for r in got.limit(20).collect():
+    terms = router.fit_terms(rows, n)
+    assert {r["term"] for r in terms.collect()} == kept
+    assert [r["index"] for r in terms.orderBy("index").collect()] == list(range(len(kept)))
+    order = {r["index"]: r["term"] for r in terms.collect()}
+    got = features.tfidf_vectors(rows, terms, len(kept)).join(rows.select("complaint_id", "narrative"), "complaint_id")
+    long = {}
+    for r in features.tfidf_weights(rows, terms, len(kept)).collect():
+        long.setdefault(r["complaint_id"], {})[r["term"]] = r["weight"]
+    for r in got.collect():
         counts = Counter(terms_of(r["narrative"]))
         weights = {
             t: (1 + math.log(c)) * (math.log((1 + n) / (1 + frequency[t])) + 1)
@@ -85,8 +91,100 @@ def test_features_match_the_formula(spark, rows):
             if t in kept
         }
         norm = math.sqrt(sum(w * w for w in weights.values()))
-        found = {order[i]: v for i, v in enumerate(r["f"]) if v}
-        assert found == pytest.approx({t: w / norm for t, w in weights.items()})
+        wanted = pytest.approx({t: w / norm for t, w in weights.items()})
+        assert r["indices"] == sorted(r["indices"])
+        assert {order[i]: v for i, v in zip(r["indices"], r["values"], strict=True)} == wanted
+        assert long[r["complaint_id"]] == wanted
+
+
+def test_term_frequencies_and_texts_without_terms(spark):
+    data = [("a", "b b a a b"), ("n", None), ("e", ""), ("u", "zz zz")]
+    df = spark.createDataFrame(data, "k string, t string")
+    cut = df.select("k", features.term_frequencies(F.split("t", " ")).alias("f"))
+    found = {r["k"]: r["f"] and [tuple(x) for x in r["f"]] for r in cut.collect()}
+    assert found == {"a": [("a", 2), ("b", 3)], "n": None, "e": [("", 1)], "u": [("zz", 2)]}
+    terms = spark.createDataFrame([("aa", 1.0, 0, [2.0, 4.0])], "term string, idf double, index int, coefficients array<double>")
+    texts = spark.createDataFrame([("a", "aa aa qq"), ("n", None), ("e", ""), ("u", "zz zz")], "k string, t string")
+    got = {r["k"]: r["products"] for r in features.products(texts, terms, 1, 2, "k", "t").collect()}
+    assert got == {"a": [2.0, 4.0], "n": [0.0, 0.0], "e": [0.0, 0.0], "u": [0.0, 0.0]}
+    vectors = {r["k"]: (r["indices"], r["values"]) for r in features.tfidf_vectors(texts, terms, 1, "k", "t").collect()}
+    assert vectors == {"a": ([0], [1.0]), "n": ([], []), "e": ([], []), "u": ([], [])}
+
+
+def test_shuffled_and_copied_products_agree(spark, rows, monkeypatch):
+    terms = written(router.fit_terms(rows, rows.count()))
+    n = terms.count()
+    weights = np.random.default_rng(3).normal(size=(n + 1, 3))
+    known = written(router.with_coefficients(terms, weights))
+    copied = features.products(rows, known, n, 3)
+    got = sorted(map(tuple, copied.collect()))
+    monkeypatch.setattr(features, "COPIED_CELLS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled = features.products(rows, known, n, 3)
+        assert "BroadcastHashJoin" not in shuffled._jdf.queryExecution().executedPlan().toString()
+        again = sorted(map(tuple, shuffled.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [k for k, _ in got] == [k for k, _ in again]
+    assert [p for _, p in got] == [pytest.approx(p) for _, p in again]
+
+
+def dense_problem(seed, n=60, v=7, k=3):
+    r = np.random.default_rng(seed)
+    x = np.where(r.random((n, v)) < 0.4, r.normal(size=(n, v)), 0.0)
+    labels = r.integers(0, k, n)
+    labels[:k] = range(k)
+    return x, labels, {str(i): int((labels == i).sum()) for i in range(k)}
+
+
+def blocks_of(spark, x, labels):
+    rows = []
+    for row, label in zip(x, labels, strict=True):
+        at = np.flatnonzero(row)
+        rows.append((int(label), at.tolist(), row[at].tolist()))
+    shape = "label_index int, indices array<int>, values array<double>"
+    return solver.pack_rows(spark.createDataFrame(rows, shape).repartition(3))
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_loss_and_gradient_match_dense_sums(spark, classes, monkeypatch):
+    monkeypatch.setattr(solver, "PACKED_ROWS", 16)
+    monkeypatch.setattr(solver, "GRADIENT_BLOCK", 3)
+    x, labels, sizes = dense_problem(1, k=classes)
+    balance = solver.Balance.of(sizes)
+    objective = solver.Objective(blocks_of(spark, x, labels), x.shape[1], balance, 0.01)
+    weights = np.random.default_rng(2).normal(size=objective.shape)
+    loss, gradient = objective(weights)
+    assert len(loss) == (1 if classes == 2 else 3)
+    for k, target in enumerate(balance.targets):
+        def total(w, target=target, k=k):
+            margin = x @ w[:-1] + w[-1]
+            own = labels == target
+            even = len(labels) / (classes * (labels == target).sum())
+            other = len(labels) / (classes * (labels != target).sum()) if classes == 2 else 1.0
+            part = np.where(own, even, other) * np.log1p(np.exp(np.where(own, -margin, margin)))
+            return part.mean() + 0.005 * (w[:-1] ** 2).sum()
+
+        assert loss[k] == pytest.approx(total(weights[:, k]))
+        for i in range(len(weights)):
+            step = np.zeros(len(weights))
+            step[i] = 1e-6
+            slope = (total(weights[:, k] + step) - total(weights[:, k] - step)) / 2e-6
+            assert gradient[i, k] == pytest.approx(slope, abs=1e-6)
+
+
+def test_solver_reaches_the_minimum_in_passes_that_do_not_grow_with_classes(spark):
+    passes = {}
+    for classes in (3, 6):
+        x, labels, sizes = dense_problem(4, n=90, k=classes)
+        objective = solver.Objective(blocks_of(spark, x, labels).cache(), x.shape[1], solver.Balance.of(sizes), 0.05)
+        weights = solver.minimize(objective, 60, 1e-9)
+        passes[classes] = objective.passes
+        assert np.abs(objective(weights)[1]).max() < 2e-3
+        steps = solver.descend(objective, 40, 0.2)
+        assert (objective(weights)[0] <= objective(steps)[0] + 1e-9).all()
+    assert passes[6] < 1.6 * passes[3]
 
 
 def test_training_scoring_and_reload(spark, rows, folder):
@@ -111,20 +209,29 @@ def test_training_scoring_and_reload(spark, rows, folder):
         assert (scored[key]["predicted_product"], scored[key]["prediction_confidence"]) == (None, None)
         assert scored[key]["prediction_abstained"] is True
     assert scored["fresh-1"]["predicted_product"] == "Garden" and scored["blank"]["narrative"] == "  "
-    model.save(f"{folder}/model")
-    again = router.RouterModel.load(f"{folder}/model")
+    digest = models.save_model(model, f"{folder}/model")
+    again = models.load_model(spark, f"{folder}/model")
     assert (again.temperature, again.threshold, again.classes) == (model.temperature, model.threshold, model.classes)
     assert again.score(cases).exceptAll(model.score(cases)).isEmpty()
 
+    assert models.save_model(again, f"{folder}/model") == digest == models.model_digest(again)
+    again.temperature = model.temperature + 1
+    other = models.save_model(again, f"{folder}/model")
+    assert other != digest and models.current_model(spark, f"{folder}/model") == other
+    assert models.load_model(spark, f"{folder}/model", digest).temperature == model.temperature
+    stored = spark.read.parquet(f"{folder}/model/{other}/terms")
+    stored.limit(stored.count() - 1).write.mode("overwrite").parquet(f"{folder}/model/{digest}/terms")
+    with pytest.raises(models.ModelDigestError):
+        models.load_model(spark, f"{folder}/model", digest)
+
 
 def test_three_classes_have_three_margins(spark, rows):
     more = rows.withColumn("label", F.when(F.col("narrative").contains("telescope"), "Sky").otherwise(F.col("product")))
-    stages = router.tfidf_stages(more, more.count())
-    features = router.tfidf_features(more, stages).select("label", "features")
-    models = router.fit_classifiers(features, router.class_sizes(features))
-    from pyspark.ml import PipelineModel
-
-    model = router.RouterModel(PipelineModel([*stages, *models]), ["Garden", "Kitchen", "Sky"])
+    terms = written(router.fit_terms(more, more.count()))
+    weights = router.fit_classifiers(more, terms, router.class_sizes(more))
+    known = written(router.with_coefficients(terms, weights))
+    model = router.RouterModel(known, ["Garden", "Kitchen", "Sky"], weights[-1].tolist(), len(weights) - 1)
+    assert weights.shape[1] == 3
     right = metrics.decide(model.probabilities(more), model.classes).where("label = predicted")
     assert right.count() == more.count()
 
