@@ -73,10 +73,11 @@ def tfidf_vectors(
     """
     known = _weighted(df, terms, key, text, ["index"], 2 * features)
     pair = F.when(F.col("w").isNotNull(), F.struct("index", "w"))
-    grouped = known.groupBy(key).agg(F.array_sort(F.collect_list(pair)).alias("f"))
-    squares = F.aggregate("f", F.lit(0.0), lambda a, x: a + x["w"] * x["w"])
-    normed = grouped.withColumn("norm", F.sqrt(squares))
-    return normed.select(
+    # The norm is a sum of its own: an expression over the array would be computed for each element.
+    grouped = known.groupBy(key).agg(
+        F.array_sort(F.collect_list(pair)).alias("f"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
+    )
+    return grouped.select(
         key,
         F.transform("f", lambda x: x["index"]).alias("indices"),
         F.transform("f", lambda x: x["w"] / F.col("norm")).alias("values"),

@@ -133,13 +133,19 @@ def class_sizes(train: DataFrame) -> dict[str, int]:
     return {r["label"]: r["n"] for r in rows}
 
 
+def _tasks(df: DataFrame) -> int:
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def labelled_blocks(
     train: DataFrame, terms: DataFrame, features: int, classes: list[str], key: str, text: str
 ) -> DataFrame:
     """Packed vectors of training rows with the place of their label in `classes`."""
     place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")) - 1
     labels = train.select(key, place.cast("int").alias("label_index"))
-    return pack_rows(tfidf_vectors(train, terms, features, key, text).join(labels, key))
+    vectors = tfidf_vectors(train, terms, features, key, text).join(labels, key)
+    # Every pass computes on all of them, so they are dealt evenly, however few bytes they are.
+    return pack_rows(vectors.repartition(_tasks(train)))
 
 
 def with_coefficients(terms: DataFrame, weights: np.ndarray) -> DataFrame:
@@ -270,7 +276,8 @@ def train_router(
     to `workspace`, a folder that all executors see, by default a new one in the shared folder.
     """
     workspace = workspace or shared_folder(rows.sparkSession)
-    unique = written(dedup_narratives(rows), f"{workspace}/unique")
+    # Texts are cut into terms several times from here on, so they are dealt evenly once.
+    unique = written(dedup_narratives(rows).repartition(_tasks(rows)), f"{workspace}/unique")
     split = metrics.chronological_split(
         unique, as_of=as_of, test_months=test_months
     ).withColumnRenamed("product", "label")
