@@ -79,7 +79,7 @@ def check_snapshot(
     parsed = spark.read.parquet(paths.of("parsed"))
     meta = lineage.reported_source_meta(search_pages.read_pages(spark, pages_path))
     written = lineage.snapshot_manifest(spark.read.parquet(paths.of("lineage")), meta)
-    rows = spark.read.schema(SNAPSHOT).json(paths.of("snapshot"))
+    rows = snapshot.read_snapshot_rows(spark, paths.of("snapshot"))
     report = quality.quality_report(
         quality.quality_counters(parsed, plan.as_of),
         row_cap=plan.max_records,

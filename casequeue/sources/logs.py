@@ -1,13 +1,23 @@
-"""Append-only logs: decisions, drafts, draft reviews, system events."""
+"""Append-only logs: decisions, drafts, draft reviews, system events.
+
+A log is a table partitioned by batch, and a ledger beside it. A batch with an id of its own can be
+appended again, whole, after any failure: its partition is written anew, so there is one copy of it. The ledger
+names a batch and the digest of its rows before they are written, and again when they all are; an id that
+comes back with other rows is refused, and a batch that was not finished is not read. Batches without
+an id are new each time.
+"""
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
+from casequeue.functions.hashing import rowset_fingerprint
 from casequeue.operators.evidence import draft_errors
 from casequeue.schemas import ROUTE_REVIEWS, SUMMARY_DRAFTS, SUMMARY_REVIEWS, SYSTEM_EVENTS
 
@@ -111,39 +121,132 @@ def check_summary_reviews(batch: DataFrame, drafts: DataFrame) -> tuple[DataFram
     )
 
 
-def _append(batch: DataFrame, schema: StructType, path: str) -> None:
-    fields = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
-    batch.select(*fields).write.mode("append").parquet(path)
+BATCH = "batch_id"
+_LEDGER = "batch_id string, rows long, rowset_sha256 string, state string, noted_at timestamp"
 
 
-def _append_checked(
-    parts: tuple[DataFrame, DataFrame], schema: StructType, path: str, reject_path: str
-) -> None:
-    accepted, rejected = parts
-    _append(accepted, schema, path)
-    rejected.write.mode("append").parquet(reject_path)
+class BatchConflictError(ValueError):
+    """A batch id came back with other rows."""
 
 
-def append_route_reviews(batch: DataFrame, cases: DataFrame, path: str, reject_path: str) -> None:
-    _append_checked(check_route_reviews(batch, cases), ROUTE_REVIEWS, path, reject_path)
+def _ledger_path(path: str) -> str:
+    return f"{path.rstrip('/')}_ledger"
 
 
-def append_summary_reviews(
-    batch: DataFrame, drafts: DataFrame, path: str, reject_path: str
-) -> None:
-    _append_checked(check_summary_reviews(batch, drafts), SUMMARY_REVIEWS, path, reject_path)
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """One row per batch: its rows, digest and whether it was finished."""
+    try:
+        entries = spark.read.schema(_LEDGER).json(_ledger_path(path))
+    except AnalysisException:  # no batch yet
+        entries = spark.createDataFrame([], _LEDGER)
+    return entries.groupBy(BATCH).agg(
+        F.max("rows").alias("rows"),
+        F.max("rowset_sha256").alias("rowset_sha256"),
+        F.bool_or(F.col("state") == "done").alias("done"),
+    )
 
 
-def append_summary_drafts(
-    batch: DataFrame, cases: DataFrame, path: str, reject_path: str, stored: DataFrame | None = None
-) -> None:
-    _append_checked(check_summary_drafts(batch, cases, stored), SUMMARY_DRAFTS, path, reject_path)
+def _note(spark: SparkSession, path: str, batch_id: str, rows: int, digest: str, state: str) -> None:
+    entry = spark.range(1).select(
+        F.lit(batch_id).alias(BATCH),
+        F.lit(rows).cast("long").alias("rows"),
+        F.lit(digest).alias("rowset_sha256"),
+        F.lit(state).alias("state"),
+        F.current_timestamp().alias("noted_at"),
+    )
+    entry.coalesce(1).write.mode("append").json(_ledger_path(path))
+
+
+def _write_batch(batch: DataFrame, path: str, batch_id: str) -> None:
+    (
+        batch.withColumn(BATCH, F.lit(batch_id))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(BATCH)
+        .parquet(path)
+    )
 
 
-def append_events(batch: DataFrame, path: str) -> None:
-    _append(batch, SYSTEM_EVENTS, path)
+def _append(
+    batch: DataFrame,
+    accepted: DataFrame,
+    schema: StructType,
+    path: str,
+    batch_id: str | None = None,
+    rejected: tuple[DataFrame, str] | None = None,
+) -> str:
+    """Write the accepted rows of a batch to its partition; returns its id.
+
+    The digest is of the batch as given. Repeating a finished batch changes nothing.
+    """
+    spark = batch.sparkSession
+    fields = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
+    if batch_id is None:
+        batch_id, count, digest = uuid.uuid4().hex, 0, ""
+    else:
+        count, digest = rowset_fingerprint(batch).first()
+        known = read_ledger(spark, path).where(F.col(BATCH) == batch_id).first()
+        if known and known["rowset_sha256"] != digest:
+            raise BatchConflictError(f"batch {batch_id} was appended with other rows")
+        if known and known["done"]:
+            return batch_id
+    _note(spark, path, batch_id, count, digest, "begun")
+    _write_batch(accepted.select(*fields), path, batch_id)
+    if rejected is not None:
+        _write_batch(rejected[0], rejected[1], batch_id)
+    _note(spark, path, batch_id, count, digest, "done")
+    return batch_id
+
+
+def append_route_reviews(
+    batch: DataFrame, cases: DataFrame, path: str, reject_path: str, batch_id: str | None = None
+) -> str:
+    accepted, rejected = check_route_reviews(batch, cases)
+    return _append(batch, accepted, ROUTE_REVIEWS, path, batch_id, (rejected, reject_path))
+
+
+def append_summary_reviews(
+    batch: DataFrame, drafts: DataFrame, path: str, reject_path: str, batch_id: str | None = None
+) -> str:
+    accepted, rejected = check_summary_reviews(batch, drafts)
+    return _append(batch, accepted, SUMMARY_REVIEWS, path, batch_id, (rejected, reject_path))
+
+
+def append_summary_drafts(
+    batch: DataFrame,
+    cases: DataFrame,
+    path: str,
+    reject_path: str,
+    stored: DataFrame | None = None,
+    batch_id: str | None = None,
+) -> str:
+    """Drafts whose ids neither the log at `path` nor `stored` has, the batch itself left aside."""
+    spark = batch.sparkSession
+    logged = _batches(spark, SUMMARY_DRAFTS, path)
+    if logged is not None:
+        others = logged.where(F.col(BATCH) != F.lit(batch_id or "")).select("summary_id")
+        stored = others if stored is None else others.union(stored.select("summary_id")).distinct()
+    accepted, rejected = check_summary_drafts(batch, cases, stored)
+    return _append(batch, accepted, SUMMARY_DRAFTS, path, batch_id, (rejected, reject_path))
+
+
+def append_events(batch: DataFrame, path: str, batch_id: str | None = None) -> str:
+    return _append(batch, batch, SYSTEM_EVENTS, path, batch_id)
+
+
+def _batches(spark: SparkSession, schema: StructType, path: str) -> DataFrame | None:
+    """Rows of finished batches with their batch; None before the first one."""
+    finished = read_ledger(spark, path).where("done").select(BATCH)
+    try:
+        stored = StructType([*schema.fields, StructField(BATCH, StringType())])
+        return spark.read.schema(stored).parquet(path).join(finished, BATCH, "left_semi")
+    except AnalysisException:  # no such folder
+        return None
 
 
 def read_log(spark: SparkSession, schema: StructType, *paths: str) -> DataFrame:
-    parts = [spark.read.schema(schema).parquet(p) for p in paths]
-    return reduce(DataFrame.unionByName, parts)
+    """Rows of all finished batches."""
+    parts = [_batches(spark, schema, p) for p in paths]
+    empty = spark.createDataFrame([], schema)
+    found = [empty if p is None else p.select(*schema.names) for p in parts]
+    return reduce(DataFrame.unionByName, found)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from casequeue.functions import hashing, text
 from casequeue.operators import quality, volume
 from casequeue.sources import manifests, search_pages, snapshot
+from casequeue.sources.handover import shared_folder
 from catalog.adapters import CASES_SQL, cases, table
 
 _AS_OF = date(2001, 6, 30)
@@ -232,7 +233,18 @@ def rowset_fingerprint(spark, sf_dir):
     return hashing.rowset_fingerprint(rows)
 
 
+def stored_snapshot(spark, sf_dir):
+    """Lines of a snapshot that replaced another one, read back in order."""
+    rows = cases(spark, sf_dir).select("complaint_id", "date_received", "issue", "product", "timely")
+    path = shared_folder(spark)
+    snapshot.write_snapshot(rows.where("timely"), path)
+    snapshot.write_snapshot(rows, path)
+    lines = snapshot.read_ordered_lines(spark, path)
+    return lines.select("line_number", F.sha2("value", 256).alias("line_sha256"))
+
+
 QUERIES = {
+    "stored_snapshot": stored_snapshot,
     "clean_text": clean_text,
     "to_bool": to_bool,
     "normalize_source_date": normalize_source_date,
@@ -372,6 +384,11 @@ SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS row_count,
 
 
 ORACLES = {
+    "stored_snapshot": f"""WITH {CASES_SQL}
+SELECT row_number() OVER (ORDER BY date_received DESC, complaint_id DESC) - 1 AS line_number,
+  sha256('{{"complaint_id":"' || complaint_id || '","date_received":"' || date_received
+    || '","issue":"' || issue || '","product":"' || product || '","timely":'
+    || coalesce(CAST(timely AS VARCHAR), 'null') || '}}') AS line_sha256 FROM cases""",
     "clean_text": f"""SELECT doc_id,
   nullif(trim({_PAD.format('text')}, {_WS}), '') AS text,
   CASE WHEN lang <> 'en' THEN lang END AS lang_or_null FROM documents""",

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from casequeue.functions.hashing import hash_rank
 from casequeue.operators import review
+from casequeue.schemas import ROUTE_REVIEWS
 from casequeue.sources import logs, manifests
+from casequeue.sources.handover import shared_folder
 from catalog.adapters import CASES_SQL, REVIEWS_SQL, cases, reviews, rounded, table
 
 _SAMPLE = 400
@@ -35,9 +37,8 @@ def drafts_manifest(spark, sf_dir):
     return manifest.select("status", F.size("items").alias("items"), "manifest_sha256")
 
 
-def route_review_checks(spark, sf_dir):
-    """Decisions with the rules they break; every fifth is of an unknown case."""
-    given = reviews(spark, sf_dir).withColumns(
+def _given_reviews(spark, sf_dir):
+    return reviews(spark, sf_dir).withColumns(
         {
             "complaint_id": F.when(F.col("review_id") % 5 == 0, F.concat(F.lit("x"), "complaint_id"))
             .otherwise(F.col("complaint_id")),
@@ -46,6 +47,22 @@ def route_review_checks(spark, sf_dir):
             "approved_route": F.when(F.col("review_id") % 3 > 0, F.col("approved_route")),
         }
     )
+
+
+def appended_route_reviews(spark, sf_dir):
+    """The log after batches by decision, each of which was appended twice."""
+    given, known = _given_reviews(spark, sf_dir), cases(spark, sf_dir).select("complaint_id")
+    folder = shared_folder(spark)
+    for decision in logs.ROUTE_DECISIONS * 2:
+        batch = given.where(F.col("decision") == decision)
+        logs.append_route_reviews(batch, known, f"{folder}/log", f"{folder}/rejects", batch_id=decision)
+    stored = logs.read_log(spark, ROUTE_REVIEWS, f"{folder}/log")
+    return stored.withColumn("reviewed_at", F.unix_micros("reviewed_at"))
+
+
+def route_review_checks(spark, sf_dir):
+    """Decisions with the rules they break; every fifth is of an unknown case."""
+    given = _given_reviews(spark, sf_dir)
     accepted, rejected = logs.check_route_reviews(given, cases(spark, sf_dir))
     none = F.array().cast("array<string>")
     both = accepted.withColumn("errors", none).unionByName(rejected)
@@ -217,6 +234,7 @@ QUERIES = {
     "review_template": review_template,
     "frozen_sample": frozen_sample,
     "route_review_checks": route_review_checks,
+    "appended_route_reviews": appended_route_reviews,
     "drafts_manifest": drafts_manifest,
     "current_draft_status": current_draft_status,
     "draft_manifest": draft_manifest,
@@ -257,6 +275,13 @@ ORACLES = {
     "hash_ranks": f"""WITH {CASES_SQL}
 SELECT complaint_id, sha256('42|' || complaint_id) AS rank FROM cases""",
     "freeze_sample": f"{_SAMPLE_SQL} SELECT * FROM sample",
+    "appended_route_reviews": f"""WITH {CASES_SQL}, {REVIEWS_SQL}
+SELECT complaint_id, left('someone', CAST(review_id % 4 AS INTEGER)) AS reviewer_id, decision,
+  CASE WHEN review_id % 3 > 0 THEN approved_route END AS approved_route,
+  repeat('n', CAST(review_id % 7 * 200 AS INTEGER)) AS notes, epoch_us(reviewed_at) AS reviewed_at
+FROM reviews WHERE review_id % 5 <> 0 AND complaint_id IN (SELECT complaint_id FROM cases)
+  AND review_id % 4 >= 2 AND review_id % 7 * 200 <= 1000
+  AND (decision = 'reject' OR (review_id % 3 > 0 AND coalesce(approved_route, '') <> ''))""",
     "route_review_checks": f"""WITH {CASES_SQL}, {REVIEWS_SQL}
 SELECT review_id, concat_ws(';',
   CASE WHEN review_id % 5 = 0 OR complaint_id NOT IN (SELECT complaint_id FROM cases)

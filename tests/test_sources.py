@@ -50,7 +50,7 @@ def test_snapshot_round_trip_and_failfast(spark, folder):
     rows = search_pages.normalize_source(records)
     path = f"{folder}/snapshot"
     snapshot.write_snapshot(rows, path)
-    written = [line for f in sorted(Path(path).glob("part-*")) for line in f.read_text().splitlines()]
+    written = [line for f in sorted(Path(path).glob("generation-*/lines/part-*")) for line in f.read_text().splitlines()]
     parsed = [json.loads(line) for line in written]
     assert [p["complaint_id"] for p in parsed] == ["3", "2", "1"]
     assert written[0] == json.dumps(parsed[0], sort_keys=True, separators=(",", ":"))
@@ -213,3 +213,102 @@ def test_drafts_are_checked_before_they_are_appended(spark, folder):
     assert rejects[""][:2] == ["summary_id", "requested_by"] and rejects["s4"] and rejects["s5"]
     again, refused = logs.check_summary_drafts(batch.limit(1), cases, stored)
     assert again.count() == 0 and refused.count() == 1
+
+
+def cases_of(spark, n, day="2026-07-01"):
+    rows = [(f"{i:03d}", f"2026-07-{1 + i % 9:02d}" if day is None else day, f"P{i}") for i in range(n)]
+    return spark.createDataFrame(rows, "complaint_id string, date_received string, product string").repartition(4)
+
+
+def test_snapshot_generations_are_replaced_whole_and_read_in_order(spark, folder, monkeypatch):
+    monkeypatch.setattr(snapshot, "FILE_ROWS", 7)
+    path = f"{folder}/snapshot"
+    first = snapshot.write_snapshot(cases_of(spark, 5), path)
+    assert snapshot.current_generation(spark, path) == first
+    rows = cases_of(spark, 40, None)
+    assert snapshot.write_snapshot(rows, path) != first
+    files = snapshot.snapshot_files(spark, path).collect()
+    assert len(files) >= 6 and sum(f["rows"] for f in files) == 40
+    assert all(a["last_key"] > b["first_key"] for a, b in zip(files, files[1:], strict=False))
+    got = snapshot.read_ordered_lines(spark, path).orderBy("line_number").collect()
+    assert [r["line_number"] for r in got] == list(range(40))
+    keys = [(json.loads(r["value"])["date_received"], json.loads(r["value"])["complaint_id"]) for r in got]
+    assert keys == sorted(((r["date_received"], r["complaint_id"]) for r in rows.collect()), reverse=True)
+
+    # A write that fails leaves the snapshot before it.
+    broken = rows.withColumn("product", F.when(F.col("complaint_id") == "007", F.raise_error(F.lit("lost"))).otherwise(F.col("product")))
+    with pytest.raises(Exception, match="lost"):
+        snapshot.write_snapshot(broken, path)
+    assert snapshot.read_snapshot_lines(spark, path).count() == 40
+
+    empty = f"{folder}/empty"
+    snapshot.write_snapshot(rows.limit(0), empty)
+    assert snapshot.read_ordered_lines(spark, empty).count() == 0
+
+
+@pytest.mark.parametrize(("damage", "reason"), [("lose", "lost"), ("add", "added"), ("change", "changed")])
+def test_damaged_snapshots_are_refused(spark, folder, monkeypatch, damage, reason):
+    monkeypatch.setattr(snapshot, "FILE_ROWS", 5)
+    path = f"{folder}/snapshot"
+    generation = snapshot.write_snapshot(cases_of(spark, 30, None), path)
+    lines = Path(path, generation, "lines")
+    target = sorted(lines.glob("part-*"))[1]
+    text = target.read_text()
+    for crc in lines.glob(".*.crc"):
+        crc.unlink()
+    if damage == "lose":
+        target.unlink()
+    elif damage == "add":
+        Path(lines, "part-99999.txt").write_text(text)
+    else:
+        target.write_text(text.replace("P", "Q", 1))
+    assert [r["reason"] for r in snapshot.broken_files(spark, path).collect()] == [reason]
+    for read in (snapshot.read_snapshot_lines, snapshot.read_ordered_lines, snapshot.read_snapshot_rows):
+        with pytest.raises(snapshot.SnapshotError, match=reason):
+            read(spark, path)
+
+
+def test_a_repeated_batch_has_one_copy(spark, folder):
+    cases = spark.createDataFrame([("1",), ("2",)], "complaint_id string")
+    rows = [("1", "ann", "approve", "Card", None, NOW), ("2", "ann", "reject", None, None, NOW), ("9", "ann", "reject", None, None, NOW)]
+    batch = spark.createDataFrame(rows, ROUTE_REVIEWS)
+    log, rejects = f"{folder}/log", f"{folder}/rejects"
+    for _ in range(2):
+        assert logs.append_route_reviews(batch, cases, log, rejects, batch_id="monday") == "monday"
+    logs.append_route_reviews(batch.limit(1), cases, log, rejects, batch_id="tuesday")
+    assert logs.read_log(spark, ROUTE_REVIEWS, log).count() == 3
+    assert spark.read.parquet(rejects).count() == 1
+    with pytest.raises(logs.BatchConflictError, match="monday"):
+        logs.append_route_reviews(batch.limit(2), cases, log, rejects, batch_id="monday")
+    ledger = {r["batch_id"]: (r["rows"], r["done"]) for r in logs.read_ledger(spark, log).collect()}
+    assert ledger == {"monday": (3, True), "tuesday": (1, True)}
+
+
+def test_an_unfinished_batch_is_not_read_and_can_be_repeated(spark, folder):
+    events = spark.createDataFrame([("e", "summary", True, 100, 0.5, None, NOW)], SYSTEM_EVENTS)
+    log = f"{folder}/events"
+    logs.append_events(events, log, "first")
+    broken = events.withColumn("detail", F.when(F.col("event_id") == "e", F.raise_error(F.lit("lost")).cast("string")))
+    with pytest.raises(Exception, match="lost"):
+        logs.append_events(broken, log, "second")
+    # Rows that were written, though the batch was not finished.
+    logs._note(spark, log, "third", 1, "d", "begun")
+    logs._write_batch(events, log, "third")
+    assert logs.read_log(spark, SYSTEM_EVENTS, log).count() == 1
+    logs.append_events(events, log, "second")
+    assert logs.read_log(spark, SYSTEM_EVENTS, log).count() == 2
+
+
+def test_draft_ids_are_unique_against_the_log_itself(spark, folder):
+    cases = spark.createDataFrame([("1",)], "complaint_id string")
+    good = ("A headline", "A summary.", ["point"], [("quote", 0, 5)], [], [], [])
+    batch = spark.createDataFrame([("s1", "1", good, "pending_review", "someone", NOW)], SUMMARY_DRAFTS)
+    log, rejects = f"{folder}/log", f"{folder}/rejects"
+    for batch_id in ("a", "a", "b"):
+        logs.append_summary_drafts(batch, cases, log, rejects, batch_id=batch_id)
+    assert logs.read_log(spark, SUMMARY_DRAFTS, log).count() == 1
+    assert [list(r["errors"]) for r in spark.read.parquet(rejects).collect()] == [["summary_id"]]
+
+
+def test_no_log_yet(spark, folder):
+    assert logs.read_log(spark, SYSTEM_EVENTS, f"{folder}/nothing").count() == 0
