@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casequeue.llm.common import fresh, handed_over
+from casequeue.llm.common import bound_batches, fresh, handed_over
 
 LABELLED = 12_000
 ROUNDS = 3
@@ -350,8 +350,23 @@ def _metadata(docs: DataFrame) -> list:
     ]
 
 
+def _written_features(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``i``, both views' features and ``known``, whether the id is labelled, of each row of ``docs``."""
+    bound_batches(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("i"), "text", *_metadata(docs))
+    features = texts.mapInArrow(_featured, "i long, text binary, meta binary")
+    # Merged at every size, so that features are moved once and in the same way whatever the labels' size.
+    flagged = ids.withColumn("known", F.lit(True)).hint("merge")
+    return handed_over(features.join(flagged, "i", "left"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED) -> dict:
     """A model for each target, from a bounded sample of labelled rows and all unlabelled documents."""
+    return _fit(docs, labels, labelled)[0]
+
+
+def _fit(docs: DataFrame, labels: DataFrame, labelled: int) -> tuple[dict, DataFrame]:
+    """Models and the features of all documents."""
     known = labels.where(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long").alias("i"),
         F.col("quality").cast("int").alias("quality"),
@@ -362,9 +377,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED) -> dict
     # At most ``labelled`` rows.
     chosen = chosen.orderBy(F.xxhash64("i"), "quality", "toxic").limit(labelled).collect()
     chosen = docs.sparkSession.createDataFrame(chosen, "i long, quality int, toxic int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("i"), "text", *_metadata(docs))
-    features = texts.mapInArrow(_featured, "i long, text binary, meta binary")
-    features = handed_over(features.join(ids.withColumn("known", F.lit(True)), "i", "left"))
+    features = _written_features(docs, ids)
     firsts = (
         features.where("known")
         .join(F.broadcast(chosen.select("i").distinct()), "i", "left_semi")
@@ -388,7 +401,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED) -> dict
         for target, taught in _lessons(pool, learners).items():
             learners[target].learn(taught)
     models |= {target: learner.model() for target, learner in learners.items()}
-    return {target: models[target] for target in TARGETS}
+    return {target: models[target] for target in TARGETS}, features
 
 
 def _packed(model: dict) -> dict:
@@ -402,32 +415,51 @@ def _packed(model: dict) -> dict:
     return {"views": views, "combined": model["combined"]}
 
 
+def _probabilities(models: dict, dense: dict, odds) -> dict[str, np.ndarray]:
+    """The columns of scores from ``odds(view, weights, bias)``, log-odds of all rows."""
+    found = {}
+    for target, model in models.items():
+        if target in dense:
+            views = [odds(view, *dense[target][view]) for view in (0, 1)]
+            c = model["combined"]
+            both = c[0] + np.clip(np.column_stack(views), -ODDS, ODDS) @ c[1:]
+            scores = (_sigmoid(both), _sigmoid(views[0]), _sigmoid(views[1]))
+        else:
+            scores = (None,) * 3
+        for name, p in zip(("score", "text_score", "metadata_score"), scores, strict=True):
+            found[f"{target}_{name}"] = p if p is not None else model["rate"]
+    return found
+
+
+def _scored_features(models: dict):
+    """Scores of rows from their written features."""
+
+    def run(batches):
+        dense = _dense(models)
+        for batch in batches:
+            views = [Rows.unpacked(batch.column(c).to_pylist()) for c in ("text", "meta")]
+            found = _probabilities(models, dense, lambda v, w, b, views=views: views[v].scores(w, b))
+            scored = [pa.array(np.broadcast_to(found[s], batch.num_rows).astype(float)) for s in SCORES]
+            yield pa.RecordBatch.from_arrays([batch.column("i"), *scored], names=["doc_id", *SCORES])
+
+    return run
+
+
 def _scored(models: dict):
+    """Scores of rows from their texts and metadata."""
+
     def run(batches):
         words, dense = _WORDS, _dense(models)
         for batch in batches:
             columns = batch.to_pydict()
             rows = zip(columns["text"], columns["source"], columns["lang"], columns["n_chars"], strict=True)
-            out = []
-            for t, s, g, n in rows:
-                views = (text_features(t or "", words), metadata_features(s, g, n))
-                scores = []
-                for target, model in models.items():
-                    if target in dense:
-                        odds = [
-                            float(w[f].sum(dtype=np.float64)) + b
-                            for f, (w, b) in zip(views, dense[target], strict=True)
-                        ]
-                        c = model["combined"]
-                        scores += [
-                            float(_sigmoid(c[0] + c[1:] @ np.clip(odds, -ODDS, ODDS))),
-                            float(_sigmoid(odds[0])),
-                            float(_sigmoid(odds[1])),
-                        ]
-                    else:
-                        scores += [model["rate"]] * 3
-                out.append(scores)
-            scored = [pa.array(c, pa.float64()) for c in zip(*out, strict=True)]
+            views = [(text_features(t or "", words), metadata_features(s, g, n)) for t, s, g, n in rows]
+
+            def odds(view, w, b, views=views):
+                return np.array([float(w[v[view]].sum(dtype=np.float64)) + b for v in views])
+
+            found = _probabilities(models, dense, odds)
+            scored = [pa.array(np.broadcast_to(found[s], batch.num_rows).astype(float)) for s in SCORES]
             kept = batch.drop_columns(["text", "source", "lang", "n_chars"])
             yield pa.RecordBatch.from_arrays(
                 [*kept.columns, *scored], names=[*kept.schema.names, *SCORES]
@@ -439,13 +471,27 @@ def _scored(models: dict):
 SCORES = [f"{t}_{v}" for t in TARGETS for v in ("score", "text_score", "metadata_score")]
 
 
+_SCORED = "doc_id long, " + ", ".join(f"{s} double" for s in SCORES)
+
+
+def _with_keep(scored: DataFrame) -> DataFrame:
+    keep = (F.col("quality_score") >= 0.5) & (F.col("toxic_score") < 0.5)
+    return scored.withColumn("keep", keep)
+
+
 def score_documents(docs: DataFrame, models: dict) -> DataFrame:
     """``doc_id``, the scores of each target and view, and ``keep``: good enough and not toxic."""
+    bound_batches(docs.sparkSession)
     packed = {t: _packed(m) for t, m in models.items()}
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *_metadata(docs))
-    schema = "doc_id long, " + ", ".join(f"{s} double" for s in SCORES)
-    keep = (F.col("quality_score") >= 0.5) & (F.col("toxic_score") < 0.5)
-    return rows.mapInArrow(_scored(packed), schema).withColumn("keep", keep)
+    return _with_keep(rows.mapInArrow(_scored(packed), _SCORED))
+
+
+def fit_and_score(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED) -> DataFrame:
+    """The scores of ``docs`` by models fitted on them; every text is read once."""
+    models, features = _fit(docs, labels, labelled)
+    packed = {t: _packed(m) for t, m in models.items()}
+    return _with_keep(features.mapInArrow(_scored_features(packed), _SCORED))
 
 
 def _judged(models: dict, columns: list[str], at: dict[str, str]):
@@ -469,10 +515,11 @@ def _judged(models: dict, columns: list[str], at: dict[str, str]):
 
 def kept_documents(docs: DataFrame, models: dict) -> DataFrame:
     """The rows of ``docs`` that are good enough and not toxic, with their columns; nothing moves."""
+    bound_batches(docs.sparkSession)
     packed = {t: _packed(m) for t, m in models.items()}
-    wanted = ("text", "source", "lang", "n_chars")
+    wanted = ("source", "lang", "n_chars")
     at = dict(zip(wanted, fresh(docs, *(f"for_{c}" for c in wanted)), strict=True))
-    inputs = docs.select("*", F.col("text").alias(at["text"]), *(
-        c.alias(at[n]) for n, c in zip(wanted[1:], _metadata(docs), strict=True)
-    ))
+    metadata = (c.alias(at[n]) for n, c in zip(wanted, _metadata(docs), strict=True))
+    inputs = docs.select("*", *metadata)
+    at["text"] = next(c for c in docs.columns if c.lower() == "text")  # texts are sent once
     return inputs.mapInArrow(_judged(packed, docs.columns, at), docs.schema)

@@ -9,8 +9,7 @@ from casequeue.llm.common import table
 
 
 def op6_quality(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return quality.score_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return quality.fit_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_top_k(spark, sf_dir):

@@ -68,3 +68,17 @@ def test_text_alone_is_enough(spark):
     docs = documents(spark).select("doc_id", "text")
     none = spark.createDataFrame([], LABELS)
     assert quality.score_documents(docs, quality.fit(docs, none)).count() == len(texts())
+
+
+def test_scores_from_written_features_are_those_of_the_texts(spark):
+    r = random.Random(3)
+    made = [("bad%%% words!!" if i % 3 == 0 else "a quiet river of stones") + f" {r.random()}" for i in range(90)]
+    made += texts()
+    docs = documents(spark, made)
+    docs = docs.unionByName(docs.limit(5)).unionByName(docs.limit(3).withColumn("doc_id", F.lit(None).cast("long")))
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 7 == 0), "own") for i in range(80)] + [(3, 1, 1, "")], LABELS)
+    for known in (labels, labels.limit(0)):
+        wanted = quality.score_documents(docs, quality.fit(docs, known)).collect()
+        got = quality.fit_and_score(docs, known).collect()
+        key = lambda row: tuple((x is not None, x) for x in (round(v, 6) if isinstance(v, float) else v for v in row))
+        assert sorted(map(key, got)) == sorted(map(key, wanted)) and len(got) == docs.count()
