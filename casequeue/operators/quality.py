@@ -293,14 +293,27 @@ def overall(report: DataFrame) -> DataFrame:
     return report.agg(F.coalesce(F.every(~gating | F.col("passed")), F.lit(False)).alias("passed"))
 
 
+def failed_checks(report: DataFrame) -> DataFrame:
+    """`name` of each critical or high check that did not pass; what was not decided did not."""
+    passed = F.coalesce(F.col("passed"), F.lit(False))
+    return report.where(F.col("severity").isin("critical", "high") & ~passed).select("name")
+
+
 def gate(report: DataFrame) -> None:
     """Stop the job unless every critical and high check passed."""
-    failed = report.where(F.col("severity").isin("critical", "high") & ~F.col("passed"))
-    names = [r["name"] for r in failed.select("name").collect()]
+    names = [r["name"] for r in failed_checks(report).collect()]
     if names:
         raise QualityGateError("failed checks: " + ", ".join(names))
 
 
+def routing_support(counters: DataFrame) -> DataFrame:
+    """One row of the profile: narratives that can be routed, and how many an evaluation needs."""
+    return counters.select(
+        F.col("narrative_eligible").cast("long").alias("narrative_eligible_count"),
+        F.lit(MINIMUM_NARRATIVE_ROWS).cast("long").alias("minimum_narrative_eligible_count"),
+    )
+
+
 def column_profile(parsed: DataFrame, cap: int | None = None) -> DataFrame:
     """Null counts and exact distinct counts of each column, in one pass over the lines.
 

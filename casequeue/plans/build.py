@@ -80,8 +80,12 @@ def check_snapshot(
     meta = lineage.reported_source_meta(search_pages.read_pages(spark, pages_path))
     written = lineage.snapshot_manifest(spark.read.parquet(paths.of("lineage")), meta)
     rows = snapshot.read_snapshot_rows(spark, paths.of("snapshot"))
+    quality.quality_counters(parsed, plan.as_of).write.mode("overwrite").parquet(
+        paths.of("quality_counters")
+    )
+    counters = spark.read.parquet(paths.of("quality_counters"))
     report = quality.quality_report(
-        quality.quality_counters(parsed, plan.as_of),
+        counters,
         row_cap=plan.max_records,
         manifest=written,
         fingerprint=rowset_fingerprint(rows),
@@ -90,6 +94,7 @@ def check_snapshot(
     quality.column_profile(parsed).write.mode("overwrite").parquet(
         paths.of("profile")
     )
+    quality.routing_support(counters).write.mode("overwrite").parquet(paths.of("routing_support"))
     stored = spark.read.parquet(paths.of("quality"))
     quality.gate(stored)
     manifests.write_source_windows(

@@ -158,9 +158,9 @@ def damaged_overall(spark, sf_dir):
 
 
 def _pages(spark, sf_dir):
-    """Search responses made of the source records, a hundredth of all ids each."""
+    """Search responses made of the source records, of a thousand ids each at most."""
     record = F.struct(*_source_records(spark, sf_dir).columns)
-    page = F.col("complaint_id").cast("bigint") % 100
+    page = F.floor(F.col("complaint_id").cast("bigint") / F.lit(1000))
     hit = F.struct(F.when(page % 2 == 0, record).alias("_source"), *[
         F.when(page % 2 == 1, F.col(c)).alias(c) for c in _source_records(spark, sf_dir).columns
     ])
@@ -187,6 +187,15 @@ def source_total(spark, sf_dir):
     )
 
 
+def failed_checks(spark, sf_dir):
+    """What stops the gate over damaged lines."""
+    return quality.failed_checks(damaged_report(spark, sf_dir))
+
+
+def routing_support(spark, sf_dir):
+    return quality.routing_support(quality_counters(spark, sf_dir))
+
+
 def column_profile(spark, sf_dir):
     return quality.column_profile(_parsed(spark, sf_dir))
 
@@ -261,6 +270,8 @@ QUERIES = {
     "search_hits": search_hits,
     "source_total": source_total,
     "column_profile": column_profile,
+    "failed_checks": failed_checks,
+    "routing_support": routing_support,
     "row_hashes": row_hashes,
     "rowset_fingerprint": rowset_fingerprint,
 }
@@ -422,6 +433,13 @@ SELECT bool_and(severity = 'medium' OR passed) AS passed FROM ({_REPORT_SQL})"""
 UNION ALL SELECT 'manifest_snapshot_sha256_matches', false, 'critical', 1e0, '0'
 UNION ALL SELECT 'source_reports_no_data_issue', false, 'high', 1e0, '0'
 UNION ALL SELECT 'source_reports_fresh', true, 'high', 0e0, '0'""",
+    "failed_checks": f"""{_DAMAGED_SQL}
+SELECT name FROM ({_REPORT_SQL}) WHERE severity IN ('critical', 'high') AND NOT passed
+UNION ALL SELECT 'manifest_snapshot_sha256_matches'
+UNION ALL SELECT 'source_reports_no_data_issue'""",
+    "routing_support": f"""{_COUNTERS_SQL}
+SELECT CAST(narrative_eligible AS BIGINT) AS narrative_eligible_count,
+  CAST(500 AS BIGINT) AS minimum_narrative_eligible_count FROM counters""",
     "damaged_overall": f"""{_DAMAGED_SQL}
 SELECT bool_and(severity = 'medium' OR passed) AS passed FROM ({_REPORT_SQL})""",
     "search_hits": f"""WITH {CASES_SQL}
@@ -430,7 +448,7 @@ SELECT complaint_id, strftime(date_received, '%Y-%m-%d') || 'T08:00:00Z' AS date
   CASE WHEN timely THEN 'Yes' WHEN NOT timely THEN 'No' END AS timely,
   narrative AS complaint_what_happened FROM cases""",
     "source_total": f"""WITH {CASES_SQL},
-pages AS (SELECT CAST(complaint_id AS BIGINT) % 100 AS page, count(*) AS n FROM cases GROUP BY 1)
+pages AS (SELECT CAST(complaint_id AS BIGINT) // 1000 AS page, count(*) AS n FROM cases GROUP BY 1)
 SELECT page, CASE WHEN page % 3 < 2 THEN n ELSE 0 END AS source_total,
   CASE WHEN page % 3 = 0 THEN 'gte' ELSE 'eq' END AS source_total_relation FROM pages""",
     "column_profile": f"WITH {CASES_SQL} {_PROFILE_SQL}",

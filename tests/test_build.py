@@ -54,6 +54,8 @@ def test_build_from_pages_to_scored_cases(spark, folder):
     paths = BuildPaths(f"{folder}/out", "v1")
     report = spark.read.parquet(paths.of("quality"))
     assert report.count() == 14 and quality.overall(report).first()["passed"]
+    support = spark.read.parquet(paths.of("routing_support")).first()
+    assert tuple(support) == (298, 500)
     windows = spark.read.parquet(paths.of("source_windows"))
     sums = windows.selectExpr("sum(source_total)", "sum(selected_sample_rows)").first()
     assert tuple(sums) == (460, 298)
