@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casequeue.functions.hashing import row_sha256
+from casequeue.sources.handover import written
 
 
 def lineage_frame(
@@ -87,3 +90,76 @@ def reported_source_meta(pages: DataFrame) -> DataFrame:
         F.bool_or("source_meta.is_data_stale").alias("is_data_stale"),
         F.bool_or("source_meta.has_data_issue").alias("has_data_issue"),
     )
+
+
+def entry_sha256(kind: Column, name: Column, content: Column, parent: Column) -> Column:
+    """Self hash of a lineage entry, taken before it is added."""
+    return F.sha2(F.concat_ws("|", kind, name, content, F.coalesce(parent, F.lit(""))), 256)
+
+
+def lineage_entries(artifacts: DataFrame) -> DataFrame:
+    """`kind, name, content_sha256, parent_sha256` with `entry_sha256`.
+
+    An artifact is a window, a snapshot, a frozen sample, a draft manifest or a review; `parent_sha256`
+    is the entry hash of what it was made from, NULL for a source.
+    """
+    columns = ("kind", "name", "content_sha256", "parent_sha256")
+    return artifacts.select(
+        *columns, entry_sha256(*(F.col(c) for c in columns)).alias("entry_sha256")
+    )
+
+
+def broken_links(entries: DataFrame) -> DataFrame:
+    """For each entry the first broken link on the way to its source: `kind, name, steps,
+    broken_kind, broken_name, reason`; the last three are NULL where the chain is whole.
+
+    An entry is `changed` when its content no longer has its hash, and its parent is `lost` when no
+    entry has the hash that it names. A step joins all open entries with their parents at once.
+    """
+    columns = [F.col(c) for c in ("kind", "name", "content_sha256", "parent_sha256")]
+    stored = entries.select(
+        "kind", "name", "parent_sha256", "entry_sha256",
+        F.coalesce(entry_sha256(*columns) != F.col("entry_sha256"), F.lit(True)).alias("changed"),
+    )
+    # An entry that was stored twice is one parent; a changed copy of it counts.
+    parents = stored.groupBy(F.col("entry_sha256").alias("wanted")).agg(
+        F.max(F.struct("changed", "kind", "name", "parent_sha256")).alias("p")
+    )
+    parents = written(parents)
+    changed = F.col("changed")
+    reached = written(
+        stored.select(
+            "kind",
+            "name",
+            F.lit(0).alias("steps"),
+            F.when(changed, F.col("kind")).alias("broken_kind"),
+            F.when(changed, F.col("name")).alias("broken_name"),
+            F.when(changed, F.lit("changed")).alias("reason"),
+            F.col("kind").alias("at_kind"),
+            F.col("name").alias("at_name"),
+            F.when(~changed, F.col("parent_sha256")).alias("wanted"),
+        )
+    )
+    done = []
+    while True:
+        done.append(reached.where("wanted is null"))
+        waiting = reached.where("wanted is not null")
+        if waiting.isEmpty():
+            break
+        joined = waiting.join(parents, "wanted", "left")
+        lost, bad = F.col("p").isNull(), F.coalesce(F.col("p.changed"), F.lit(False))
+        reached = written(
+            joined.select(
+                "kind",
+                "name",
+                (F.col("steps") + 1).alias("steps"),
+                F.when(lost, F.col("at_kind")).when(bad, F.col("p.kind")).alias("broken_kind"),
+                F.when(lost, F.col("at_name")).when(bad, F.col("p.name")).alias("broken_name"),
+                F.when(lost, F.lit("lost")).when(bad, F.lit("changed")).alias("reason"),
+                F.col("p.kind").alias("at_kind"),
+                F.col("p.name").alias("at_name"),
+                F.when(~lost & ~bad, F.col("p.parent_sha256")).alias("wanted"),
+            )
+        )
+    whole = reduce(DataFrame.unionByName, done)
+    return whole.drop("at_kind", "at_name", "wanted")

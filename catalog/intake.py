@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from casequeue.functions import hashing, text
-from casequeue.operators import quality, volume
+from casequeue.operators import lineage, quality, volume
 from casequeue.sources import manifests, search_pages, snapshot
 from casequeue.sources.handover import shared_folder
 from catalog.adapters import CASES_SQL, cases, table
@@ -242,6 +242,38 @@ def rowset_fingerprint(spark, sf_dir):
     return hashing.rowset_fingerprint(rows)
 
 
+def broken_links(spark, sf_dir):
+    """Chains of windows, samples of a window and product, and drafts of a sample. Windows of every fifth
+    month were changed after they were entered, and samples of one product were lost."""
+    rows = cases(spark, sf_dir).select(
+        "complaint_id", "product", F.date_format("date_received", "yyyy-MM").alias("month")
+    )
+
+    def entered(kind, named, name, parents=None):
+        content = named.agg(F.sha2(F.count("*").cast("string"), 256).alias("content_sha256"))
+        if parents is None:
+            content = content.withColumn("parent_sha256", F.lit(None).cast("string"))
+        else:
+            content = content.join(parents, parents.columns[:-1], "left")
+        given = content.select(F.lit(kind).alias("kind"), name.alias("name"), "content_sha256", "parent_sha256")
+        return lineage.lineage_entries(given)
+
+    windows = entered("window", rows.groupBy("month"), F.col("month"))
+    of_window = windows.select(F.col("name").alias("month"), F.col("entry_sha256").alias("parent_sha256"))
+    sample_name = F.concat_ws("/", "month", "product")
+    samples = entered("sample", rows.groupBy("month", "product"), sample_name, of_window)
+    of_sample = samples.select(F.col("name").alias("sample"), F.col("entry_sha256").alias("parent_sha256"))
+    drafts = entered(
+        "draft", rows.withColumn("sample", sample_name).groupBy("sample", "complaint_id"), F.col("complaint_id"), of_sample
+    )
+    fifth = F.substring("name", 6, 2).cast("int") % 5 == 0
+    damaged = windows.withColumn(
+        "content_sha256", F.when(fifth, F.sha2(F.lit("other"), 256)).otherwise(F.col("content_sha256"))
+    )
+    kept = samples.where(~F.col("name").endswith("/BUILDING"))
+    return lineage.broken_links(damaged.unionByName(kept).unionByName(drafts))
+
+
 def stored_snapshot(spark, sf_dir):
     """Lines of a snapshot that replaced another one, read back in order."""
     rows = cases(spark, sf_dir).select("complaint_id", "date_received", "issue", "product", "timely")
@@ -253,6 +285,7 @@ def stored_snapshot(spark, sf_dir):
 
 
 QUERIES = {
+    "broken_links": broken_links,
     "stored_snapshot": stored_snapshot,
     "clean_text": clean_text,
     "to_bool": to_bool,
@@ -395,6 +428,23 @@ SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS row_count,
 
 
 ORACLES = {
+    "broken_links": f"""WITH {CASES_SQL},
+rows AS (SELECT complaint_id, product, strftime(date_received, '%Y-%m') AS month FROM cases)
+SELECT 'window' AS kind, month AS name, 0 AS steps,
+  CASE WHEN bad THEN 'window' END AS broken_kind, CASE WHEN bad THEN month END AS broken_name,
+  CASE WHEN bad THEN 'changed' END AS reason
+FROM (SELECT DISTINCT month, CAST(month[6:] AS INTEGER) % 5 = 0 AS bad FROM rows)
+UNION ALL
+SELECT 'sample', month || '/' || product, 1, CASE WHEN bad THEN 'window' END,
+  CASE WHEN bad THEN month END, CASE WHEN bad THEN 'changed' END
+FROM (SELECT DISTINCT month, product, CAST(month[6:] AS INTEGER) % 5 = 0 AS bad FROM rows)
+WHERE product <> 'BUILDING'
+UNION ALL
+SELECT 'draft', complaint_id, CASE WHEN product = 'BUILDING' THEN 1 ELSE 2 END,
+  CASE WHEN product = 'BUILDING' THEN 'draft' WHEN bad THEN 'window' END,
+  CASE WHEN product = 'BUILDING' THEN complaint_id WHEN bad THEN month END,
+  CASE WHEN product = 'BUILDING' THEN 'lost' WHEN bad THEN 'changed' END
+FROM (SELECT *, CAST(month[6:] AS INTEGER) % 5 = 0 AS bad FROM rows)""",
     "stored_snapshot": f"""WITH {CASES_SQL}
 SELECT row_number() OVER (ORDER BY date_received DESC, complaint_id DESC) - 1 AS line_number,
   sha256('{{"complaint_id":"' || complaint_id || '","date_received":"' || date_received

@@ -205,3 +205,32 @@ def test_blank_ids_are_blank_and_not_repeated(spark):
                                    "complaint_id string, summary_id string, model string")
     got = {r["draft_sha256"]: list(r["errors"]) for r in review.draft_manifest(drafts, drafts.columns).collect()}
     assert sorted(map(tuple, got.values())) == [("blank_field",), ("blank_field",), ("blank_field", "repeated_id"), ("repeated_id",)]
+
+
+def test_the_first_broken_link_of_a_chain_is_named(spark):
+    shape = "kind string, name string, content_sha256 string, parent_sha256 string"
+    made, parent = [], None
+    for kind in ("window", "snapshot", "sample", "draft manifest", "review"):
+        one = lineage.lineage_entries(spark.createDataFrame([(kind, kind[0], f"content of {kind}", parent)], shape))
+        made.append(one.first())
+        parent = made[-1]["entry_sha256"]
+    entries = spark.createDataFrame(made, f"{shape}, entry_sha256 string")
+
+    def broken(df):
+        found = lineage.broken_links(df).collect()
+        return {r["kind"]: (r["steps"], r["broken_kind"], r["reason"]) for r in found}
+
+    assert broken(entries) == {k: (i, None, None) for i, k in enumerate(r["kind"] for r in made)}
+    assert broken(entries.union(entries.limit(2)))["review"] == (4, None, None)
+    changed = entries.withColumn(
+        "content_sha256", F.when(F.col("kind") == "sample", "other").otherwise(F.col("content_sha256"))
+    )
+    assert broken(changed) == {
+        "window": (0, None, None),
+        "snapshot": (1, None, None),
+        "sample": (0, "sample", "changed"),
+        "draft manifest": (1, "sample", "changed"),
+        "review": (2, "sample", "changed"),
+    }
+    assert broken(entries.where("kind <> 'snapshot'"))["review"] == (3, "sample", "lost")
+    assert broken(entries.limit(0)) == {}
