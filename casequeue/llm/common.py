@@ -83,9 +83,17 @@ def cut_at(value: Column, bounds: list) -> Column:
     )
 
 
-def quantile_bounds(df: DataFrame, column: str, pieces: int) -> list:
-    """At most ``pieces - 1`` distinct cut points of a numeric column."""
+def quantile_points(df: DataFrame, column: str, pieces: int) -> list:
+    """``pieces - 1`` sorted cut points of a numeric column (none of an empty one).
+
+    A value that fills several pieces comes several times.
+    """
     if pieces < 2:
         return []
     points = df.approxQuantile(column, [i / pieces for i in range(1, pieces)], 0.2 / pieces)
-    return sorted({int(p) for p in points})
+    return sorted(int(p) for p in points)
+
+
+def quantile_bounds(df: DataFrame, column: str, pieces: int) -> list:
+    """At most ``pieces - 1`` distinct cut points of a numeric column."""
+    return sorted(set(quantile_points(df, column, pieces)))

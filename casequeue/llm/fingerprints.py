@@ -1,50 +1,71 @@
 """Merkle-tree fingerprints of documents, and edits located by comparing trees.
 
 Leaves are paragraphs: lines, cut after sentence ends and after 64 characters, so that one long
-line has many leaves. A section ends at a leaf whose hash starts with 0 (or after 64 leaves), so an
-insertion moves no section but its own. The root hashes the sections. A fingerprint is
-``root:sections:leaves`` in hexadecimal.
+line has many leaves. A section ends at a leaf whose hash starts with 0 (or after 32 leaves), so an
+insertion moves no section but its own. Hashes of leaves and sections have 128 bits, and the root
+hashes the whole hashes of the sections, so equal roots mean equal texts. A fingerprint is
+``root:sections:leaves`` in hexadecimal; it shows the starts of the hashes below the root, which
+only locate edits.
 
 Null texts count as empty: no leaves, the root of nothing. Equal texts have equal fingerprints.
+Very long texts have as many leaves as they need. An empty table gives an empty table, and repeated
+rows a row each; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casequeue.llm.common import cut_at, fresh, partitions, quantile_bounds
+from casequeue.llm.common import cut_at, fresh, partitions, quantile_points
 
 LEAF = r"[^.!?\n]{1,64}[.!?]*\n?|[.!?]{1,64}\n?|\n+"
-SECTION = "(?:[1-9a-f][0-9a-f]{7}){0,63}0[0-9a-f]{7}|(?:[1-9a-f][0-9a-f]{7}){1,64}"
-LEAF_HEX = 8
-SECTION_HEX = 16
+LEAF_HEX = 8  # shown of a leaf's hash
+SECTION_HEX = 16  # shown of a section's hash
+SECTION_LEAVES = 32
+
+
+def section_pattern(digits: int) -> str:
+    """Pattern of a section in joined leaf hashes of ``digits`` digits each."""
+    more, rest = f"(?:[1-9a-f][0-9a-f]{{{digits - 1}}})", f"[0-9a-f]{{{digits - 1}}}"
+    return f"{more}{{0,{SECTION_LEAVES - 1}}}0{rest}|{more}{{1,{SECTION_LEAVES}}}"
+
+
+SECTION = section_pattern(32)
+SHOWN_SECTION = section_pattern(LEAF_HEX)
 
 
 def leaf_hashes(text: Column) -> Column:
     """Hash of each paragraph of a text, in order."""
     pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(LEAF), F.lit(0))
-    return F.transform(pieces, lambda p: F.substring(F.md5(p.cast("binary")), 1, LEAF_HEX))
+    return F.transform(pieces, lambda p: F.md5(p.cast("binary")))
 
 
-def tree(leaves: Column) -> Column:
-    """``root:sections:leaves`` over the joined leaf hashes."""
-    sections = F.array_join(
-        F.transform(
-            F.regexp_extract_all(leaves, F.lit(SECTION), F.lit(0)),
-            lambda s: F.substring(F.md5(s.cast("binary")), 1, SECTION_HEX),
-        ),
-        "",
-    )
-    return F.concat_ws(":", F.md5(sections.cast("binary")), sections, leaves)
+def section_hashes(leaves: Column) -> Column:
+    """Hash of each section over the leaf hashes of a text, in order."""
+    joined = F.array_join(leaves, "")
+    sections = F.regexp_extract_all(joined, F.lit(SECTION), F.lit(0))
+    return F.transform(sections, lambda s: F.md5(s.cast("binary")))
+
+
+def _shown(hashes: Column, digits: int) -> Column:
+    return F.array_join(F.transform(hashes, lambda h: F.substring(h, 1, digits)), "")
+
+
+def tree(sections: Column, leaves: Column) -> Column:
+    """``root:sections:leaves`` over the hashes of both."""
+    root = F.md5(F.array_join(sections, "").cast("binary"))
+    return F.concat_ws(":", root, _shown(sections, SECTION_HEX), _shown(leaves, LEAF_HEX))
 
 
 def fingerprint(text: Column) -> Column:
-    return tree(F.array_join(leaf_hashes(text), ""))
+    leaves = leaf_hashes(text)
+    return tree(section_hashes(leaves), leaves)
 
 
 def likeness(left: Column, right: Column, left_root: Column, right_root: Column) -> Column:
@@ -79,12 +100,13 @@ def _edits(before: str | None, after: str | None) -> list[tuple[int, int, int, i
     for _, hashes, joined in (old, new):
         sections.append(re.findall(f".{{{SECTION_HEX}}}", hashes))
         leaves.append(re.findall(f".{{{LEAF_HEX}}}", joined))
-        sizes = (len(found) // LEAF_HEX for found in re.findall(SECTION, joined))
+        sizes = (len(found) // LEAF_HEX for found in re.findall(SHOWN_SECTION, joined))
         starts.append(list(accumulate(sizes, initial=0)))
     found = []
     for i, j, k, m in _matched(*sections):
         i, j, k, m = starts[0][i], starts[0][j], starts[1][k], starts[1][m]
         spans = _matched(leaves[0][i:j], leaves[1][k:m])
+        spans = spans or [(0, j - i, 0, m - k)]  # what is shown agrees, what it stands for does not
         found += [(i + a, i + b, k + c, k + d) for a, b, c, d in spans]
     return found
 
@@ -95,7 +117,8 @@ def edits(before: Column, after: Column) -> Column:
     Leaves ``start`` to before ``end`` (from 0) of the one are leaves ``new_start`` to before ``new_end``
     of the other; an insertion has no leaves of the one, a deletion none of the other, and what moved is
     both. Works on fingerprints alone: nothing for equal roots; sections equal in order are dropped,
-    and the leaves of the others are paired in order. Null for a null fingerprint.
+    and the leaves of the others are paired in order; sections that differ in no leaf shown are given
+    whole. Null for a null fingerprint.
     """
     kind = "array<struct<start: int, end: int, new_start: int, new_end: int>>"
     return F.udf(_edits, kind)(before, after)
@@ -107,40 +130,61 @@ def changed_leaves(before: Column, after: Column) -> Column:
     return F.flatten(F.transform(spans, lambda e: F.sequence(e["start"], e["end"] - 1)))
 
 
+def _place(key: Column, tie: Column, points: list, nulls: int) -> Column:
+    """Number of a row's range by descending key, then by tie.
+
+    A value that is a cut point several times starts its range, so its rows come after the larger
+    keys there, in as many slices of the tie; null keys come last in ``nulls`` slices.
+    """
+    hot = {p: n for p, n in Counter(points).items() if n > 1}
+    slices = F.when(key.isNull(), F.lit(nulls))
+    if hot:
+        pairs = [x for p, n in hot.items() for x in (F.lit(p), F.lit(n))]
+        slices = slices.otherwise(F.element_at(F.create_map(*pairs), key.cast("long")))
+    share = tie.cast("double") / F.lit(float(1 << 64)) + F.lit(0.5)
+    slice_of = F.least(F.floor(share * slices), slices - 1) + 1
+    at = -cut_at(key, sorted(set(points))).cast("long")
+    return at * F.lit(1 << 32) + F.coalesce(slice_of, F.lit(0))
+
+
 def with_next(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", name: str = "next_text"
 ) -> DataFrame:
     """Adds the text of the next row by descending key; after the last comes the first.
 
     Null keys come last, rows with equal keys by a hash of their text; identical rows are
-    interchangeable. The rows move once, cut into ranges of the key; the first row of the following
-    range goes along as a guard. An empty table stays empty; a single row is its own next.
+    interchangeable. The rows move once, cut into ranges of the key, and of the hash where one key (or
+    null) would fill more than a range; the first row of the following range goes along as a guard. An
+    empty table stays empty; a single row is its own next.
     """
     spark = docs.sparkSession
     chunk, tie, to, guard = fresh(docs, "chunk", "tie", "to", "guard")
-    bounds = quantile_bounds(docs, key, 4 * partitions(spark))
-    placed = docs.withColumn(chunk, cut_at(F.col(key), bounds)).withColumn(
-        tie, F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    ranges = 4 * partitions(spark)
+    bounds = quantile_points(docs, key, ranges)
+    rows, keyed = docs.agg(F.count("*"), F.count(key)).first()
+    tied = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    placed = docs.withColumn(tie, tied).withColumn(
+        chunk, _place(F.col(key), F.col(tie), bounds, 1 + ranges * (rows - keyed) // max(1, rows))
     )
-    # One row per range: at most four times the number of shuffle partitions.
+    # One row per range: at most some eight times the number of shuffle partitions.
     heads = (
         placed.groupBy(chunk)
         .agg(F.min(F.struct((-F.col(key)).alias("k"), F.col(tie).alias("t"))).alias("h"))
-        .orderBy(F.desc(chunk))
+        .orderBy(chunk)
         .collect()
     )
     following = [
         (None if nxt["h"]["k"] is None else -nxt["h"]["k"], nxt["h"]["t"], row[chunk])
         for row, nxt in zip(heads, heads[1:] + heads[:1], strict=True)
     ]
-    guards = spark.createDataFrame(following, "gk long, gt long, gc int")
+    guards = spark.createDataFrame(following, "gk long, gt long, gc long")
     guards = guards.groupBy("gk", "gt").agg(F.collect_list("gc").alias(to))
     joined = placed.join(
         F.broadcast(guards), F.col(key).eqNullSafe(F.col("gk")) & (F.col(tie) == F.col("gt")), "left"
     ).drop("gk", "gt")
     own = F.array(F.struct(F.lit(False).alias("g"), F.col(chunk).alias("c")))
     extra = F.transform(
-        F.coalesce(F.col(to), F.array().cast("array<int>")),
+        F.coalesce(F.col(to), F.array().cast("array<long>")),
         lambda c: F.struct(F.lit(True).alias("g"), c.alias("c")),
     )
     rows = joined.withColumn(guard, F.explode(F.concat(own, extra))).drop(to)
@@ -176,8 +220,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         leaf_hashes(F.col("edited")).alias("b"),
         leaf_hashes(F.col("next_text")).alias("c"),
     )
-    named = hashed.withColumns({f"{x}_all": F.array_join(x, "") for x in "abc"})
-    trees = named.withColumns({f"{x}_tree": tree(F.col(f"{x}_all")) for x in "abc"})
+    named = hashed.withColumns({f"{x}_sections": section_hashes(F.col(x)) for x in "abc"})
+    trees = named.withColumns({f"{x}_tree": tree(F.col(f"{x}_sections"), F.col(x)) for x in "abc"})
     root = {x: F.substring(F.col(f"{x}_tree"), 1, 32) for x in "abc"}
     return trees.select(
         "doc_id",

@@ -46,15 +46,20 @@ QUERIES = {
 
 def _leaves(text: str) -> str:
     pieces = f"regexp_extract_all({text}, '{fingerprints.LEAF}')"
-    return f"list_transform({pieces}, lambda p: left(md5(p), 8))"
+    return f"list_transform({pieces}, lambda p: md5(p))"
 
 
-def _tree(leaves: str) -> str:
-    sections = f"regexp_extract_all({leaves}, '{fingerprints.SECTION}')"
-    joined = f"array_to_string(list_transform({sections}, lambda x: left(md5(x), 16)), '')"
-    return (
-        f"(SELECT md5(s) || ':' || s || ':' || {leaves} FROM (SELECT coalesce({joined}, '') AS s))"
-    )
+def _sections(leaves: str) -> str:
+    joined = f"coalesce(array_to_string({leaves}, ''), '')"
+    found = f"regexp_extract_all({joined}, '{fingerprints.SECTION}')"
+    return f"list_transform({found}, lambda s: md5(s))"
+
+
+def _tree(sections: str, leaves: str) -> str:
+    whole = f"coalesce(array_to_string({sections}, ''), '')"
+    shown = f"coalesce(array_to_string(list_transform({sections}, lambda s: left(s, 16)), ''), '')"
+    short = f"coalesce(array_to_string(list_transform({leaves}, lambda p: left(p, 8)), ''), '')"
+    return f"md5({whole}) || ':' || {shown} || ':' || {short}"
 
 
 def _near(x: str, y: str) -> str:
@@ -96,14 +101,12 @@ leaves AS (
   SELECT doc_id, n, sha256(edited) AS edited_sha256, {_leaves("text")} AS a,
     {_leaves("edited")} AS b, {_leaves("next_text")} AS c FROM edits
 ),
-joined AS (
-  SELECT *, coalesce(array_to_string(a, ''), '') AS a_all,
-    coalesce(array_to_string(b, ''), '') AS b_all,
-    coalesce(array_to_string(c, ''), '') AS c_all FROM leaves
+sections AS (
+  SELECT *, {_sections("a")} AS a_s, {_sections("b")} AS b_s, {_sections("c")} AS c_s FROM leaves
 ),
 trees AS (
-  SELECT *, {_tree("a_all")} AS a_tree, {_tree("b_all")} AS b_tree,
-    {_tree("c_all")} AS c_tree FROM joined
+  SELECT *, {_tree("a_s", "a")} AS a_tree, {_tree("b_s", "b")} AS b_tree,
+    {_tree("c_s", "c")} AS c_tree FROM sections
 )
 SELECT doc_id, n AS n_chars, edited_sha256, a_tree AS fingerprint, b_tree AS edited_fingerprint,
   {_near("a", "b")} AS near_edited, {_near("a", "c")} AS near_next FROM trees""",

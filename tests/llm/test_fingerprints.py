@@ -68,3 +68,33 @@ def test_next_rows(spark):
     got = {(r["doc_id"], r["text"], r["next_text"]) for r in fingerprints.with_next(df).collect()}
     assert got == {(9, "a", "b"), (4, "b", "b"), (4, "b", ""), (2, None, "z"), (None, "z", "a")}
     assert fingerprints.edited_fingerprints(nothing(spark)).count() == 0
+
+
+def test_roots_tell_texts_apart_that_share_short_hashes(spark):
+    pair = [(f"paragraph number {a} is here.", f"paragraph number {b} is here.") for a, b in [(1068, 75114)]]
+    df = spark.createDataFrame(pair, "a string, b string")
+    made = df.select(*(fingerprints.fingerprint(F.col(c)).alias(c) for c in "ab")).withColumn(
+        "e", fingerprints.edits(F.col("a"), F.col("b"))
+    )
+    row = made.first()
+    assert row["a"].split(":")[2] == row["b"].split(":")[2]
+    assert row["a"].split(":")[0] != row["b"].split(":")[0]
+    assert [tuple(e) for e in row["e"]] == [(0, 1, 0, 1)]
+    docs = spark.createDataFrame([(1, pair[0][0]), (2, pair[0][1])], "doc_id long, text string")
+    assert [r["near_next"] for r in fingerprints.edited_fingerprints(docs).collect()] == [0.0, 0.0]
+
+
+def test_next_rows_where_keys_repeat(spark):
+    rows = [(None, f"n{i}") for i in range(400)] + [(7, f"s{i}") for i in range(400)]
+    rows += [(i, f"t{i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = fingerprints.with_next(df)
+    order = df.select("doc_id", "text", F.xxhash64("text").alias("tie")).collect()
+    order.sort(key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["tie"]))
+    texts = [r["text"] for r in order]
+    want = dict(zip(texts, texts[1:] + texts[:1], strict=True))
+    assert {r["text"]: r["next_text"] for r in got.collect()} == want
+    points = [3, 7, 7, 7, 90]
+    placed = df.select(fingerprints._place(F.col("doc_id"), F.xxhash64("text"), points, 4).alias("p"))
+    sizes = [r["count"] for r in placed.groupBy("p").count().collect()]
+    assert max(sizes) < 200 and sum(sizes) == 1000
