@@ -9,14 +9,19 @@ documents of the last group make that good by turning over, largest first, where
 
 Documents meet in small groups first; the one left open by each group goes up a reduction tree, a
 level of which has about ``1 / GROUP`` of the rows of the level below. A hot source is many groups
-on every level but the last. All choices are hashes of seed, level and id: reruns agree.
+on every level but the last. All choices are hashes of seed, level and a row's key (id, hash of the
+text, running number among rows equal in these), so reruns agree and rows of one id, or without one,
+spread like any others. A source's last level, of at most ``LAST_GROUPS`` groups' rests, is one group.
 
 Null texts have size 0 and are taken no times. A null source is a source, last in order. Repeated
-rows are rounded one by one. Columns other than the id, text and source are ignored.
+rows are rounded one by one. Columns other than the id, text and source are ignored. Texts count
+whole, whatever their length. An empty table has no targets and gives an empty table.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +71,10 @@ def source_targets(
     return level.select("source", "source_size", "n_docs", target.alias("target"))
 
 
+def _mark(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def _uniform(*keys) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
@@ -119,12 +128,12 @@ def _round_level(open_rows: DataFrame, groups: Column, seed: int, level: int) ->
 
     A source of one group is on its last level, and none of its rows stays open.
     """
-    id_hash = [F.col("doc_id"), F.lit(seed), F.lit(level)]
+    id_hash = [F.col("row_key"), F.lit(seed), F.lit(level)]
     rows = open_rows.withColumn("last", groups == 1).withColumn(
         "bucket", F.pmod(F.xxhash64(*id_hash, F.lit("group")), groups)
     ).withColumn("u", _uniform(*id_hash, F.lit("move")))
-    item = F.struct((-F.col("size")).alias("big"), "u", "doc_id", "size", "p", "whole", "n_docs",
-                    "source_size", "target")
+    item = F.struct((-F.col("size")).alias("big"), "u", "row_key", "doc_id", "mark", "size", "p",
+                    "whole", "n_docs", "source_size", "target")
     grouped = rows.groupBy("source", "last", "bucket").agg(F.array_sort(F.collect_list(item)).alias("items"))
     kind = grouped.schema["items"].dataType.elementType.simpleString()
     folded = grouped.select("source", "last", _meet("items", kind).alias("f"))
@@ -140,7 +149,7 @@ def _round_level(open_rows: DataFrame, groups: Column, seed: int, level: int) ->
     every = F.when(F.col("f.e").isNull(), ended).otherwise(F.concat(ended, left))
     out = folded.select("source", F.explode(every).alias("r"))
     return out.select(
-        *(F.col(f"r.e.{c}") for c in ("doc_id", "size")),
+        *(F.col(f"r.e.{c}") for c in ("row_key", "doc_id", "mark", "size")),
         "source",
         *(F.col(f"r.e.{c}") for c in ("source_size", "target", "n_docs", "whole")),
         "r.p",
@@ -155,8 +164,19 @@ def mix_copies(
     max_copies: float = MAX_COPIES,
     seed: int = 17,
 ) -> DataFrame:
-    """``doc_id, size, source, source_size, target, copies`` for each row of ``docs``."""
-    sizes = handed_over(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
+    """``doc_id, mark, size, source, source_size, target, copies`` for each row of ``docs``.
+
+    ``mark`` is a hash of the text.
+    """
+    marked = docs.select(
+        "doc_id", "source", n_words(F.col("text")).alias("size"), _mark(F.col("text")).alias("mark")
+    )
+    # Rows equal in all of these are counted before they move, then numbered in place.
+    counted = marked.groupBy("doc_id", "source", "size", "mark").agg(F.count("*").alias("n"))
+    numbered = counted.withColumn("nth", F.explode(F.expr("sequence(1L, n)"))).drop("n")
+    sizes = handed_over(
+        numbered.withColumn("row_key", F.xxhash64("doc_id", "mark", "nth")).drop("nth")
+    )
     targets = handed_over(source_targets(sizes, weights=weights, max_copies=max_copies))
     per_source = targets.select(F.col("source").alias("s"), "source_size", "n_docs", "target")
     expected = F.least(F.lit(float(max_copies)), F.col("target") / F.greatest("source_size", F.lit(1)))
@@ -168,7 +188,7 @@ def mix_copies(
         .withColumn("p", F.greatest(F.lit(0.0), F.col("expected") - F.col("whole")))
     )
     settled = (F.col("size") == 0) | (F.col("p") < 1e-9)
-    columns = ["doc_id", "size", "source", "source_size", "target", "n_docs", "whole", "p", "t"]
+    columns = ["row_key", "doc_id", "mark", "size", "source", "source_size", "target", "n_docs", "whole", "p", "t"]
     level_rows = rows.withColumn("t", F.when(settled, 0)).select(*columns)
     done = level_rows.where(F.col("t").isNotNull())
     rest = level_rows.where(F.col("t").isNull()).drop("t")
@@ -183,35 +203,35 @@ def mix_copies(
         if -(-most // spread) < LAST_GROUPS:  # every source had one group
             break
         rest, level = rounded.where(F.col("t").isNull()).drop("t"), level + 1
-    return done.select(
-        "doc_id", "size", "source", "source_size", "target", (F.col("whole") + F.col("t")).alias("copies")
-    )
+    copies = (F.col("whole") + F.col("t")).alias("copies")
+    return done.select("doc_id", "mark", "size", "source", "source_size", "target", copies)
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """Rows of ``docs``, each as often as the mix takes it; none without words.
 
-    Options are those of ``mix_copies``. Rows with equal id, source and size are told apart by a
+    Options are those of ``mix_copies``. Rows with equal id, source and text are told apart by a
     running number.
     """
-    spare = fresh(docs, "size", "nth", "copies")
-    size, nth, copies = spare
-    key = [F.col("doc_id"), F.col("source"), F.col(size)]
-    sized = docs.withColumn(size, n_words(F.col("text")))
-    numbered = sized.withColumn(
-        nth, F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text")))
-    )
-    taken = mix_copies(docs, **options).select(
-        F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("z"), "copies"
-    )
+    size, mark, nth, copies = fresh(docs, "size", "mark", "nth", "copies")
+    key = [F.col("doc_id"), F.col("source"), F.col(size), F.col(mark)]
+    sized = docs.withColumn(size, n_words(F.col("text"))).withColumn(mark, _mark(F.col("text")))
+    hashed = [f.name for f in docs.schema if not re.search("map<|variant", f.dataType.simpleString())]
+    own = Window.partitionBy(*key).orderBy(F.xxhash64(*hashed))
+    numbered = sized.where(F.col(size) > 0).withColumn(nth, F.row_number().over(own))
+    taken = mix_copies(docs, **options).where("size > 0").select(
+        F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("z"),
+        F.col("mark").alias("m"), "copies",
+    )
     taken = taken.withColumn(
-        "n", F.row_number().over(Window.partitionBy("i", "s", "z").orderBy(F.desc("copies")))
-    ).select("i", "s", "z", "n", F.col("copies").alias("c"))
+        "n", F.row_number().over(Window.partitionBy("i", "s", "z", "m").orderBy(F.desc("copies")))
+    ).select("i", "s", "z", "m", "n", F.col("copies").alias("c"))
     same = (
         F.col("doc_id").eqNullSafe(F.col("i"))
         & F.col("source").eqNullSafe(F.col("s"))
         & (F.col(size) == F.col("z"))
+        & (F.col(mark) == F.col("m"))
         & (F.col(nth) == F.col("n"))
     )
-    joined = numbered.join(taken.where("c > 0 and z > 0"), same)
+    joined = numbered.join(taken.where("c > 0"), same)
     return joined.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col("c")))).select(*docs.columns)

@@ -67,3 +67,23 @@ def test_mixed_documents_repeat_rows(spark):
     n = mixing.mix_copies(doubled).where("size > 0").agg(F.sum("copies")).first()[0]
     assert mixing.mix_documents(doubled).count() == n
     assert mixing.mix_documents(nothing(spark)).count() == 0
+
+
+def test_rows_without_own_ids_spread(spark):
+    rows = [(None if i % 2 else 5, f"w{i} " * (1 + i % 40), f"s{i % 3}") for i in range(6000)]
+    rows += [(5, "", "s0"), (5, None, "s0"), *[(None, "same words", None)] * 300]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix_copies(docs)
+    assert mixed.count() == len(rows)
+    keys = docs.select(F.xxhash64("doc_id", mixing._mark(F.col("text"))).alias("k")).distinct()
+    assert keys.count() == 6000 + 2
+    words = F.sum(F.col("copies") * F.col("size")).alias("taken")
+    for r in mixed.groupBy("source", "target").agg(words, F.max("copies").alias("most")).collect():
+        assert abs(r["taken"] - r["target"]) <= max(2, 0.01 * r["target"])
+        assert r["most"] <= 3
+    again = sorted((tuple(r) for r in mixing.mix_copies(docs.repartition(7)).collect()), key=str)
+    assert again == sorted((tuple(r) for r in mixed.collect()), key=str)
+    taken = mixing.mix_documents(docs).groupBy("doc_id", "source", "text").count()
+    want = mixed.where("size > 0").groupBy("doc_id", "source", "mark").agg(F.sum("copies").alias("n")).where("n > 0")
+    got = sorted(r["count"] for r in taken.collect())
+    assert got == sorted(r["n"] for r in want.collect())
