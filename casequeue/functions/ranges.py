@@ -6,11 +6,12 @@ from collections.abc import Sequence
 
 from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 RANGE_ROWS = 500_000  # rows of a range of running totals, about
+SAMPLES = 64  # sampled keys for a range, about
 SALTS = 64  # slices of a group whose size is not known
 
 
@@ -60,6 +61,65 @@ def running_totals(
     )
 
 
+def key_bounds(df: DataFrame, keys: Sequence[str], rows: int = RANGE_ROWS) -> list[Row]:
+    """Cut points of composite keys, ascending, for ranges of about `rows` rows.
+
+    The keys of some `SAMPLES` rows per range, chosen by a hash of the keys, are sorted on the
+    driver, so the same rows have the same cut points. Only the balance depends on the choice.
+    """
+    ranges = 1 + df.count() // rows
+    if ranges == 1:
+        return []
+    chosen = F.pmod(F.xxhash64(*keys), F.lit(max(1, rows // SAMPLES))) == 0
+    sample = df.where(chosen).groupBy(*keys).agg(F.count("*").alias("_n")).orderBy(*keys)
+    held = [tuple(r)[:-1] for r in sample.collect() for _ in range(min(r["_n"], SAMPLES))]
+    points = dict.fromkeys(held[len(held) * i // ranges] for i in range(1, ranges)) if held else {}
+    kind = df.select(*keys).schema
+    return [Row(*kind.names)(*point) for point in points]
+
+
+def range_of(keys: Sequence[str], bounds: list[Row]) -> Column:
+    """Number of cut points that are at most a row's keys; null keys are the smallest.
+
+    Two levels, so that a row is compared with about twice the square root of their number.
+    """
+    if not bounds:
+        return F.lit(0)
+
+    def literal(points: list[Row]) -> Column:
+        return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, p, strict=True)]) for p in points])
+
+    key = F.struct(*keys)
+    width = max(1, int(len(bounds) ** 0.5))
+    blocks = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    at = F.size(F.filter(literal([b[0] for b in blocks]), lambda b: b <= key))
+    inner = F.element_at(F.array(*map(literal, blocks)), F.greatest(at, F.lit(1)))
+    within = F.size(F.filter(inner, lambda b: b <= key))
+    return F.when(at == 0, 0).otherwise((at - 1) * width + within).cast("int")
+
+
+def placed(
+    df: DataFrame, keys: Sequence[str], name: str = "place", rows: int = RANGE_ROWS
+) -> DataFrame:
+    """Every row with its place, from 1, in the ascending order of `keys`, which tell rows apart.
+
+    Rows move once, to the range of their keys, and are numbered inside it; how many come before
+    a range is one row per range.
+    """
+    ranged = df.withColumn("_range", range_of(keys, key_bounds(df, keys, rows)))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = (
+        ranged.groupBy("_range")
+        .agg(F.count("*").alias("_n"))
+        .select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    )
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
+    numbered = ranged.withColumn("_inside", inside).join(F.broadcast(before), "_range")
+    return numbered.withColumn(name, F.col("_before") + F.col("_inside")).drop(
+        "_range", "_inside", "_before"
+    )
+
+
 def continuous_quantiles(df: DataFrame, value: str, fractions: dict[str, float]) -> DataFrame:
     """One row of linearly interpolated quantiles of the non-NULL values.
 

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from casequeue.operators import queue
 from casequeue.operators.views import operational_cases
+from casequeue.sources.handover import shared_folder
+from casequeue.sources.ordered import stored_total
 from catalog.adapters import OPERATIONAL_SQL, REVIEWS_SQL, cases, reviews, table
 
 _SEARCH = "eau"
+_STORED_ROWS = 2_000
 _AFTER = (date(1998, 1, 1), "5000")
 
 
@@ -53,6 +56,18 @@ def queue_page(spark, sf_dir):
     return _shown(page)
 
 
+def stored_queue_page(spark, sf_dir):
+    """A page behind some nine tenths of the cases, read from a queue stored in ranges."""
+    path = shared_folder(spark)
+    stored = _cases(spark, sf_dir).select("complaint_id", "date_received", "product", "issue")
+    queue.write_queue(stored, path, rows=_STORED_ROWS)
+    pages = stored_total(spark, path) // 50
+    page = queue.stored_queue_page(
+        spark, path, reviews(spark, sf_dir), page=1 + pages * 9 // 10, size=50, tie="review_id"
+    )
+    return _shown(page)
+
+
 def queue_page_after(spark, sf_dir):
     page = queue.queue_page_after(
         _cases(spark, sf_dir), reviews(spark, sf_dir), _AFTER, size=50, tie="review_id"
@@ -107,6 +122,7 @@ QUERIES = {
     "search_cases": lambda s, d: queue.search(_cases(s, d), _SEARCH).select("complaint_id", "product"),
     "queue_page": queue_page,
     "queue_page_after": queue_page_after,
+    "stored_queue_page": stored_queue_page,
     "queue_total": lambda s, d: queue.queue_total(
         queue.filter_queue(_cases(s, d), manual_attention=True, text=_SEARCH)
     ),
@@ -149,6 +165,9 @@ SELECT complaint_id, product FROM operational WHERE {_SEARCH_SQL}""",
     "queue_page": f"""{_ROUTED_SQL} SELECT {_SHOWN} FROM routed
 WHERE requires_manual_attention
 ORDER BY date_received DESC, complaint_id DESC LIMIT 50 OFFSET 50""",
+    "stored_queue_page": f"""{_ROUTED_SQL} SELECT {_SHOWN} FROM routed
+ORDER BY date_received DESC, complaint_id DESC
+LIMIT 50 OFFSET 50 * ((SELECT count(*) // 50 FROM orders) * 9 // 10)""",
     "queue_page_after": f"""{_ROUTED_SQL} SELECT {_SHOWN} FROM routed
 WHERE (date_received, complaint_id) < (DATE '1998-01-01', '5000')
 ORDER BY date_received DESC, complaint_id DESC LIMIT 50""",
