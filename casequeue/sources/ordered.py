@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from casequeue.functions.ranges import RANGE_ROWS, key_bounds, range_of
 
 _RANGE = "_range"
-_DIRECTORY = f"{_RANGE} int, rows long, before long"
 
 
 def write_ordered(
@@ -31,17 +30,26 @@ def write_ordered(
     dealt.write.partitionBy(_RANGE).mode("error").parquet(f"{path}/rows")
     schema = ranged.schema
     stored = spark.read.schema(schema).parquet(f"{path}/rows")
-    sizes = stored.groupBy(_RANGE).agg(F.count("*").alias("rows"))
+    key = F.struct(*keys)
+    sizes = stored.groupBy(_RANGE).agg(
+        F.count("*").alias("rows"), F.min(key).alias("first"), F.max(key).alias("last")
+    )
     earlier = Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before")
-    listed = sizes.select(_RANGE, "rows", before)  # one row per range
+    listed = sizes.select(_RANGE, "rows", before, "first", "last")  # one row per range
     spark.createDataFrame([], schema).write.mode("error").parquet(f"{path}/columns")
     listed.coalesce(1).write.mode("error").parquet(f"{path}/directory")
 
 
 def directory(spark: SparkSession, path: str) -> DataFrame:
-    """`_range, rows, before`: the ranges in order, and how many rows come before each."""
-    return spark.read.schema(_DIRECTORY).parquet(f"{path}/directory")
+    """`_range, rows, before, first, last`: the ranges in order, how many rows come before each,
+    and its smallest and largest keys."""
+    return spark.read.parquet(f"{path}/directory")
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    columns = spark.read.parquet(f"{path}/columns").schema
+    return spark.read.schema(columns).parquet(f"{path}/rows")
 
 
 def stored_total(spark: SparkSession, path: str) -> int:
@@ -55,8 +63,7 @@ def read_places(
 
     Only the ranges that hold these places are read and sorted: at most `size + 1` of them.
     """
-    columns = spark.read.parquet(f"{path}/columns").schema
-    rows = spark.read.schema(columns).parquet(f"{path}/rows")
+    rows = _stored(spark, path)
     places = directory(spark, path).where(
         (F.col("before") < start + size) & (F.col("before") + F.col("rows") > start)
     )
@@ -65,3 +72,13 @@ def read_places(
         return rows.drop(_RANGE).limit(0)
     wanted = rows.where(F.col(_RANGE).isin([r[_RANGE] for r in held])).drop(_RANGE)
     return wanted.orderBy(*order).offset(start - held[0]["before"]).limit(size)
+
+
+def read_first_keys(spark: SparkSession, path: str, key: str, values: list) -> DataFrame:
+    """Rows whose first key is one of `values`; only ranges that can hold one are read."""
+    may = F.lit(False)
+    for value in values:
+        may = may | F.lit(value).between(F.col(f"first.{key}"), F.col(f"last.{key}"))
+    held = [r[_RANGE] for r in directory(spark, path).where(may).select(_RANGE).collect()]
+    rows = _stored(spark, path).where(F.col(_RANGE).isin(held) & F.col(key).isin(values))
+    return rows.drop(_RANGE)

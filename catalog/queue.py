@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from casequeue.operators import queue
+from casequeue.operators import queue, search_index
 from casequeue.operators.views import operational_cases
 from casequeue.sources.handover import shared_folder
 from casequeue.sources.ordered import stored_total
@@ -75,6 +75,13 @@ def queue_page_after(spark, sf_dir):
     return _shown(page)
 
 
+def search_indexed(spark, sf_dir):
+    """The rows of `search_cases`, found by posting lists written before."""
+    path, found = shared_folder(spark), _cases(spark, sf_dir)
+    search_index.write_search_index(found, path)
+    return search_index.indexed_search(spark, path, found, _SEARCH).select("complaint_id", "product")
+
+
 def filter_queue(spark, sf_dir):
     found = queue.filter_queue(
         _cases(spark, sf_dir), product="BUILDING", issue="HIGH", manual_attention=True
@@ -120,6 +127,7 @@ QUERIES = {
     .agg(F.count("*").alias("count")),
     "filter_queue": filter_queue,
     "search_cases": lambda s, d: queue.search(_cases(s, d), _SEARCH).select("complaint_id", "product"),
+    "search_indexed": search_indexed,
     "queue_page": queue_page,
     "queue_page_after": queue_page_after,
     "stored_queue_page": stored_queue_page,
@@ -145,6 +153,8 @@ _SHOWN = "complaint_id, date_received, product, issue, route_status, assigned_pr
 _SEARCH_SQL = f"""(complaint_id ILIKE '%{_SEARCH}%' OR product ILIKE '%{_SEARCH}%'
   OR issue ILIKE '%{_SEARCH}%' OR coalesce(company, '') ILIKE '%{_SEARCH}%'
   OR coalesce(narrative, '') ILIKE '%{_SEARCH}%')"""
+_SEARCH_CASES_SQL = f"""WITH {OPERATIONAL_SQL}
+SELECT complaint_id, product FROM operational WHERE {_SEARCH_SQL}"""
 _PRIORITY_SQL = f"""WITH {OPERATIONAL_SQL},
 given AS (SELECT *, CASE submitted_via WHEN '1' THEN 'urgent' WHEN '5' THEN 'low' END AS p
   FROM operational),
@@ -160,8 +170,8 @@ SELECT route_status, count(*) AS count FROM routed GROUP BY 1""",
     "filter_queue": f"""WITH {OPERATIONAL_SQL}
 SELECT complaint_id, date_received, product, issue FROM operational
 WHERE product = 'BUILDING' AND issue = 'HIGH' AND requires_manual_attention""",
-    "search_cases": f"""WITH {OPERATIONAL_SQL}
-SELECT complaint_id, product FROM operational WHERE {_SEARCH_SQL}""",
+    "search_cases": _SEARCH_CASES_SQL,
+    "search_indexed": _SEARCH_CASES_SQL,
     "queue_page": f"""{_ROUTED_SQL} SELECT {_SHOWN} FROM routed
 WHERE requires_manual_attention
 ORDER BY date_received DESC, complaint_id DESC LIMIT 50 OFFSET 50""",
