@@ -315,11 +315,14 @@ def routing_support(counters: DataFrame) -> DataFrame:
 
 
 def column_profile(parsed: DataFrame, cap: int | None = None) -> DataFrame:
-    """Null counts and exact distinct counts of each column, in one pass over the lines.
+    """Null counts and distinct counts of each column, in one pass over the lines.
 
-    Only digests of values move, once for each value and map task. With `cap`,
-    counts are shown up to it; the default shows them whole.
+    Without `cap` counts are exact and whole: only digests of values move, once for each value and
+    map task. With it they are exact below it and shown up to it (at most 2**26): a task keeps the
+    smallest hashes of a column, of which `cap` or more are enough, and only those move.
     """
+    if cap is not None:
+        return _capped_profile(parsed, cap)
     pairs = F.array(
         *[
             F.struct(F.lit(c).alias("column"), F.md5(F.nullif(F.col(c), F.lit(""))).alias("digest"))
@@ -336,12 +339,32 @@ def column_profile(parsed: DataFrame, cap: int | None = None) -> DataFrame:
         ),
         F.count("digest").alias("_distinct"),
     )
-    shown = F.col("_distinct") if cap is None else F.least("_distinct", F.lit(cap))
-    capped = F.lit(False) if cap is None else F.col("_distinct") >= cap
     return counted.select(
         "column",
         "null_count",
         F.round(F.col("null_count") / F.col("_rows"), 6).alias("null_rate"),
-        shown.cast("bigint").alias("distinct_count_observed"),
-        capped.alias("distinct_count_capped"),
+        F.col("_distinct").alias("distinct_count_observed"),
+        F.lit(False).alias("distinct_count_capped"),
     )
+
+
+def _capped_profile(parsed: DataFrame, cap: int) -> DataFrame:
+    """The profile from theta sketches, which are exact up to their nominal size of at least `cap`."""
+    size = min(26, max(4, (cap - 1).bit_length()))
+    rows = F.count_if("is_object")
+
+    def column(name: str) -> Column:
+        value = F.when(F.col("is_object"), F.nullif(F.col(name), F.lit("")))
+        nulls = rows - F.count(value)
+        found = F.theta_sketch_estimate(F.theta_sketch_agg(value, size))
+        return F.struct(
+            F.lit(name).alias("column"),
+            nulls.alias("null_count"),
+            F.round(F.try_divide(nulls, rows), 6).alias("null_rate"),
+            F.least(found, F.lit(cap)).cast("bigint").alias("distinct_count_observed"),
+            (found >= cap).alias("distinct_count_capped"),
+        )
+
+    counted = parsed.agg(rows.alias("_rows"), F.array(*[column(c) for c in PROFILE_COLUMNS]).alias("_all"))
+    # As without a cap, a table without rows has no profile.
+    return counted.where("_rows > 0").select(F.inline("_all"))

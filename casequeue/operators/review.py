@@ -80,20 +80,29 @@ def review_template(sample: DataFrame) -> DataFrame:
     )
 
 
-def _with_repeats(rows: DataFrame, key: str, flag: str) -> DataFrame:
-    """Adds whether a key occurs more than once in the rows.
+_TWICE = {"summary_id": "_twice_summary", "complaint_id": "_twice_case"}
 
-    Blank keys, of which there may be any number, are no ids: they skip the join
-    and are left to the rule for blanks.
+
+def _spread_key(rows: DataFrame, key: str, place: int = 0) -> Column:
+    """`place:key`; blank keys, of which there may be any number, are spread and match nothing."""
+    filled = F.coalesce(F.col(key), F.lit("")) != ""
+    nowhere = F.concat(F.lit("-"), F.xxhash64(*rows.columns).cast("string"))
+    return F.when(filled, F.concat(F.lit(f"{place}:"), F.col(key))).otherwise(nowhere)
+
+
+def _with_repeats(rows: DataFrame, flags: dict[str, str]) -> DataFrame:
+    """Adds for each key whether it occurs more than once in the rows; blank keys are no ids.
+
+    One aggregate counts all keys, and every join takes its result, so rows are read twice.
     """
-    blank = F.coalesce(F.col(key), F.lit("")) == ""
-    filled = rows.where(~blank)
-    repeated = filled.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(
-        key, F.lit(True).alias(flag)
-    )
-    return filled.join(repeated, key, "left").unionByName(
-        rows.where(blank).withColumn(flag, F.lit(None).cast("boolean"))
-    )
+    named = F.array(*[_spread_key(rows, key, i) for i, key in enumerate(flags)])
+    keys = rows.select(F.explode(named).alias("_key")).where("_key not like '-%'")
+    repeated = keys.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1")
+    marked = rows
+    for i, (key, flag) in enumerate(flags.items()):
+        twice = repeated.select("_key", F.lit(True).alias(flag))
+        marked = marked.withColumn("_key", _spread_key(rows, key, i)).join(twice, "_key", "left")
+    return marked.drop("_key")
 
 
 def draft_manifest(drafts: DataFrame, draft_columns: list[str]) -> DataFrame:
@@ -106,9 +115,7 @@ def draft_manifest(drafts: DataFrame, draft_columns: list[str]) -> DataFrame:
         *[strip(F.col(c).cast("string")).alias(c) for c in ("complaint_id", "summary_id", "model")],
         F.sha2(canonical_json(draft_columns), 256).alias("draft_sha256"),
     )
-    marked = _with_repeats(
-        _with_repeats(items, "complaint_id", "_twice_case"), "summary_id", "_twice_summary"
-    )
+    marked = _with_repeats(items, _TWICE)
     blank = reduce(
         lambda a, b: a | b,
         [F.coalesce(F.col(c), F.lit("")) == "" for c in ("complaint_id", "summary_id", "model")],
@@ -161,13 +168,10 @@ def validate_review_rows(
         "draft_sha256",
         "review_manifest_sha256",
     )
-    marked = _with_repeats(
-        _with_repeats(rows, "complaint_id", "_twice_case"), "summary_id", "_twice_summary"
-    )
+    marked = _with_repeats(rows, _TWICE).withColumn("_key", _spread_key(rows, "complaint_id"))
     known = frozen.join(bound, "complaint_id", "full")
-    joined = marked.where("complaint_id <> ''").join(known, "complaint_id", "left")
-    nothing = [F.lit(None).cast(t).alias(c) for c, t in known.dtypes if c != "complaint_id"]
-    joined = joined.unionByName(marked.where("complaint_id = ''").select("*", *nothing))
+    known = known.withColumn("_key", F.concat(F.lit("0:"), "complaint_id")).drop("complaint_id")
+    joined = marked.join(known, "_key", "left")
     score = F.col("factuality_score_1_to_5")
     flags = ("all_claims_supported", "quotes_exact", "included_in_review_sample")
     rules = {

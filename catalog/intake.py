@@ -13,6 +13,7 @@ from casequeue.sources.handover import shared_folder
 from catalog.adapters import CASES_SQL, cases, table
 
 _AS_OF = date(2001, 6, 30)
+PROFILE_CAP = 100
 
 
 def _padded(c):
@@ -200,6 +201,10 @@ def column_profile(spark, sf_dir):
     return quality.column_profile(_parsed(spark, sf_dir))
 
 
+def column_profile_capped(spark, sf_dir):
+    return quality.column_profile(_parsed(spark, sf_dir), cap=PROFILE_CAP)
+
+
 def _manifest(spark, sf_dir):
     """Manifest of monthly windows over the cases; odd months lack optional fields."""
     month = F.trunc("date_received", "month")
@@ -284,7 +289,25 @@ def stored_snapshot(spark, sf_dir):
     return lines.select("line_number", F.sha2("value", 256).alias("line_sha256"))
 
 
+def stored_snapshot_rows(spark, sf_dir):
+    """Typed rows of a stored snapshot."""
+    rows = cases(spark, sf_dir).select("complaint_id", "date_received", "issue", "product", "timely")
+    path = shared_folder(spark)
+    snapshot.write_snapshot(rows, path)
+    return snapshot.read_snapshot_jsonl(spark, path).select(rows.columns)
+
+
+def stored_windows(spark, sf_dir):
+    """Window totals that replaced those of one year."""
+    windows, path = source_windows(spark, sf_dir), shared_folder(spark)
+    manifests.write_source_windows(windows.where(F.year("date_received_min") == 1995), path)
+    manifests.write_source_windows(windows, path)
+    return spark.read.parquet(path)
+
+
 QUERIES = {
+    "stored_snapshot_rows": stored_snapshot_rows,
+    "stored_windows": stored_windows,
     "broken_links": broken_links,
     "stored_snapshot": stored_snapshot,
     "clean_text": clean_text,
@@ -303,6 +326,7 @@ QUERIES = {
     "search_hits": search_hits,
     "source_total": source_total,
     "column_profile": column_profile,
+    "column_profile_capped": column_profile_capped,
     "failed_checks": failed_checks,
     "routing_support": routing_support,
     "row_hashes": row_hashes,
@@ -471,6 +495,9 @@ SELECT complaint_id, strftime(date_received, '%Y-%m-%d') AS date_received, produ
   submitted_via = '1' OR nullif(trim(narrative, {_WS}), '') IS NOT NULL AS has_narrative
 FROM cases""",
     "source_windows": f"{_SOURCE_WINDOWS_SQL} SELECT * FROM windows",
+    "stored_windows": f"{_SOURCE_WINDOWS_SQL} SELECT * FROM windows",
+    "stored_snapshot_rows": f"""WITH {CASES_SQL}
+SELECT complaint_id, date_received, issue, product, timely FROM cases""",
     "source_volume": f"""{_SOURCE_WINDOWS_SQL}
 SELECT *, (SELECT bool_and(source_total_relation = 'eq') FROM windows)
   AS exact_population_volume FROM windows""",
@@ -502,6 +529,11 @@ pages AS (SELECT CAST(complaint_id AS BIGINT) // 1000 AS page, count(*) AS n FRO
 SELECT page, CASE WHEN page % 3 < 2 THEN n ELSE 0 END AS source_total,
   CASE WHEN page % 3 = 0 THEN 'gte' ELSE 'eq' END AS source_total_relation FROM pages""",
     "column_profile": f"WITH {CASES_SQL} {_PROFILE_SQL}",
+    "column_profile_capped": f"""WITH {CASES_SQL}
+SELECT "column", null_count, null_rate,
+  least(distinct_count_observed, {PROFILE_CAP}) AS distinct_count_observed,
+  distinct_count_observed >= {PROFILE_CAP} AS distinct_count_capped
+FROM ({_PROFILE_SQL})""",
     "row_hashes": f"""WITH {CASES_SQL}
 SELECT complaint_id, {_ROW_JSON} AS row_sha256 FROM cases""",
     "rowset_fingerprint": f"""WITH {CASES_SQL},

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from casequeue.functions.hashing import hash_rank
 from casequeue.operators import review
 from casequeue.schemas import ROUTE_REVIEWS
-from casequeue.sources import logs, manifests
+from casequeue.sources import logs, manifests, worksheet
 from casequeue.sources.handover import shared_folder
 from catalog.adapters import CASES_SQL, REVIEWS_SQL, cases, reviews, rounded, table
 
@@ -73,6 +73,14 @@ def review_template(spark, sf_dir):
     return review.review_template(freeze_sample(spark, sf_dir))
 
 
+def stored_worksheet(spark, sf_dir):
+    """The template written as CSV and read as a worksheet."""
+    path = shared_folder(spark)
+    worksheet.write_review_template(review_template(spark, sf_dir), path)
+    rows = worksheet.read_review_worksheet(spark, path)
+    return rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in rows.columns])
+
+
 def _drafts(spark, sf_dir):
     key = F.col("doc_id").cast("string")
     return table(spark, sf_dir, "documents").select(
@@ -232,6 +240,7 @@ QUERIES = {
     "hash_ranks": hash_ranks,
     "freeze_sample": freeze_sample,
     "review_template": review_template,
+    "stored_worksheet": stored_worksheet,
     "frozen_sample": frozen_sample,
     "route_review_checks": route_review_checks,
     "appended_route_reviews": appended_route_reviews,
@@ -259,6 +268,11 @@ sample AS (
     CAST(row_number() OVER (ORDER BY r, month, product) AS INTEGER) AS position
   FROM rounds ORDER BY r, month, product LIMIT {_SAMPLE}
 )"""
+_TEMPLATE_SQL = f"""{_SAMPLE_SQL}
+SELECT 'summary-review-' || lpad(CAST(position AS VARCHAR), 4, '0') AS review_row_id,
+  '' AS summary_id, complaint_id, month, product, '' AS reviewer_id,
+  '' AS factuality_score_1_to_5, '' AS all_claims_supported, '' AS quotes_exact,
+  '' AS included_in_review_sample FROM sample"""
 _SCORES_SQL = """WITH scores AS (
   SELECT 's' || doc_id AS summary_id, 'reviewer' AS reviewer_id,
     CAST(5 - 2 * (1 - quality) - toxic AS INTEGER) AS factuality_score,
@@ -312,11 +326,8 @@ SELECT 'private_generated_drafts' AS status, CAST(n AS INTEGER) AS items,
   sha256('{{"items":[' || items || '],"schema_version":"summary-draft-manifest-v1",'
     || '"source_sample_manifest_sha256":"' || repeat('0', 64)
     || '","status":"private_generated_drafts"}}') AS manifest_sha256 FROM listed""",
-    "review_template": f"""{_SAMPLE_SQL}
-SELECT 'summary-review-' || lpad(CAST(position AS VARCHAR), 4, '0') AS review_row_id,
-  '' AS summary_id, complaint_id, month, product, '' AS reviewer_id,
-  '' AS factuality_score_1_to_5, '' AS all_claims_supported, '' AS quotes_exact,
-  '' AS included_in_review_sample FROM sample""",
+    "review_template": _TEMPLATE_SQL,
+    "stored_worksheet": _TEMPLATE_SQL,
     "current_draft_status": """SELECT 's' || d.doc_id AS summary_id,
   CASE quality WHEN 1 THEN 'approved' WHEN 0 THEN 'rejected' ELSE 'pending_review' END AS status
 FROM documents d LEFT JOIN labels USING (doc_id)""",

@@ -170,3 +170,11 @@ def test_profile_caps_distinct_counts(spark):
     exact = {r["column"]: r for r in quality.column_profile(parsed).collect()}
     assert (exact["complaint_id"]["distinct_count_observed"], exact["complaint_id"]["distinct_count_capped"]) == (60, False)
     assert quality.snapshot_rows(parsed).where(F.col("complaint_id").isNull()).count() == 0
+
+
+def test_capped_profile_is_exact_around_the_cap(spark):
+    rows = [{"complaint_id": str(i % 33), "state": str(i % 32), "issue": str(i % 31)} for i in range(3000)]
+    profile = {r["column"]: r for r in quality.column_profile(lines(spark, *rows).repartition(7), cap=32).collect()}
+    found = [(profile[c]["distinct_count_observed"], profile[c]["distinct_count_capped"]) for c in ("complaint_id", "state", "issue")]
+    assert found == [(32, True), (32, True), (31, False)]
+    assert quality.column_profile(lines(spark, "no row"), cap=32).count() == 0

@@ -234,3 +234,10 @@ def test_the_first_broken_link_of_a_chain_is_named(spark):
     }
     assert broken(entries.where("kind <> 'snapshot'"))["review"] == (3, "sample", "lost")
     assert broken(entries.limit(0)) == {}
+
+
+def test_repeats_read_the_rows_twice(spark):
+    rows = spark.createDataFrame([("1", "a"), ("1", "b"), ("", "b"), ("", "c"), (None, "d")], "complaint_id string, summary_id string")
+    marked = review._with_repeats(rows, review._TWICE)
+    found = {(r["complaint_id"], r["summary_id"]): (r["_twice_case"], r["_twice_summary"]) for r in marked.collect()}
+    assert found == {("1", "a"): (True, None), ("1", "b"): (True, True), ("", "b"): (None, True), ("", "c"): (None, None), (None, "d"): (None, None)}
