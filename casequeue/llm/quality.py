@@ -2,12 +2,16 @@
 
 The text view sees which words occur and how the text is made (shares of capitals, marks, digits,
 repeated words and lines, lengths); the metadata view sees source, language and recorded length.
-Each fits a logistic model on labelled documents. In each of ``ROUNDS`` rounds both views score every
+A view's model weighs a feature by the log ratio of its rates under both values, times a coefficient
+from a logistic fit on labelled documents. In each of ``ROUNDS`` rounds both views score every
 unlabelled document, and each labels all of which it is sure for the other view to train on. Those
-come back as counts of documents by feature and value. Features that labelled rows hardly have get the
-log ratio of their rates among those documents as weight, times the mean coefficient that the ratios
-of the labelled rows' own features were fitted with. A logistic model over both views' log-odds, fitted on
-labelled documents that neither has seen, calibrates and combines them. The same is done for each
+come back as counts of documents by feature and value, and the other view is trained anew: ratios are
+those of labelled and pseudo-labelled documents together, and coefficients and bias are fitted again
+on them. A sure teacher can be wrong in the same way again and again, so the pseudo-labelled documents of a
+value weigh at most ``MASSES`` times its labelled ones; the view keeps the mass with the least loss on labelled
+documents that it has not seen. Features that labelled rows hardly have get the ratio of all pseudo-labelled
+documents, whatever the mass, and the mean coefficient. A logistic model over both views' log-odds, fitted on
+the labelled documents that neither has seen, calibrates and combines them. The same is done for each
 target: ``quality`` and ``toxic``.
 
 At most ``LABELLED`` labelled rows, chosen by a hash of the id, are fitted on the driver, one document
@@ -41,6 +45,7 @@ WORD_BITS = 18
 SHAPES = 256
 FEATURES = (1 << WORD_BITS) + SHAPES
 META_FEATURES = 1 << 12
+MASSES = (0.0, 0.03, 0.3, 1.0)  # of pseudo-labelled documents, by value, to labelled ones
 LEAST_RATIO = 1.0  # log ratio of its rates under both values, for a feature to count
 SHAPE_SCALE = 4.0  # a long text has many words but one value of each shape
 HEAD = 4
@@ -165,18 +170,32 @@ class Taught:
 
 
 def fit_logistic(
-    rows: Rows, y: np.ndarray, size: int, taught: Taught | None = None, steps: int = 80, l2: float = 1e-5
+    rows: Rows,
+    y: np.ndarray,
+    size: int,
+    taught: Taught | None = None,
+    mass: float = 0.0,
+    steps: int = 80,
+    l2: float = 1e-5,
 ) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic model over binary features, by full-batch AdaGrad.
 
     A feature is scaled by its log ratio of rates under both values, so that a word which tells the
-    values apart learns faster than the many that do not. Features of fewer than ``MIN_DOCUMENTS`` rows
-    have the ratio of ``taught``, if any, and the mean coefficient of the others.
+    values apart learns faster than the many that do not. The documents of a value in ``taught`` count in the
+    ratios, as at most ``mass`` times its rows. Features of fewer than ``MIN_DOCUMENTS`` rows have the ratio of all
+    of ``taught``, if any, and the mean coefficient of the others.
     """
     every, ones = np.bincount(rows.index, minlength=size), y.sum()
     owner = np.repeat(np.arange(len(rows.counts), dtype=np.int32), rows.counts)
     high = np.bincount(rows.index, y[owner], size)
-    ratio = np.log((high + 1) / (ones + 2)) - np.log((every - high + 1) / (len(y) - ones + 2))
+    zeros = len(y) - ones
+    if taught is None:
+        taught = Taught(np.zeros(size), np.zeros(size), 0, 0)
+    by_ones = min(1.0, mass * ones / max(1, taught.ones))
+    by_zeros = min(1.0, mass * zeros / max(1, taught.zeros))
+    ratio = np.log((high + by_ones * taught.high + 1) / (ones + by_ones * taught.ones + 2)) - np.log(
+        (every - high + by_zeros * taught.low + 1) / (zeros + by_zeros * taught.zeros + 2)
+    )
     telling = (every >= MIN_DOCUMENTS) & (np.abs(ratio) >= LEAST_RATIO)
     kept, names = telling[rows.index], np.flatnonzero(telling)
     owner, index = owner[kept], (np.cumsum(telling, dtype=np.int32) - 1)[rows.index[kept]]
@@ -195,8 +214,8 @@ def fit_logistic(
         bias -= 0.1 * b / np.sqrt(bias_square)
     weights = np.zeros(size)
     weights[names] = v * scale
-    if taught is not None and len(names):
-        ones, zeros = taught.ones + y.sum(), taught.zeros + len(y) - y.sum()
+    if taught.ones + taught.zeros and len(names):
+        ones, zeros = taught.ones + ones, taught.zeros + zeros
         share = ones / (ones + zeros)  # a rare feature has a ratio near 0 however unequal the values
         low, high = every - high + taught.low, high + taught.high
         ratio = np.log((high + 2 * share) / ones) - np.log((low + 2 * (1 - share)) / zeros)
@@ -246,9 +265,19 @@ class _Learner:
         self.learn((None, None))
 
     def learn(self, taught: tuple) -> None:
-        self.models = [
-            fit_logistic(r, self.y, s, t) for r, s, t in zip(self.rows, _SIZES, taught, strict=True)
-        ]
+        self.models = [self._best(view, lesson) for view, lesson in enumerate(taught)]
+
+    def _best(self, view: int, lesson: Taught | None) -> tuple[np.ndarray, float]:
+        """The model of the mass that fits the unseen labelled rows best; the least mass of equal ones."""
+        rows, size = self.rows[view], _SIZES[view]
+        if lesson is None:
+            return fit_logistic(rows, self.y, size)
+
+        def loss(model):
+            odds = np.clip(self.judges[view].scores(*model), -ODDS, ODDS)
+            return float(np.sum(np.logaddexp(0, odds) - self.judged * odds))
+
+        return min((fit_logistic(rows, self.y, size, lesson, mass) for mass in MASSES), key=loss)
 
     def model(self) -> dict:
         odds = [r.scores(*m) for r, m in zip(self.judges, self.models, strict=True)]
