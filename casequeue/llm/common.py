@@ -49,6 +49,22 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_BYTES_CONF, str(BATCH_BYTES))
 
 
+_CACHES: list[dict] = []
+
+
+def worker_cache(cache: dict) -> dict:
+    """Registers a cache of a worker process, which its tasks share."""
+    _CACHES.append(cache)
+    return cache
+
+
+def keep_only(*used: dict) -> None:
+    """Empties the caches that other operators left in this worker process."""
+    for cache in _CACHES:
+        if not any(cache is u for u in used):
+            cache.clear()
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

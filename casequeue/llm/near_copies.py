@@ -2,7 +2,7 @@
 
 A document is the set of its distinct ``words``-word shingles (its whole word sequence if shorter);
 documents are linked if their Jaccard similarity is at least ``threshold``, and components of links
-are groups. Documents with equal sets are one class; everything else works on classes.
+are groups. Documents with equal sets, by 128 bits of hash, are one class; everything else works on classes.
 
 1. MinHash signatures of ``BANDS`` x ``ROWS`` values; classes that agree on a band meet in a bucket.
 2. In ``ROUNDS`` rounds, every bucket that holds several components names a pivot, first the class
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casequeue.llm.common import fresh, handed_over, partitions
+from casequeue.llm.common import bound_batches, fresh, handed_over, keep_only, partitions, worker_cache
 from casequeue.llm.suffix_kernel import mix
 
 WORDS = 5
@@ -64,7 +64,7 @@ class _Hashes(dict):
         return found
 
 
-_HASHES = _Hashes()  # of a worker process: its tasks share the cache
+_HASHES = worker_cache(_Hashes())
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -105,22 +105,24 @@ def least_matches(threshold: float, miss: float = MISS) -> list[tuple[int, int]]
 
 def _signed(words: int):
     def run(batches):
+        keep_only(_HASHES)
         for batch in batches:
-            size, cid, sig = [], [], []
+            size, cid, check, sig = [], [], [], []
             for text in batch.column(1):
                 s = shingles(text.as_py(), words)
                 size.append(len(s))
                 if len(s):
-                    digest = blake2b(s.tobytes(), digest_size=8).digest()
-                    cid.append(int.from_bytes(digest, "little", signed=True))
+                    digest = blake2b(s.tobytes(), digest_size=16).digest()
+                    cid.append(int.from_bytes(digest[:8], "little", signed=True))
+                    check.append(int.from_bytes(digest[8:], "little", signed=True))
                     sig.append(signature(s).tobytes())
                 else:
-                    cid.append(None)
-                    sig.append(None)
-            found = [pa.array(size, pa.int64()), pa.array(cid, pa.int64()), pa.array(sig, pa.binary())]
+                    for column in (cid, check, sig):
+                        column.append(None)
+            found = [pa.array(c, pa.int64()) for c in (size, cid, check)] + [pa.array(sig, pa.binary())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *batch.columns[2:], *found],
-                names=["rid", "hash", "uid", "n", "cid", "sig"],
+                names=["rid", "hash", "uid", "n", "cid", "check", "sig"],
             )
 
     return run
@@ -274,9 +276,35 @@ def _merge(left: DataFrame, right: DataFrame, key: str | list[str]) -> DataFrame
     return left.join(right.hint("merge"), key)
 
 
+def classified(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with one ``cid`` for each set, and a row for each class with its ``first`` row.
+
+    Sets are told apart by 128 bits, ``cid`` and ``check``. Where different sets have one ``cid``, all but
+    that of the least ``check`` get another, until no two share one.
+    """
+    while True:
+        classes = handed_over(
+            rows.where("cid is not null")
+            .groupBy("cid")
+            .agg(
+                F.min(F.struct("rid", "hash", "uid")).alias("first"),
+                F.max("n").alias("n"),
+                F.min("check").alias("least"),
+                F.max("check").alias("most"),
+            )
+        )
+        shared = classes.where("least <> most").select("cid", "least")
+        if not shared.limit(1).count():
+            return rows, classes.drop("least", "most")
+        apart = F.when(F.col("check") != F.col("least"), F.xxhash64("cid", "check"))
+        marked = rows.join(shared.hint("merge"), "cid", "left").withColumn("cid", F.coalesce(apart, "cid"))
+        rows = handed_over(marked.select(*rows.columns))
+
+
 class _Linker:
     def __init__(self, docs: DataFrame, words: int, threshold: tuple[int, int]):
         self.spark = docs.sparkSession
+        bound_batches(self.spark)
         self.words, self.threshold = words, threshold
         self.bounds = least_matches(threshold[0] / threshold[1])
         rid, digest = _row_key()
@@ -284,14 +312,10 @@ class _Linker:
         # Written with the rows, ``uid`` tells identical ones apart.
         self.rows = handed_over(
             self.texts.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(
-                _signed(words), "rid long, hash long, uid long, n long, cid long, sig binary"
+                _signed(words), "rid long, hash long, uid long, n long, cid long, check long, sig binary"
             )
         )
-        self.classes = handed_over(
-            self.rows.where("cid is not null")
-            .groupBy("cid")
-            .agg(F.min(F.struct("rid", "hash", "uid")).alias("first"), F.max("n").alias("n"))
-        )
+        self.rows, self.classes = classified(self.rows)
 
     def buckets(self) -> DataFrame:
         """Classes of buckets that have several, with the number of meetings of the class."""

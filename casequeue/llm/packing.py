@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from casequeue.llm.common import keep_only
 from casequeue.llm.tokens import encoder_of
 
 CAPACITY = 2048
@@ -110,6 +111,7 @@ def _packed(tokenizer: str, end_id: int, capacity: int, group: int, cut: bool):
     def run(batches):
         from pyspark import TaskContext
 
+        keep_only()
         encoder = encoder_of(tokenizer)
         end = end_id.to_bytes(encoder.width, "little")
         sequences = count(TaskContext.get().partitionId() << 33)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casequeue.llm.common import bound_batches, fresh, handed_over
+from casequeue.llm.common import bound_batches, fresh, handed_over, keep_only, worker_cache
 
 LABELLED = 12_000
 ROUNDS = 3
@@ -78,7 +78,7 @@ class _Words(dict):
         return found
 
 
-_WORDS = _Words()  # of a worker process: its tasks share the cache
+_WORDS = worker_cache(_Words())
 
 
 def _shape(name: str, value: float, steps: int = 10) -> tuple[int, ...]:
@@ -291,6 +291,7 @@ def _packed_features(found: np.ndarray) -> bytes:
 
 def _featured(batches):
     words = _WORDS
+    keep_only(words)
     for batch in batches:
         columns = batch.to_pydict()
         rows = zip(columns["text"], columns["source"], columns["lang"], columns["n_chars"], strict=True)
@@ -479,6 +480,7 @@ def _scored(models: dict):
 
     def run(batches):
         words, dense = _WORDS, _dense(models)
+        keep_only(words)
         for batch in batches:
             columns = batch.to_pydict()
             rows = zip(columns["text"], columns["source"], columns["lang"], columns["n_chars"], strict=True)

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from casequeue.llm import near_copies
+from casequeue.llm import common, near_copies
 from tests.llm.samples import documents, nothing, texts
 
 
@@ -121,3 +121,25 @@ def test_bounds_keep_pairs_at_the_threshold():
         lost |= matches[:, n - 1] < least
     assert lost.mean() < 1e-3
     assert bounds[-1][1] > 100
+
+
+def test_sets_of_one_short_hash_are_told_apart(spark):
+    schema = "rid long, hash long, uid long, n long, cid long, check long, sig binary"
+    given = [(1, 1, 1, 3, 7, 5), (2, 2, 2, 3, 7, 5), (3, 3, 3, 4, 7, 6), (4, 4, 4, 4, 7, 9), (5, 5, 5, 2, 8, 5), (6, 6, 6, 0, None, None)]
+    rows, classes = near_copies.classified(spark.createDataFrame([(*r, None) for r in given], schema))
+    name = {r["rid"]: r["cid"] for r in rows.collect()}
+    assert name[1] == name[2] == 7 and name[5] == 8 and name[6] is None
+    assert len(set(name.values())) == 5
+    assert sorted((r["first"]["rid"], r["n"]) for r in classes.collect()) == [(1, 3), (3, 4), (4, 4), (5, 2)]
+    assert {r["cid"] for r in classes.collect()} == set(name.values()) - {None}
+
+
+def test_caches_of_other_operators_go():
+    from casequeue.llm import quality
+
+    near_copies.shingles("some words of a text", 2)
+    quality.text_features("some words of a text", quality._WORDS)
+    common.keep_only(quality._WORDS)
+    assert not near_copies._HASHES and quality._WORDS
+    common.keep_only()
+    assert not quality._WORDS
