@@ -140,11 +140,7 @@ class Rows:
     @classmethod
     def unpacked(cls, column: list[bytes]) -> Rows:
         """Rows of ``_packed_features``."""
-        steps = np.frombuffer(b"".join(column), np.int32)
-        counts = np.array([len(b) // 4 for b in column], np.int64)
-        sums = np.concatenate([[0], np.cumsum(steps, dtype=np.int64)])
-        before = sums[np.cumsum(counts) - counts]
-        return cls((sums[1:] - np.repeat(before, counts)).astype(np.int32), counts)
+        return cls.of([np.cumsum(np.frombuffer(b, np.int32), dtype=np.int32) for b in column])
 
     def held_by(self, documents: np.ndarray, size: int) -> np.ndarray:
         """Number of the marked documents that have each feature."""
@@ -186,9 +182,7 @@ def fit_logistic(
     of ``taught``, if any, and the mean coefficient of the others.
     """
     every, ones = np.bincount(rows.index, minlength=size), y.sum()
-    owner = np.repeat(np.arange(len(rows.counts), dtype=np.int32), rows.counts)
-    high = np.bincount(rows.index, y[owner], size)
-    zeros = len(y) - ones
+    high, zeros = rows.held_by(y > 0, size), len(y) - ones
     if taught is None:
         taught = Taught(np.zeros(size), np.zeros(size), 0, 0)
     by_ones = min(1.0, mass * ones / max(1, taught.ones))
@@ -198,6 +192,7 @@ def fit_logistic(
     )
     telling = (every >= MIN_DOCUMENTS) & (np.abs(ratio) >= LEAST_RATIO)
     kept, names = telling[rows.index], np.flatnonzero(telling)
+    owner = np.repeat(np.arange(len(rows.counts), dtype=np.int32), rows.counts)
     owner, index = owner[kept], (np.cumsum(telling, dtype=np.int32) - 1)[rows.index[kept]]
     ratio = ratio[telling]
     scale = np.where(names >= 1 << WORD_BITS, SHAPE_SCALE, 1.0) * ratio
@@ -415,8 +410,8 @@ def _fit(docs: DataFrame, labels: DataFrame, labelled: int) -> tuple[dict, DataF
         .agg(F.min(F.struct("text", "meta")).alias("f"))
     )
     rows = firsts.join(F.broadcast(chosen), "i").select("quality", "toxic", "f.text", "f.meta").collect()
-    rows.sort(key=lambda r: (zlib.crc32(r["text"]), bytes(r["text"]), bytes(r["meta"])))
-    text, meta = (Rows.unpacked([bytes(r[c]) for r in rows]) for c in ("text", "meta"))
+    rows.sort(key=lambda r: (zlib.crc32(r["text"]), r["text"], r["meta"]))
+    text, meta = (Rows.unpacked([r[c] for r in rows]) for c in ("text", "meta"))
     rows = [{t: r[t] for t in TARGETS} for r in rows]  # the features are held once
     models, learners = {}, {}
     for target, neutral in TARGETS.items():
@@ -426,6 +421,7 @@ def _fit(docs: DataFrame, labels: DataFrame, labelled: int) -> tuple[dict, DataF
             models[target] = {"rate": float(y.mean()) if len(y) else neutral}
         else:
             learners[target] = _Learner(text.take(at), meta.take(at), y)
+    del text, meta  # each learner has its own
     pool = features.where("known is null")
     for _ in range(ROUNDS if learners else 0):
         for target, taught in _lessons(pool, learners).items():
