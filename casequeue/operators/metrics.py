@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from casequeue.functions.probability import argmax_class, class_index, confidence
 from casequeue.functions.ranges import running_totals
 from casequeue.operators.views import ratio
+from casequeue.sources.handover import written
 
 # Fixed values of calibration, abstention and evaluation.
 BINS = 10
@@ -355,13 +356,14 @@ def threshold_sweep(decided: DataFrame, grid: Sequence[float] | None = None) ->
         F.lit(0).cast("bigint").alias("n"),
         F.lit(0).cast("bigint").alias("right"),
     )
-    candidates = (
+    # Written once: their number, the ranges, the totals and the sweep read the rows no more.
+    candidates = written(
         observed.unionByName(fixed)
         .groupBy("threshold")
         .agg(F.sum("n").alias("n"), F.sum("right").alias("right"))
     )
     swept = running_totals(candidates, "threshold", ["n", "right"], descending=True)
-    total = observed.agg(F.sum("n").alias("n")).scalar()
+    total = candidates.agg(F.sum("n").alias("n")).scalar()
     return swept.select(
         "threshold",
         F.coalesce(ratio(F.col("cum_n"), total), F.lit(0.0)).alias("coverage"),
