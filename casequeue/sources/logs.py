@@ -56,18 +56,20 @@ def check_route_reviews(batch: DataFrame, cases: DataFrame) -> tuple[DataFrame,
         .withColumn("known_case", F.lit(True))
     )
     given = F.coalesce(F.col("approved_route"), F.lit("")) != ""
-    accepted, rejected = _split(
-        batch.join(known, "complaint_id", "left"),
+    # Rules on fields come before the join, so that it moves only what the caller selects.
+    broken = _codes(
         {
-            "unknown_case": F.col("known_case"),
             "decision": F.col("decision").isin(*ROUTE_DECISIONS),
             "reviewer_id": _length_in("reviewer_id", *ACTOR_LENGTH),
             "approved_route_missing": (F.col("decision") == "reject") | given,
             "approved_route_length": _length_in("approved_route", 0, MAX_ROUTE),
             "notes_length": _length_in("notes", 0, MAX_NOTES),
-        },
+        }
     )
-    return accepted.drop("known_case"), rejected.drop("known_case")
+    joined = batch.withColumn("errors", broken).join(known, "complaint_id", "left")
+    unknown = _codes({"unknown_case": F.col("known_case")})
+    checked = joined.withColumn("errors", F.concat(unknown, "errors")).drop("known_case")
+    return checked.where(F.size("errors") == 0).drop("errors"), checked.where(F.size("errors") > 0)
 
 
 def check_summary_drafts(

@@ -312,3 +312,15 @@ def test_draft_ids_are_unique_against_the_log_itself(spark, folder):
 
 def test_no_log_yet(spark, folder):
     assert logs.read_log(spark, SYSTEM_EVENTS, f"{folder}/nothing").count() == 0
+
+
+def test_checked_reviews_move_only_what_is_selected(spark):
+    rows = [("c1", "ann", "approve", "Cards", "n" * 1001, None), ("c9", "a", "reject", None, "", None)]
+    batch, cases = spark.createDataFrame(rows, ROUTE_REVIEWS), spark.createDataFrame([("c1",)], "complaint_id string")
+    _, rejected = logs.check_route_reviews(batch, cases)
+    assert rejected.columns == [*ROUTE_REVIEWS.names, "errors"]
+    got = {r["complaint_id"]: r["errors"] for r in rejected.collect()}
+    assert got == {"c1": ["notes_length"], "c9": ["unknown_case", "reviewer_id"]}
+    lines = rejected.select("complaint_id", "errors")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join = next(i for i, line in enumerate(lines) if "Join LeftOuter" in line or "Join RightOuter" in line or "Join Inner" in line)
+    assert not any("notes" in line for line in lines[: join + 1])
