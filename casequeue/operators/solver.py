@@ -15,9 +15,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-PACKED_ROWS = 512
+from casequeue.session import bound_batches
+
+PACKED_ROWS = 512  # of a block at most; batches are bounded by bytes, so blocks of long texts have fewer
 GRADIENT_BLOCK = 4_096  # features of a block of the gradient
 MEMORY = 5  # steps that shape the next direction
 DECREASE = 1e-4  # of the slope that a step has to reach at least
@@ -50,6 +51,7 @@ class Balance:
 
 def pack_rows(vectors: DataFrame) -> DataFrame:
     """Blocks of rows with `label_index, indices, values`."""
+    bound_batches(vectors.sparkSession)
 
     def pack(batches):
         for batch in batches:
@@ -94,6 +96,7 @@ class Objective:
     """Mean weighted logistic loss with a squared penalty on all but the intercepts."""
 
     def __init__(self, packed: DataFrame, features: int, balance: Balance, alpha: float):
+        bound_batches(packed.sparkSession)  # a task holds a few blocks at a time, not all of its own
         self.packed, self.features, self.balance, self.alpha = packed, features, balance, alpha
         self.shape = (features + 1, len(balance.targets))
         self.passes = 0
@@ -107,13 +110,14 @@ class Objective:
             loss, gradient = np.zeros(shape[1]), np.zeros(shape)
             met = False
             for batch in batches:
-                for row in batch.to_pylist():
+                for block in zip(*batch.select(["labels", "starts", "indices", "vals"]).columns, strict=True):
                     met = True
+                    labels, starts, indices, values = (x.as_buffer() for x in block)
                     part = loss_and_gradient(
-                        np.frombuffer(row["labels"], np.int32),
-                        np.frombuffer(row["starts"], np.int64),
-                        np.frombuffer(row["indices"], np.int32),
-                        np.frombuffer(row["vals"], np.float64),
+                        np.frombuffer(labels, np.int32),
+                        np.frombuffer(starts, np.int64),
+                        np.frombuffer(indices, np.int32),
+                        np.frombuffer(values, np.float64),
                         sent.value,
                         balance,
                     )
