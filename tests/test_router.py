@@ -7,10 +7,12 @@ from collections import Counter
 from datetime import date
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from casequeue.operators import features, metrics, router, solver
+from casequeue.session import BATCH_BYTES_CONF
 from casequeue.sources import models
 from casequeue.sources.handover import written
 
@@ -239,3 +241,45 @@ def test_three_classes_have_three_margins(spark, rows):
 def test_one_label_cannot_be_routed(spark):
     with pytest.raises(ValueError, match="two labels"):
         router.class_sizes(spark.createDataFrame([("a",)], "label string"))
+
+
+def test_terms_are_looked_up_without_a_row_for_each(spark, monkeypatch):
+    """Keys that come back, or are null, are one text; so they are with a join of rows of terms."""
+    data = [("a", "oak elm elm"), ("a", "elm fir zz"), (None, "fir"), (None, "oak fir"), ("n", None), ("z", "zz yy")]
+    texts = spark.createDataFrame(data, "k string, t string")
+    kept = [("oak", 1.5, 2, [1.0, 2.0]), ("elm", 2.0, 0, [3.0, -1.0]), ("fir", 1.0, 1, [0.5, 4.0])]
+    terms = spark.createDataFrame(kept, "term string, idf double, index int, coefficients array<double>")
+
+    def made():
+        vectors = features.tfidf_vectors(texts, terms, 3, "k", "t")
+        return vectors, features.products(texts, terms, 3, 2, "k", "t")
+
+    def values(tables):
+        return [{r["k"]: r[1:] for r in t.collect()} for t in tables]
+
+    tables = made()
+    for t in tables:
+        assert "Generate" not in t._jdf.queryExecution().optimizedPlan().toString()
+    got = values(tables)
+    monkeypatch.setattr(features, "LOOKED_UP_CELLS", 0)
+    joined = values(made())
+    assert got[0].keys() == joined[0].keys() == {"a", None, "n", "z"}
+    for key in joined[0]:
+        assert got[0][key][0] == joined[0][key][0] and got[0][key][1] == pytest.approx(joined[0][key][1])
+        assert got[1][key][0] == pytest.approx(joined[1][key][0])
+
+
+def test_batches_of_blocks_are_bounded_by_bytes(spark):
+    own = spark.conf.get(BATCH_BYTES_CONF)
+    try:
+        spark.conf.unset(BATCH_BYTES_CONF)
+        rows = spark.range(40).select(F.lit(0).alias("label_index"), F.array(F.lit(0)).alias("indices"), F.array(F.lit(1.0)).alias("values"))
+        solver.Objective(solver.pack_rows(rows), 1, solver.Balance.of({"a": 1, "b": 1}), 0.1)
+        blocks = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("sums"))
+        sizes = blocks.mapInArrow(lambda bs: (pa.record_batch({"n": [b.num_rows]}) for b in bs), "n long").collect()
+        assert len(sizes) > 5 and sum(r["n"] for r in sizes) == 40
+        spark.conf.set(BATCH_BYTES_CONF, "1000000")
+        solver.pack_rows(rows)
+        assert spark.conf.get(BATCH_BYTES_CONF) == "1000000"
+    finally:
+        spark.conf.set(BATCH_BYTES_CONF, own)
