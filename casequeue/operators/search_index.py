@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections import defaultdict
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casequeue.functions.ranges import RANGE_ROWS
@@ -14,38 +17,70 @@ GRAM = 3
 PROBES = 3  # lists that meet for a column, the shortest ones
 _COUNTS = "gram string, part int, n long"
 _WILD = ("%", "_")
-_OVERLAPPING = f"(?s)(?=(.{{{GRAM}}}))"
+LIST_ROWS = 1_024  # ids of a stored list, about
+HELD_IDS = 1_000_000  # ids that a task holds before it gives their lists out
+_LISTS = "gram string, part int, block long, ids array<string>"
+
+
+def _listing(columns: int):
+    """Lists of the ids of some cases, by column and gram; a text that repeats is cut once."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 33
+        ids_type, lists, size = pa.list_(pa.string()), defaultdict(list), 0
+
+        def given():
+            grams, parts = zip(*lists, strict=True)
+            given_out = [
+                pa.array(grams, pa.string()),
+                pa.array(parts, pa.int32()),
+                pa.array([block] * len(lists), pa.int64()),
+                pa.array(lists.values(), ids_type),
+            ]
+            lists.clear()
+            return pa.RecordBatch.from_arrays(given_out, names=["gram", "part", "block", "ids"])
+
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for part in range(columns):
+                cases_of = defaultdict(list)
+                for key, text in zip(ids, batch.column(part + 1).to_pylist(), strict=True):
+                    cases_of[text].append(key)
+                for text, held in cases_of.items():
+                    found = {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
+                    for gram in found:
+                        lists[gram, part] += held
+                    size += len(found) * len(held)
+                    if size > HELD_IDS:
+                        yield given()
+                        block, size = block + 1, 0
+        if lists:
+            yield given()
+
+    return run
 
 
-def grams(text: Column) -> Column:
-    """Distinct grams of a text in lower case; none of null or of a shorter one.
+def postings(cases: DataFrame) -> DataFrame:
+    """`gram, part, block, ids`: which cases have a gram in which column (by number).
 
-    Beside a character above U+FFFF there may be a gram more, of half of it; it can only
-    add candidates, which are confirmed.
+    Texts are lowered in the JVM, as a search's is. A task gives out lists of up to a million ids at a
+    time, a `block`, so that what is stored and moved is lists, and not a row for each gram of each case.
     """
-    lowered = F.lower(F.coalesce(text, F.lit("")))
-    return F.array_distinct(F.regexp_extract_all(lowered, F.lit(_OVERLAPPING), F.lit(1)))
-
-
-def postings(cases: DataFrame) -> DataFrame:
-    """`gram, part, complaint_id`: which column (by number) of which case has a gram."""
-    parts = [
-        F.struct(F.lit(i).alias("part"), grams(F.col(name)).alias("grams"))
-        for i, name in enumerate(SEARCHED)
-    ]
-    held = cases.select("complaint_id", F.explode(F.array(*parts)).alias("p"))
-    return held.select(F.explode("p.grams").alias("gram"), "p.part", "complaint_id")
+    lowered = [F.lower(F.coalesce(F.col(name), F.lit(""))).alias(f"t{i}") for i, name in enumerate(SEARCHED)]
+    return cases.select(F.col("complaint_id").cast("string"), *lowered).mapInArrow(_listing(len(SEARCHED)), _LISTS)
 
 
 def write_search_index(cases: DataFrame, path: str, *, rows: int = RANGE_ROWS) -> None:
     """Store the posting lists of all cases, and the length of each list, below `path`.
 
-    Lists are stored in the order of gram, column and id, in ranges, so that the list of a
-    common gram is many ranges and a rare one is part of a range.
+    Lists are stored in the order of gram, column and block, in ranges of about `rows` ids, so that the
+    list of a common gram is many ranges and a rare one is part of a range.
     """
     made = written(postings(cases))
-    write_ordered(made, f"{path}/lists", ["gram", "part", "complaint_id"], rows=rows)
-    counts = made.groupBy("gram", "part").agg(F.count("*").alias("n"))
+    write_ordered(made, f"{path}/lists", ["gram", "part", "block"], rows=max(1, rows // LIST_ROWS))
+    counts = made.groupBy("gram", "part").agg(F.sum(F.size("ids")).alias("n"))
     counts.orderBy("gram").write.mode("error").parquet(f"{path}/counts")
 
 
@@ -71,7 +106,8 @@ def candidates(spark: SparkSession, path: str, text: str) -> DataFrame | None:
     chosen = F.lit(False)
     for part, held in probes.items():
         chosen = chosen | ((F.col("part") == part) & F.col("gram").isin(held))
-    met = read.where(chosen).groupBy("part", "complaint_id").agg(F.count("*").alias("n"))
+    each = read.where(chosen).select("part", F.explode("ids").alias("complaint_id"))
+    met = each.groupBy("part", "complaint_id").agg(F.count("*").alias("n"))
     most = min(PROBES, len(wanted))
     return met.where(F.col("n") == most).select("complaint_id").distinct()
 
