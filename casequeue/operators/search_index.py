@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,46 +17,45 @@ PROBES = 3  # lists that meet for a column, the shortest ones
 _COUNTS = "gram string, part int, n long"
 _WILD = ("%", "_")
 LIST_ROWS = 1_024  # ids of a stored list, about
-HELD_IDS = 1_000_000  # ids that a task holds before it gives their lists out
+HELD_CHARACTERS = 1_000_000  # of the texts whose lists a task makes at a time, about
 _LISTS = "gram string, part int, block long, ids array<string>"
 
 
+def _lists(ids: pa.Array, texts: list[str]) -> tuple[list[str], pa.ListArray]:
+    """The distinct grams of some texts, and of each the ids of the texts that have it."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    text_of = np.repeat(np.arange(len(texts)), sizes)
+    starts = np.nonzero(text_of[: 1 - GRAM] == text_of[GRAM - 1 :])[0]
+    codes = (points[starts] << 42) | (points[starts + 1] << 21) | points[starts + 2]  # 21 bits a character
+    found, gram_of = np.unique(codes, return_inverse=True)
+    pairs = np.sort(gram_of * len(texts) + text_of[starts])
+    pairs = pairs[np.diff(pairs, prepend=-1) > 0]  # a gram once for each text
+    offsets = np.searchsorted(pairs, np.arange(len(found) + 1) * len(texts))
+    held = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ids.take(pa.array(pairs % max(1, len(texts)))))
+    letters = np.stack([found >> 42, (found >> 21) & 0x1FFFFF, found & 0x1FFFFF], 1)
+    spelled = letters.astype("<u4").tobytes().decode("utf-32-le")
+    return [spelled[i : i + GRAM] for i in range(0, len(spelled), GRAM)], held
+
+
 def _listing(columns: int):
-    """Lists of the ids of some cases, by column and gram; a text that repeats is cut once."""
+    """Lists of the ids of some cases, by column and gram."""
+    lists_of, most = _lists, HELD_CHARACTERS
 
     def run(batches):
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 33
-        ids_type, lists, size = pa.list_(pa.string()), defaultdict(list), 0
-
-        def given():
-            grams, parts = zip(*lists, strict=True)
-            given_out = [
-                pa.array(grams, pa.string()),
-                pa.array(parts, pa.int32()),
-                pa.array([block] * len(lists), pa.int64()),
-                pa.array(lists.values(), ids_type),
-            ]
-            lists.clear()
-            return pa.RecordBatch.from_arrays(given_out, names=["gram", "part", "block", "ids"])
-
         for batch in batches:
-            ids = batch.column(0).to_pylist()
             for part in range(columns):
-                cases_of = defaultdict(list)
-                for key, text in zip(ids, batch.column(part + 1).to_pylist(), strict=True):
-                    cases_of[text].append(key)
-                for text, held in cases_of.items():
-                    found = {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
-                    for gram in found:
-                        lists[gram, part] += held
-                    size += len(found) * len(held)
-                    if size > HELD_IDS:
-                        yield given()
-                        block, size = block + 1, 0
-        if lists:
-            yield given()
+                texts = batch.column(part + 1).to_pylist()
+                until = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+                cuts = np.flatnonzero(np.diff(until // most)) + 1
+                for start, end in zip([0, *cuts], [*cuts, len(texts)], strict=True):
+                    grams, held = lists_of(batch.column(0)[start:end], texts[start:end])
+                    n, block = len(grams), block + 1
+                    given = [pa.array(grams, pa.string()), pa.array([part] * n, pa.int32()), pa.array([block] * n, pa.int64()), held]
+                    yield pa.RecordBatch.from_arrays(given, names=["gram", "part", "block", "ids"])
 
     return run
 
@@ -65,8 +63,8 @@ def _listing(columns: int):
 def postings(cases: DataFrame) -> DataFrame:
     """`gram, part, block, ids`: which cases have a gram in which column (by number).
 
-    Texts are lowered in the JVM, as a search's is. A task gives out lists of up to a million ids at a
-    time, a `block`, so that what is stored and moved is lists, and not a row for each gram of each case.
+    Texts are lowered in the JVM, as a search's is. A task gives out the lists of thousands of texts at
+    a time, a `block`, so that what is stored and moved is lists, and not a row for each gram of each case.
     """
     lowered = [F.lower(F.coalesce(F.col(name), F.lit(""))).alias(f"t{i}") for i, name in enumerate(SEARCHED)]
     return cases.select(F.col("complaint_id").cast("string"), *lowered).mapInArrow(_listing(len(SEARCHED)), _LISTS)
