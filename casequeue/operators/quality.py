@@ -45,13 +45,19 @@ _LINE = ", ".join(
 )
 
 
-def _one_object(line: Column) -> Column:
+# Whole strings, and all else but braces: what a scan for braces outside of strings leaves out.
+_NO_BRACES = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^{}"]++|"'
+
+
+def _braces(line: Column) -> Column:
+    return F.regexp_replace(line, _NO_BRACES, "")
+
+
+def _one_object(braces: Column) -> Column:
     """Whether braces outside of strings close for the first time at the end of a line.
 
     A JSON parser stops after the first object; what follows it must not pass.
     """
-    outside = F.regexp_replace(line, r'"(?:[^"\\]|\\.)*+"', "")
-    braces = F.regexp_replace(outside, r"[^{}]", "")
 
     def step(at: Column, brace: Column) -> Column:
         depth = at["depth"] + F.when(brace == "{", 1).otherwise(-1)
@@ -70,14 +76,15 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     no row, and NULL for a blank line, which counts as nothing. A later stage
     can read the result many times, so large jobs write it as parquet first.
     """
-    bare = strip(F.col("value"))
-    shaped = F.startswith(bare, F.lit("{")) & F.endswith(bare, F.lit("}")) & _one_object(bare)
-    record = F.from_json(
-        F.when(shaped, F.col("value")), _LINE, {"columnNameOfCorruptRecord": "_corrupt_record"}
-    )
-    parsed = lines.select(
-        "value", shaped.alias("shaped"), (bare == "").alias("blank"), record.alias("r")
+    # Each step is named before its next use: a line is stripped, scanned for braces and parsed once.
+    bare = lines.select("value", strip(F.col("value")).alias("bare"))
+    scanned = bare.select("value", "bare", _braces(F.col("bare")).alias("braces"))
+    ends = F.startswith("bare", F.lit("{")) & F.endswith("bare", F.lit("}"))
+    checked = scanned.select(
+        "value", (ends & _one_object(F.col("braces"))).alias("shaped"), (F.col("bare") == "").alias("blank")
     )
+    record = F.from_json(F.when(F.col("shaped"), F.col("value")), _LINE, {"columnNameOfCorruptRecord": "_corrupt_record"})
+    parsed = checked.select("value", "shaped", "blank", record.alias("r"))
     is_object = F.when(
         ~F.col("blank"), F.col("shaped") & F.col("r").isNotNull() & F.col("r._corrupt_record").isNull()
     )
@@ -124,10 +131,17 @@ def quality_counters(parsed: DataFrame, as_of: date) -> DataFrame:
 
     Sums combine on the map side, so a repeated id is no heavier than another.
     """
+    # Named first, so that dates are read and narratives stripped once for all flags.
+    parsed = parsed.withColumns(
+        {
+            "_received": iso_date(F.col("date_received")),
+            "_sent_day": iso_date(F.col("date_sent_to_company")),
+            "_narrative": strip(F.col("narrative")),
+        }
+    )
     row = F.col("is_object")
-    received, sent = iso_date(F.col("date_received")), F.col("date_sent_to_company")
-    sent_day = iso_date(sent)
-    narrative = strip(F.col("narrative"))
+    received, sent = F.col("_received"), F.col("date_sent_to_company")
+    sent_day, narrative = F.col("_sent_day"), F.col("_narrative")
     has_text = F.col("narrative_is_text") & ~_blank(narrative)
     no_product = _blank(F.col("product"))
     long_enough = F.length(narrative) >= MINIMUM_NARRATIVE_CHARS

@@ -119,7 +119,9 @@ def quality_overall(spark, sf_dir):
 def _damaged(spark, sf_dir):
     """The gate's input with broken, doubled, blank and keyless lines among the good ones."""
     rows = _snapshot(spark, sf_dir)
-    line = hashing.canonical_json(rows.columns)
+    # Written once a row, then damaged.
+    rows = rows.select("complaint_id", hashing.canonical_json(rows.columns).alias("line"))
+    line = F.col("line")
     kind = F.col("complaint_id").cast("bigint") % 50
     broken = (
         F.when(kind == 0, F.concat(line, F.lit("{}")))
