@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,68 +18,188 @@ PROBES = 3  # lists that meet for a column, the shortest ones
 _COUNTS = "gram string, part int, n long"
 _WILD = ("%", "_")
 LIST_ROWS = 1_024  # ids of a stored list, about
-HELD_CHARACTERS = 1_000_000  # of the texts whose lists a task makes at a time, about
+HELD_CHARACTERS = 4_000_000  # of the texts of a block, about
+CASE_CHARACTERS = 16  # a case counts for, besides those of its texts
+SENT_IDS = 1_000_000  # ids of lists that are copied to all executors, at most
 _LISTS = "gram string, part int, block long, ids array<string>"
+_PACKED = "gram string, part int, block long, n int, base int, places binary, cases array<string>"
+_CASES = "block long, cases array<string>"
+_PLACES = "part int, block long, places array<int>"
 
 
-def _lists(ids: pa.Array, texts: list[str]) -> tuple[list[str], pa.ListArray]:
-    """The distinct grams of some texts, and of each the ids of the texts that have it."""
+def _blocks(batches, most: int):
+    """Cases put together until they have about `most` characters, equal texts beside each other.
+
+    Columns with few different texts come first in the order, so that their lists are runs of places.
+    """
+
+    def ordered(pieces: list[pa.RecordBatch]) -> pa.Table:
+        table = pa.Table.from_batches(pieces).combine_chunks()
+        kinds = [pc.dictionary_encode(c.chunk(0)) for c in table.columns[1:]]
+        kinds.sort(key=lambda k: -len(k.dictionary))
+        return table.take(pa.array(np.lexsort([k.indices.to_numpy() for k in kinds])))
+
+    held, size = [], 0
+    for batch in batches:
+        lengths = sum(pc.utf8_length(c).to_numpy() for c in batch.columns[1:])
+        until = size + np.cumsum(lengths + CASE_CHARACTERS, dtype=np.int64)
+        start = 0
+        for end in np.flatnonzero(np.diff(until // most, prepend=0)):
+            if pieces := [p for p in (*held, batch.slice(start, end - start)) if p.num_rows]:
+                yield ordered(pieces)
+            held, start = [], end
+        held.append(batch.slice(start))
+        size = int(until[-1]) % most if len(until) else size
+    if pieces := [p for p in held if p.num_rows]:
+        yield ordered(pieces)
+
+
+def _lists(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct grams of some texts, where the list of each begins, and the lists: places of the texts that have it."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
     text_of = np.repeat(np.arange(len(texts)), sizes)
-    starts = np.nonzero(text_of[: 1 - GRAM] == text_of[GRAM - 1 :])[0]
-    codes = (points[starts] << 42) | (points[starts + 1] << 21) | points[starts + 2]  # 21 bits a character
-    found, gram_of = np.unique(codes, return_inverse=True)
-    pairs = np.sort(gram_of * len(texts) + text_of[starts])
+    starts = np.flatnonzero(text_of[: 1 - GRAM] == text_of[GRAM - 1 :])
+    number = np.zeros(0x110000, np.int64)  # of a letter among those that occur
+    number[points] = 1
+    letters = np.flatnonzero(number)
+    number[letters] = np.arange(len(letters))
+    n, width = max(1, len(texts)), max(1, len(letters))
+    given = number[points]
+    pairs = given[starts]
+    for i in range(1, GRAM):
+        pairs *= width
+        pairs += given[starts + i]
+    found = None
+    if width**GRAM * n >= 2**63:  # more letters than any script has
+        found, pairs = np.unique(pairs, return_inverse=True)
+    pairs *= n
+    pairs += text_of[starts]
+    pairs.sort()
     pairs = pairs[np.diff(pairs, prepend=-1) > 0]  # a gram once for each text
-    offsets = np.searchsorted(pairs, np.arange(len(found) + 1) * len(texts))
-    held = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ids.take(pa.array(pairs % max(1, len(texts)))))
-    letters = np.stack([found >> 42, (found >> 21) & 0x1FFFFF, found & 0x1FFFFF], 1)
-    spelled = letters.astype("<u4").tobytes().decode("utf-32-le")
-    return [spelled[i : i + GRAM] for i in range(0, len(spelled), GRAM)], held
+    gram_of, places = np.divmod(pairs, n)
+    begins = np.flatnonzero(np.diff(gram_of, prepend=-1))
+    grams = gram_of[begins] if found is None else found[gram_of[begins]]
+    spelled = np.stack([letters[grams // width**2], letters[grams // width % width], letters[grams % width]], 1)
+    spelled = spelled.astype("<u4").tobytes().decode("utf-32-le")
+    return [spelled[i : i + GRAM] for i in range(0, len(spelled), GRAM)], begins, places
 
 
-def _listing(columns: int):
-    """Lists of the ids of some cases, by column and gram."""
-    lists_of, most = _lists, HELD_CHARACTERS
+def _packed(begins: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of each list the number of its places, its base and its bytes.
+
+    Bytes are the gaps between places, seven bits in each, or a bit for each place from the base on,
+    whichever are fewer. The base of gaps is -1.
+    """
+    counts = np.diff(begins, append=len(places))
+    list_of = np.repeat(np.arange(len(begins)), counts)
+    first = places[begins]
+    gaps = np.diff(places, prepend=0) - 1
+    gaps[begins] = first
+    widths = 1 + sum((gaps >= 1 << 7 * k).astype(np.int64) for k in (1, 2, 3))
+    before = np.cumsum(widths) - widths
+    gap_bytes = np.add.reduceat(widths, begins) if len(begins) else counts
+    bit_bytes = ((places[begins + counts - 1] - first) >> 3) + 1
+    dense = bit_bytes < gap_bytes
+    offsets = np.concatenate([[0], np.cumsum(np.where(dense, bit_bytes, gap_bytes))])
+    out = np.zeros(offsets[-1], np.uint8)
+    is_dense = dense[list_of]
+    at = offsets[list_of] + before - before[begins][list_of]
+    for k in range(4):
+        some = ~is_dense & (widths > k)
+        out[at[some] + k] = (gaps[some] >> 7 * k & 127) | (widths[some] > k + 1) * 128
+    bit = places[is_dense] - first[list_of[is_dense]]
+    at = offsets[list_of[is_dense]] + (bit >> 3)
+    heads = np.flatnonzero(np.diff(at, prepend=-1))
+    if len(heads):
+        out[at[heads]] = np.add.reduceat(1 << (bit & 7), heads)
+    buffers = [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)]
+    return counts, np.where(dense, first, -1), pa.Array.from_buffers(pa.binary(), len(begins), buffers)
+
+
+def _unpacked(base: int, packed: bytes) -> np.ndarray:
+    """The places of a list."""
+    held = np.frombuffer(packed, np.uint8)
+    if base >= 0:
+        return base + np.flatnonzero(np.unpackbits(held, bitorder="little"))
+    starts = np.flatnonzero(np.concatenate([[True], held[:-1] < 128]))
+    nth = np.arange(len(held)) - np.repeat(starts, np.diff(starts, append=len(held)))
+    gaps = np.add.reduceat((held & 127).astype(np.int64) << 7 * nth, starts)
+    return np.cumsum(gaps + 1) - 1
+
+
+def _listing(columns: int, packed: bool):
+    """Lists of the cases that have a gram, by column and gram."""
+    blocks_of, lists_of, packed_of, most = _blocks, _lists, _packed, HELD_CHARACTERS
 
     def run(batches):
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for cases in blocks_of(batches, most):
+            block, ids = block + 1, cases.column(0).combine_chunks()
             for part in range(columns):
-                texts = batch.column(part + 1).to_pylist()
-                until = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-                cuts = np.flatnonzero(np.diff(until // most)) + 1
-                for start, end in zip([0, *cuts], [*cuts, len(texts)], strict=True):
-                    grams, held = lists_of(batch.column(0)[start:end], texts[start:end])
-                    n, block = len(grams), block + 1
-                    given = [pa.array(grams, pa.string()), pa.array([part] * n, pa.int32()), pa.array([block] * n, pa.int64()), held]
-                    yield pa.RecordBatch.from_arrays(given, names=["gram", "part", "block", "ids"])
+                grams, begins, places = lists_of(cases.column(part + 1).to_pylist())
+                n = len(grams)
+                given = {"gram": pa.array(grams, pa.string()), "part": pa.array([part] * n, pa.int32())}
+                given["block"] = pa.array([block] * n, pa.int64())
+                if packed:
+                    counts, bases, held = packed_of(begins, places)
+                    given |= {"n": pa.array(counts, pa.int32()), "base": pa.array(bases, pa.int32()), "places": held}
+                    given["cases"] = pa.nulls(n, pa.list_(pa.string()))
+                else:
+                    offsets = pa.array(np.append(begins, len(places)), pa.int32())
+                    given["ids"] = pa.ListArray.from_arrays(offsets, ids.take(pa.array(places)))
+                yield pa.RecordBatch.from_pydict(given)
+            if packed:
+                named = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+                none = {"n": pa.int32(), "base": pa.int32(), "places": pa.binary()}
+                given = {"gram": pa.nulls(1, pa.string()), "part": pa.nulls(1, pa.int32()), "block": pa.array([block], pa.int64())}
+                yield pa.RecordBatch.from_pydict(given | {k: pa.nulls(1, t) for k, t in none.items()} | {"cases": named})
 
     return run
 
 
-def postings(cases: DataFrame) -> DataFrame:
+def postings(cases: DataFrame, *, packed: bool = False) -> DataFrame:
     """`gram, part, block, ids`: which cases have a gram in which column (by number).
 
-    Texts are lowered in the JVM, as a search's is. A task gives out the lists of thousands of texts at
+    Texts are lowered in the JVM, as a search's is. A task gives out the lists of thousands of cases at
     a time, a `block`, so that what is stored and moved is lists, and not a row for each gram of each case.
+    With `packed`, `n, base, places, cases` instead of ids: a list holds the places of its `n` cases in
+    the block, a bit or a few for each, and a row of each block without a gram has the ids of its `cases`.
     """
     lowered = [F.lower(F.coalesce(F.col(name), F.lit(""))).alias(f"t{i}") for i, name in enumerate(SEARCHED)]
-    return cases.select(F.col("complaint_id").cast("string"), *lowered).mapInArrow(_listing(len(SEARCHED)), _LISTS)
+    texts = cases.select(F.col("complaint_id").cast("string"), *lowered)
+    return texts.mapInArrow(_listing(len(SEARCHED), packed), _PACKED if packed else _LISTS)
+
+
+def _with_places():
+    """Stored lists with their places as numbers."""
+    places_of = _unpacked
+
+    def run(batches):
+        for batch in batches:
+            part, block, base, packed = batch.columns
+            held = [places_of(b, p) for b, p in zip(base.to_pylist(), packed.to_pylist(), strict=True)]
+            offsets = pa.array(np.cumsum([0, *map(len, held)]), pa.int32())
+            places = pa.array(np.concatenate([np.empty(0, np.int64), *held]), pa.int32())
+            given = [part, block, pa.ListArray.from_arrays(offsets, places)]
+            yield pa.RecordBatch.from_arrays(given, names=["part", "block", "places"])
+
+    return run
 
 
 def write_search_index(cases: DataFrame, path: str, *, rows: int = RANGE_ROWS) -> None:
-    """Store the posting lists of all cases, and the length of each list, below `path`.
+    """Store the posting lists of all cases, the ids of each block, and the length of each list, below `path`.
 
     Lists are stored in the order of gram, column and block, in ranges of about `rows` ids, so that the
     list of a common gram is many ranges and a rare one is part of a range.
     """
-    made = written(postings(cases))
-    write_ordered(made, f"{path}/lists", ["gram", "part", "block"], rows=max(1, rows // LIST_ROWS))
-    counts = made.groupBy("gram", "part").agg(F.sum(F.size("ids")).alias("n"))
+    made = written(postings(cases, packed=True))
+    lists = made.where(F.col("gram").isNotNull()).drop("cases")
+    write_ordered(lists, f"{path}/lists", ["gram", "part", "block"], rows=max(1, rows // LIST_ROWS))
+    made.where(F.col("gram").isNull()).select("block", "cases").write.mode("error").parquet(f"{path}/cases")
+    counts = lists.groupBy("gram", "part").agg(F.sum("n").alias("n"))
     counts.orderBy("gram").write.mode("error").parquet(f"{path}/counts")
 
 
@@ -104,7 +225,12 @@ def candidates(spark: SparkSession, path: str, text: str) -> DataFrame | None:
     chosen = F.lit(False)
     for part, held in probes.items():
         chosen = chosen | ((F.col("part") == part) & F.col("gram").isin(held))
-    each = read.where(chosen).select("part", F.explode("ids").alias("complaint_id"))
+    lists = read.where(chosen).select("part", "block", "base", "places").mapInArrow(_with_places(), _PLACES)
+    if sum(n for part, held in lengths.items() for n, g in held if g in probes.get(part, ())) <= SENT_IDS:
+        lists = F.broadcast(lists)
+    named = spark.read.schema(_CASES).parquet(f"{path}/cases").join(lists, "block")
+    ids = F.transform("places", lambda place: F.get("cases", place))
+    each = named.select("part", F.explode(ids).alias("complaint_id"))
     met = each.groupBy("part", "complaint_id").agg(F.count("*").alias("n"))
     most = min(PROBES, len(wanted))
     return met.where(F.col("n") == most).select("complaint_id").distinct()
