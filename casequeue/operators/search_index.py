@@ -17,7 +17,7 @@ GRAM = 3
 PROBES = 3  # lists that meet for a column, the shortest ones
 _COUNTS = "gram string, part int, n long"
 _WILD = ("%", "_")
-LIST_ROWS = 1_024  # ids of a stored list, about
+LIST_ROWS = 256  # ids of a stored list, about
 HELD_CHARACTERS = 4_000_000  # of the texts of a block, about
 CASE_CHARACTERS = 16  # a case counts for, besides those of its texts
 SENT_IDS = 1_000_000  # ids of lists that are copied to all executors, at most
@@ -58,25 +58,28 @@ def _lists(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The distinct grams of some texts, where the list of each begins, and the lists: places of the texts that have it."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-    text_of = np.repeat(np.arange(len(texts)), sizes)
-    starts = np.flatnonzero(text_of[: 1 - GRAM] == text_of[GRAM - 1 :])
-    number = np.zeros(0x110000, np.int64)  # of a letter among those that occur
+    text_of = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    ends = max(0, len(points) - GRAM + 1)
+    inside = text_of[:ends] == text_of[len(points) - ends :]  # grams of one text
+    number = np.zeros(0x110000, np.int32)  # of a letter among those that occur
     number[points] = 1
     letters = np.flatnonzero(number)
     number[letters] = np.arange(len(letters))
     n, width = max(1, len(texts)), max(1, len(letters))
     given = number[points]
-    pairs = given[starts]
+    pairs = given[:ends][inside].astype(np.int64)
     for i in range(1, GRAM):
         pairs *= width
-        pairs += given[starts + i]
+        pairs += given[i : i + ends][inside]
     found = None
     if width**GRAM * n >= 2**63:  # more letters than any script has
         found, pairs = np.unique(pairs, return_inverse=True)
     pairs *= n
-    pairs += text_of[starts]
+    pairs += text_of[:ends][inside]
     pairs.sort()
-    pairs = pairs[np.diff(pairs, prepend=-1) > 0]  # a gram once for each text
+    once = np.ones(len(pairs), bool)
+    once[1:] = pairs[1:] != pairs[:-1]
+    pairs = pairs[once]
     gram_of, places = np.divmod(pairs, n)
     begins = np.flatnonzero(np.diff(gram_of, prepend=-1))
     grams = gram_of[begins] if found is None else found[gram_of[begins]]
